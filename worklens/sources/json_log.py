@@ -12,70 +12,12 @@ from pyspark.sql import functions as F
 from worklens import fixed, schemas
 from worklens.functions.text import spaced_json, strip
 from worklens.functions.timestamps import iso_timestamp, json_timestamp
+from worklens.functions.variants import Field, first_failure
 from worklens.sources.stderr_log import lines
 
 REJECT = "reject_reason"
 
 
-class _Field:
-    """One top-level field of the parsed row ``doc``: its kind, text and conversions."""
-
-    def __init__(self, name: str):
-        self.name = name
-        self.value = F.variant_get("doc", f"$.{name}", "variant")
-        self.kind = F.coalesce(F.schema_of_variant(self.value), F.lit("MISSING"))
-        self.text = F.try_variant_get("doc", f"$.{name}", "string")
-        self.number = F.try_variant_get("doc", f"$.{name}", "double")
-        self.missing = self.kind == "MISSING"
-        self.null = self.kind == "VOID"
-        self.is_text = self.kind == "STRING"
-        self.is_bool = self.kind == "BOOLEAN"
-        self.is_number = self.kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        self.is_empty = self.kind.rlike(r"^(ARRAY<VOID>|OBJECT<>)$")
-
-    def truthy(self) -> Column:
-        return (
-            F.when(self.missing | self.null | self.is_empty, False)
-            .when(self.is_text, self.text != "")
-            .when(self.is_bool, self.text == "true")
-            .when(self.is_number, self.number != 0)
-            .otherwise(True)
-        )
-
-    def as_double(self) -> Column:
-        """NULL when the value is no number."""
-        return (
-            F.when(self.is_number, self.number)
-            .when(self.is_text, strip(self.text).try_cast("double"))
-            .when(self.is_bool, F.when(self.text == "true", 1.0).otherwise(0.0))
-        )
-
-    def optional_text(self) -> tuple[Column, Column]:
-        """Value, and whether it is acceptable."""
-        return F.when(self.is_text, self.text), self.missing | self.null | self.is_text
-
-    def optional_long(self) -> tuple[Column, Column]:
-        whole = F.when(self.is_number & (self.number == F.floor(self.number)), self.number)
-        value = (
-            F.when(self.is_number, F.coalesce(self.text.try_cast("bigint"), whole.cast("bigint")))
-            .when(self.is_text & strip(self.text).rlike(r"^[+-]?\d+(\.0*)?$"), strip(self.text).try_cast("double").cast("bigint"))
-            .when(self.is_bool, F.when(self.text == "true", 1).otherwise(0))
-        )
-        fits = F.when(self.is_number, whole.isNotNull()).otherwise(value.isNotNull())
-        return value, self.missing | self.null | fits
-
-    def required_bool(self, default: bool) -> tuple[Column, Column]:
-        word = F.lower(self.text)
-        value = (
-            F.when(self.missing, default)
-            .when(self.is_bool, self.text == "true")
-            .when(self.is_number & self.number.isin(0.0, 1.0), self.number == 1.0)
-            .when(self.is_text & word.isin(*fixed.TRUE_WORDS), True)
-            .when(self.is_text & word.isin(*fixed.FALSE_WORDS), False)
-        )
-        return value, value.isNotNull()
-
-
 def _documents(log_lines: DataFrame) -> DataFrame:
     """Non-blank lines with the parsed value in ``doc``."""
     return (
@@ -95,14 +37,6 @@ def _seq(source_ord: int) -> Column:
     return F.struct(F.lit(source_ord).alias("source_ord"), "file", "block", "line").alias("seq")
 
 
-def _all_of(checks: dict[str, Column]) -> Column:
-    """First failing check as the reject reason, NULL when all hold."""
-    reason = F.lit(None).cast("string")
-    for name, holds in reversed(list(checks.items())):
-        reason = F.when(~holds, f"bad {name}").otherwise(reason)
-    return reason
-
-
 def parse_json_rows(
     log_lines: DataFrame,
     now: Column,
@@ -119,21 +53,21 @@ def parse_json_rows(
         raise ValueError("on_bad_ts must be 'now' or 'reject'")
     stamp = F.lit(None).cast("timestamp_ntz")
     for name in ("ts", "time", "timestamp"):
-        f = _Field(name)
+        f = Field(name)
         stamp = F.when(f.truthy(), F.when(f.is_text, json_timestamp(f.text))).otherwise(stamp)
-    query = _Field("query")
-    duration, latency = _Field("duration_ms"), _Field("latency_ms")
+    query, query_ok = Field("query").text_or("")
+    duration, latency = Field("duration_ms"), Field("latency_ms")
     ms = (
         F.when(duration.truthy(), duration.as_double())
         .when(latency.missing, 0.0)
         .otherwise(latency.as_double())
     )
-    success, success_ok = _Field("success").required_bool(default=True)
-    returned, returned_ok = _Field("rows_returned").optional_long()
-    scanned, scanned_ok = _Field("rows_scanned").optional_long()
-    texts = {n: _Field(n).optional_text() for n in ("error", "database", "user")}
+    success, success_ok = Field("success").bool_or(True)
+    returned, returned_ok = Field("rows_returned").optional_long()
+    scanned, scanned_ok = Field("rows_scanned").optional_long()
+    texts = {n: Field(n).optional_text() for n in ("error", "database", "user")}
     checks = {
-        "query": query.missing | query.is_text,
+        "query": query_ok,
         "execution time": ms.isNotNull(),
         "success": success_ok,
         "rows_returned": returned_ok,
@@ -144,7 +78,7 @@ def parse_json_rows(
         checks["timestamp"] = stamp.isNotNull()
     return _documents(log_lines).select(
         F.coalesce(stamp, now.cast("timestamp_ntz")).alias("ts"),
-        F.when(query.missing, "").otherwise(query.text).alias("query"),
+        query.alias("query"),
         F.lit(None).cast("string").alias("query_type"),
         ms.alias("execution_time_ms"),
         returned.alias("rows_returned"),
@@ -156,38 +90,34 @@ def parse_json_rows(
         texts["user"][0].alias("user"),
         _seq(source_ord),
         F.col("value").alias("raw"),
-        F.coalesce(_shape_error(), _all_of(checks)).alias(REJECT),
+        F.coalesce(_shape_error(), first_failure(checks)).alias(REJECT),
     )
 
 
 def vector_query_text() -> Column:
     """Canonical text of a vector search; the vector itself is left out."""
-    collection, top_k = _Field("collection"), _Field("top_k")
-    flt = _Field("filter")
-    scalar = lambda f: F.coalesce(F.to_json(f.value), F.lit("null"))
+    collection, top_k = Field("collection"), Field("top_k")
+    flt = Field("filter")
     # Nested filters keep their key order only as text; a VARIANT sorts keys.
-    nested = F.when(
-        flt.kind.startswith("OBJECT") | flt.kind.startswith("ARRAY"),
-        F.get_json_object("value", "$.filter"),
-    ).otherwise(scalar(flt))
+    nested = F.when(flt.is_nested, F.get_json_object("value", "$.filter")).otherwise(flt.json())
     return F.concat(
-        F.lit('{"collection": '), spaced_json(scalar(collection)),
-        F.lit(', "query_vector": "[...]", "top_k": '), spaced_json(scalar(top_k)),
+        F.lit('{"collection": '), spaced_json(collection.json()),
+        F.lit(', "query_vector": "[...]", "top_k": '), spaced_json(top_k.json()),
         F.lit(', "filter": '), spaced_json(nested), F.lit("}"),
     )
 
 
 def parse_vector_rows(log_lines: DataFrame, now: Column, source_ord: int = 0) -> DataFrame:
     """Vector-search log lines in the same form as :func:`parse_json_rows`."""
-    ts = _Field("timestamp")
+    ts = Field("timestamp")
     stamp = F.when(~ts.truthy(), now.cast("timestamp_ntz")).when(
         ts.is_text, iso_timestamp(ts.text)
     )
-    latency = _Field("latency_ms")
+    latency = Field("latency_ms")
     ms = F.when(latency.missing, 0.0).otherwise(latency.as_double())
-    returned, returned_ok = _Field("results_count").optional_long()
-    error, error_ok = _Field("error").optional_text()
-    status = _Field("status")
+    returned, returned_ok = Field("results_count").optional_long()
+    error, error_ok = Field("error").optional_text()
+    status = Field("status")
     checks = {
         "timestamp": stamp.isNotNull(),
         "execution time": ms.isNotNull(),
@@ -205,7 +135,7 @@ def parse_vector_rows(log_lines: DataFrame, now: Column, source_ord: int = 0) ->
         F.lit(fixed.SOURCE_VECTOR).alias("source"),
         _seq(source_ord),
         F.col("value").alias("raw"),
-        F.coalesce(_shape_error(), _all_of(checks)).alias(REJECT),
+        F.coalesce(_shape_error(), first_failure(checks)).alias(REJECT),
     )
 
 
