@@ -13,12 +13,18 @@ def _ids(column: Column) -> Column:
 
 
 def reciprocal_rank(retrieved: Column, relevant: Column) -> Column:
-    """1 / position of the first retrieved id that is relevant, else 0."""
-    wanted = _ids(relevant)
-    hits = F.transform(
-        _ids(retrieved), lambda x, i: F.when(F.array_contains(wanted, x), i + 1)
+    """1 / position of the first retrieved id that is relevant, else 0.
+
+    The intersection keeps the order of its first argument, so its first element is the
+    first hit; the cost is linear in both lists.
+    """
+    got = _ids(retrieved)
+    hits = F.array_intersect(got, _ids(relevant))
+    first = F.try_element_at(hits, F.lit(1))
+    position = F.when(first.isNotNull(), F.array_position(got, first)).otherwise(
+        F.array_position(F.transform(got, lambda x: x.isNull()), F.lit(True))
     )
-    return F.coalesce(F.lit(1.0) / F.array_min(hits), F.lit(0.0))
+    return F.when(F.size(hits) > 0, F.lit(1.0) / position).otherwise(F.lit(0.0))
 
 
 def precision_at_k(retrieved: Column, relevant: Column, k: int = 10) -> Column:

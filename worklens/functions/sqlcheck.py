@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from worklens import fixed
 from worklens.functions.text import strip
+from worklens.functions.variants import let
 
 NESTING = 6
 _QUOTED_OR_COMMENT = r"""('(?:[^']++|'')*+'|"(?:[^"]++|"")*+")|--[^\n]*|/\*(?s:.*?)\*/"""
@@ -151,9 +152,13 @@ def changed(current: Column, proposed: Column) -> Column:
     return ~F.coalesce(layout_free(current), F.lit("")).eqNullSafe(layout_free(proposed))
 
 
+def _without(some: Column, others: Column) -> Column:
+    return let(others, lambda known: F.filter(some, lambda c: ~F.array_contains(known, c)))
+
+
 def removed_clauses(current: Column, proposed: Column) -> Column:
-    return F.array_except(clauses(current), clauses(proposed))
+    return _without(clauses(current), clauses(proposed))
 
 
 def added_clauses(current: Column, proposed: Column) -> Column:
-    return F.array_except(clauses(proposed), clauses(current))
+    return _without(clauses(proposed), clauses(current))

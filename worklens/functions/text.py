@@ -54,3 +54,10 @@ def grouped(number: Column, places: int = 0) -> Column:
 def plain(number: Column, places: int) -> Column:
     """Number text with fixed decimals and no separators."""
     return F.replace(F.format_number(number, places), F.lit(","), F.lit(""))
+
+
+def timestamp_text(ts: Column, separator: str = " ") -> Column:
+    """``YYYY-MM-DD HH:MM:SS``, with six digits of fraction only when there is one."""
+    whole = F.date_format(ts, f"yyyy-MM-dd'{separator}'HH:mm:ss")
+    micros = F.date_format(ts, f"yyyy-MM-dd'{separator}'HH:mm:ss.SSSSSS")
+    return F.when(micros.endswith(".000000"), whole).otherwise(micros)

@@ -6,6 +6,8 @@ which ``from_json`` with a fixed schema does not.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,28 +15,73 @@ from worklens import fixed
 from worklens.functions.text import strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column that is referred to many times may be copied into each place by the
+    optimiser; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def document(text: Column, names: Iterable[str]) -> Column:
+    """The named fields of a JSON object as a struct of VARIANTs; NULL if ``text`` is none.
+
+    A missing field is NULL and an explicit null is a VARIANT null. The text is read as
+    the only element of an array, so anything after the object makes it malformed.
+    """
+    fields = ", ".join(f"`{n}`: variant" for n in names)
+    only = let(
+        F.from_json(
+            F.concat(F.lit("["), text, F.lit("]")),
+            f"array<struct<{fields}>>",
+            {"allowSingleQuotes": "false"},
+        ),
+        lambda found: F.when(F.size(found) == 1, found[0]),
+    )
+    return only
+
+
+def shape_error(text: Column, doc: Column) -> Column:
+    """Why there is no document; NULL when there is one."""
+    return F.when(
+        doc.isNull(),
+        F.when(F.try_parse_json(text).isNull() | text.startswith("{"), "not JSON").otherwise(
+            "not an object"
+        ),
+    )
+
+
+def facts(values: dict[str, Column]) -> Column:
+    """Kind, text and number of each VARIANT, as one struct."""
+
+    def fact(name: str, value: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.schema_of_variant(value), F.lit("MISSING")).alias("kind"),
+            value.try_cast("string").alias("text"),
+            value.try_cast("double").alias("number"),
+        ).alias(name)
+
+    return F.struct(*[fact(n, v) for n, v in values.items()])
+
+
 class Field:
-    """Field ``name`` of the VARIANT column ``doc``: its kind, text and conversions."""
-
-    def __init__(self, name: str, doc: str = "doc"):
-        self.name = name
-        self.value = F.variant_get(doc, f"$.{name}", "variant")
-        self.kind = F.coalesce(F.schema_of_variant(self.value), F.lit("MISSING"))
-        self.text = F.try_variant_get(doc, f"$.{name}", "string")
-        self.number = F.try_variant_get(doc, f"$.{name}", "double")
+    """Tests and conversions of one field of a struct made by :func:`facts`."""
+
+    def __init__(self, known: Column, name: str):
+        fact = known[name]
+        self.kind = fact["kind"]
+        self.text = fact["text"]
+        self.number = fact["number"]
         self.missing = self.kind == "MISSING"
         self.null = self.kind == "VOID"
         self.absent = self.missing | self.null
         self.is_text = self.kind == "STRING"
         self.is_bool = self.kind == "BOOLEAN"
-        self.is_number = self.kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        self.is_number = self.kind.startswith("BIGINT") | self.kind.startswith("D") | self.kind.startswith("FLOAT")
         self.is_object = self.kind.startswith("OBJECT")
         self.is_nested = self.is_object | self.kind.startswith("ARRAY")
-        self.is_empty = self.kind.rlike(r"^(ARRAY<VOID>|OBJECT<>)$")
-
-    def json(self) -> Column:
-        """JSON text of the value; ``null`` when it is missing."""
-        return F.coalesce(F.to_json(self.value), F.lit("null"))
+        self.is_empty = self.kind.isin("ARRAY<VOID>", "OBJECT<>")
 
     def truthy(self) -> Column:
         return (

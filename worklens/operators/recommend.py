@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from worklens import fixed, schemas
 from worklens.functions.text import strip
-from worklens.functions.variants import Field, first_failure
+from worklens.functions.variants import Field, document, facts, first_failure, let, shape_error
 
 # A recommender takes workload snapshots and returns recommendation rows.
 Recommender = Callable[[DataFrame], DataFrame]
 
+_RESPONSE_FIELDS = (
+    "recommendation_id", "recommendation_type", "priority", "title", "rationale", "config_patch",
+    "expected_effects", "risk_level", "risk_notes", "migration_sql", "rollback_sql",
+    "confidence_score",
+)
+_EFFECTS = ("latency_improvement_percent", "cost_reduction_percent")
+
 
 def top_by_impact(snapshots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The snapshot with the highest impact (NULL counts as 0), one per group."""
@@ -81,53 +88,75 @@ def parse_responses(responses: DataFrame, as_of: Column, model_name: str, model_
     gives no recommendation; its other columns are then meaningless.
     """
     body = F.regexp_extract("response", r"(?s)(\{.*\})", 1)
-    rows = responses.withColumn("doc", F.try_parse_json(F.nullif(body, F.lit(""))))
     digest = F.concat(F.lit("rec-"), F.substring(F.sha2("response", 256), 1, 32))
-    rec_id, rec_id_ok = Field("recommendation_id").text_or(digest)
-    priority, priority_ok = Field("priority").text_or(fixed.DEFAULT_PRIORITY)
-    title, title_ok = Field("title").text_or(fixed.DEFAULT_TITLE)
-    rationale, rationale_ok = Field("rationale").text_or("")
-    patch, effects = Field("config_patch"), Field("expected_effects")
-    kind, risk = Field("recommendation_type"), Field("risk_level")
-    latency = Field("expected_effects.latency_improvement_percent")
-    cost = Field("expected_effects.cost_reduction_percent")
-    confidence, confidence_ok = Field("confidence_score").optional_double()
-    texts = {n: Field(n).optional_text() for n in ("risk_notes", "migration_sql", "rollback_sql")}
-    checks = {
-        "recommendation_id": rec_id_ok, "priority": priority_ok, "title": title_ok,
-        "rationale": rationale_ok,
-        "config_patch": patch.missing | patch.is_object,
-        "expected_effects": effects.missing | effects.is_object,
-        "recommendation_type": ~kind.is_nested, "risk_level": ~risk.is_nested,
-        "latency improvement": latency.optional_double()[1],
-        "cost reduction": cost.optional_double()[1],
-        "confidence_score": confidence_ok,
-        **{name: ok for name, (_, ok) in texts.items()},
-    }
 
-    def one_of(field: Field, known: tuple[str, ...], default: str) -> Column:
-        return F.when(field.is_text & field.text.isin(*known), field.text).otherwise(default)
-
-    return rows.select(
-        *responses.columns,
-        rec_id.alias("recommendation_id"),
-        as_of.cast("timestamp_ntz").alias("recommendation_timestamp"),
-        F.lit("pending").alias("status"),
-        priority.alias("priority"),
-        one_of(kind, fixed.RECOMMENDATION_TYPES, fixed.DEFAULT_TYPE).alias("recommendation_type"),
-        title.alias("title"),
-        rationale.alias("rationale"),
-        F.when(patch.missing, "{}").otherwise(patch.json()).alias("config_patch"),
-        F.when(effects.missing, "{}").otherwise(effects.json()).alias("expected_effects"),
-        latency.as_double().alias("expected_latency_improvement_percent"),
-        cost.as_double().alias("expected_cost_reduction_percent"),
-        one_of(risk, fixed.RISK_LEVELS, fixed.DEFAULT_RISK).alias("risk_level"),
-        texts["risk_notes"][0].alias("risk_notes"),
-        texts["migration_sql"][0].alias("migration_sql"),
-        texts["rollback_sql"][0].alias("rollback_sql"),
-        F.lit(model_name).alias("model_name"),
-        F.lit(model_version).alias("model_version"),
-        confidence.alias("confidence_score"),
-        F.when(body == "", "no JSON object").when(F.col("doc").isNull(), "not JSON")
-        .otherwise(first_failure(checks)).alias("reject_reason"),
+    def one_of(field: Field, allowed: tuple[str, ...], default: str) -> Column:
+        return F.when(field.is_text & field.text.isin(*allowed), field.text).otherwise(default)
+
+    def nested(doc: Column, field: Field, name: str) -> Column:
+        value = F.to_json(doc[name])
+        return F.when(field.missing, "{}").otherwise(value)
+
+    def build(text: Column, doc: Column, known: Column) -> Column:
+        rec_id, rec_id_ok = Field(known, "recommendation_id").text_or(digest)
+        priority, priority_ok = Field(known, "priority").text_or(fixed.DEFAULT_PRIORITY)
+        title, title_ok = Field(known, "title").text_or(fixed.DEFAULT_TITLE)
+        rationale, rationale_ok = Field(known, "rationale").text_or("")
+        patch, effects = Field(known, "config_patch"), Field(known, "expected_effects")
+        kind, risk = Field(known, "recommendation_type"), Field(known, "risk_level")
+        latency, latency_ok = Field(known, _EFFECTS[0]).optional_double()
+        cost, cost_ok = Field(known, _EFFECTS[1]).optional_double()
+        notes, notes_ok = Field(known, "risk_notes").optional_text()
+        migration, migration_ok = Field(known, "migration_sql").optional_text()
+        rollback, rollback_ok = Field(known, "rollback_sql").optional_text()
+        confidence, confidence_ok = Field(known, "confidence_score").optional_double()
+        checks = {
+            "recommendation_id": rec_id_ok, "priority": priority_ok, "title": title_ok,
+            "rationale": rationale_ok,
+            "config_patch": patch.missing | patch.is_object,
+            "expected_effects": effects.missing | effects.is_object,
+            "recommendation_type": ~kind.is_nested, "risk_level": ~risk.is_nested,
+            "latency improvement": latency_ok, "cost reduction": cost_ok,
+            "confidence_score": confidence_ok, "risk_notes": notes_ok,
+            "migration_sql": migration_ok, "rollback_sql": rollback_ok,
+        }
+        return F.struct(
+            rec_id.alias("recommendation_id"),
+            as_of.cast("timestamp_ntz").alias("recommendation_timestamp"),
+            F.lit("pending").alias("status"),
+            priority.alias("priority"),
+            one_of(kind, fixed.RECOMMENDATION_TYPES, fixed.DEFAULT_TYPE).alias("recommendation_type"),
+            title.alias("title"),
+            rationale.alias("rationale"),
+            nested(doc, patch, "config_patch").alias("config_patch"),
+            nested(doc, effects, "expected_effects").alias("expected_effects"),
+            latency.alias("expected_latency_improvement_percent"),
+            cost.alias("expected_cost_reduction_percent"),
+            one_of(risk, fixed.RISK_LEVELS, fixed.DEFAULT_RISK).alias("risk_level"),
+            notes.alias("risk_notes"),
+            migration.alias("migration_sql"),
+            rollback.alias("rollback_sql"),
+            F.lit(model_name).alias("model_name"),
+            F.lit(model_version).alias("model_version"),
+            confidence.alias("confidence_score"),
+            F.when(text == "", "no JSON object")
+            .otherwise(F.coalesce(shape_error(text, doc), first_failure(checks)))
+            .alias("reject_reason"),
+        )
+
+    parsed = let(
+        body,
+        lambda text: let(
+            document(text, _RESPONSE_FIELDS),
+            lambda doc: let(facts(_response_values(doc)), lambda known: build(text, doc, known)),
+        ),
     )
+    return responses.withColumn("_row", parsed).select(*responses.columns, "_row.*")
+
+
+def _response_values(doc: Column) -> dict[str, Column]:
+    effects = doc["expected_effects"]
+    return {
+        **{n: doc[n] for n in _RESPONSE_FIELDS},
+        **{n: F.try_variant_get(effects, f"$.{n}", "variant") for n in _EFFECTS},
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklens.functions.text import grouped, plain
+from worklens.functions.text import grouped, plain, timestamp_text
 
 NO_WORKLOAD = "No workload data available."
 NO_RESULTS = "No evaluation results available."
@@ -90,12 +90,6 @@ def workload_summary(snapshots: DataFrame, by: tuple[str, ...] = (), limit: int
     )
 
 
-def timestamp_text(ts: Column) -> Column:
-    whole = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.when(micros.endswith(".000000"), whole).otherwise(micros)
-
-
 def _result_entry() -> Column:
     violated = F.map_keys(F.from_json("slo_violations", "map<string,string>"))
     names = F.concat(F.lit("['"), F.array_join(violated, "', '"), F.lit("']"))
@@ -184,7 +178,7 @@ def analysis_report(
     stamp = as_of.cast("timestamp_ntz")
     sections = [
         F.lit("# Database Performance Analysis Request\n\nDate: "),
-        F.replace(timestamp_text(stamp), F.lit(" "), F.lit("T")),
+        timestamp_text(stamp, "T"),
         F.lit("\n\n"),
         F.col("workload_summary"),
     ]

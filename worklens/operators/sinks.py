@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens import schemas
+from worklens.functions.text import timestamp_text
 from worklens.operators import counters
 from worklens.sources.tables import read_table
 
@@ -19,14 +20,21 @@ UPDATED_ON_CONFLICT = (
 )
 
 
-def append(df: DataFrame, path: str, name: str, day_of: str | None = None) -> None:
-    """Append rows in their stored schema, partitioned by the day of ``day_of``."""
+def append(
+    df: DataFrame, path: str, name: str, partition: str | None = None, at: str | None = None
+) -> None:
+    """Append rows in their stored schema, in folders by the ``day`` or ``month`` of ``at``.
+
+    Rows are rebalanced by folder first: small folders get one file instead of one per
+    task, and a folder with very many rows is still written by several tasks.
+    """
     rows = schemas.conform(df, schemas.TABLES[name])
-    if day_of is None:
+    if partition is None:
         rows.write.mode("append").parquet(path)
         return
-    by_day = rows.withColumn("day", F.to_date(day_of))
-    by_day.write.mode("append").partitionBy("day").parquet(path)
+    unit = F.to_date(at) if partition == "day" else F.trunc(F.to_date(at), "month")
+    placed = rows.withColumn(partition, unit).hint("rebalance", F.col(partition))
+    placed.write.mode("append").partitionBy(partition).parquet(path)
 
 
 def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,8 +74,9 @@ def save_snapshots(spark: SparkSession, new: DataFrame, path: str) -> None:
     stored = read_table(spark, path, "workload_snapshots")
     if "day" in stored.columns:
         # One row per day of the new snapshots: prunes the stored partitions at run time.
-        stored = stored.join(F.broadcast(fresh.select("day").distinct()), "day", "left_semi")
+        stored = stored.join(fresh.select("day").distinct(), "day", "left_semi")
     merged = upserted(stored, fresh).withColumn("day", F.to_date("snapshot_timestamp"))
+    merged = merged.hint("rebalance", F.col("day"))
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -77,7 +86,7 @@ def save_snapshots(spark: SparkSession, new: DataFrame, path: str) -> None:
 
 
 def save_capture(rows: DataFrame, captured_at: Column, path: str, **flags: bool) -> None:
-    append(counters.as_capture(rows, captured_at, **flags), path, "stat_snapshots", "captured_at")
+    append(counters.as_capture(rows, captured_at, **flags), path, "stat_snapshots", "day", "captured_at")
 
 
 def prune_captures(spark: SparkSession, path: str, before: Column | None) -> int:
@@ -119,22 +128,26 @@ def _drop_days(spark: SparkSession, path: str, days: list[str]) -> None:
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """CSV with header, ISO timestamps and empty NULLs, in the row order given."""
-    rows.write.mode("overwrite").option("header", True).option("nullValue", "").option(
-        "emptyValue", ""
-    ).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").option("escape", '"').csv(path)
+    iso = {
+        f.name: timestamp_text(F.col(f.name), "T")
+        for f in rows.schema.fields
+        if f.dataType == schemas.TS
+    }
+    options = {"header": True, "nullValue": "", "emptyValue": "", "escape": '"'}
+    rows.withColumns(iso).write.mode("overwrite").options(**options).csv(path)
 
 
 def save_result(results: DataFrame, path: str) -> None:
-    append(results, path, "eval_results", "eval_timestamp")
+    append(results, path, "eval_results", "month", "eval_timestamp")
 
 
 def save_recommendations(recommendations: DataFrame, path: str, json_path: str | None = None) -> None:
     """Append to the table; with ``json_path`` also one JSON line per recommendation."""
-    append(recommendations, path, "recommendations", "recommendation_timestamp")
+    append(recommendations, path, "recommendations", "month", "recommendation_timestamp")
     if json_path is not None:
         schemas.conform(recommendations, schemas.RECOMMENDATION).write.mode("append").json(json_path)
 
 
 def save_events(events: DataFrame, path: str) -> None:
     """Append to the review ledger, the source of truth for proposal state."""
-    append(events, path, "review_events", "ts")
+    append(events, path, "review_events", "month", "ts")

@@ -7,11 +7,6 @@ first entry, and its last entry) go through a small shuffle that puts them toget
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +15,7 @@ from worklens.functions.sqltext import zone_tagged
 from worklens.functions.text import strip
 from worklens.functions.timestamps import log_timestamp
 from worklens.session import scratch_path
-
-_PIECE = "file string, block long, line long, kind string, text string"
-_PIECE_SCHEMA = pa.schema(
-    [("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()),
-     ("kind", pa.string()), ("text", pa.string())]
-)
+from worklens.sources.stitching import PIECE, stitch
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,63 +28,6 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _pieces(batch: pa.RecordBatch, starts: np.ndarray, kinds: list[str]) -> pa.RecordBatch:
-    """One row per piece; piece i holds the lines from ``starts[i]`` to the next start."""
-    offsets = pa.array(np.append(starts, batch.num_rows), pa.int32())
-    text = pc.binary_join(pa.ListArray.from_arrays(offsets, batch.column("value")), "\n")
-    at = pa.array(starts)
-    return pa.RecordBatch.from_arrays(
-        [batch.column("file").take(at), batch.column("block").take(at),
-         batch.column("line").take(at), pa.array(kinds, pa.string()), text],
-        schema=_PIECE_SCHEMA,
-    )
-
-
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join lines into pieces: ``head`` (before a split's first entry), ``entry``, ``last``.
-
-    The piece still open at the end of a batch is carried into the next one.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        joined = table.to_batches()[0]
-        starts, opens = _boundaries(joined)
-        tail = int(starts[-1])
-        if len(starts) > 1:
-            done = joined.slice(0, tail)
-            kinds = _kinds(joined, starts, opens)[:-1]
-            yield _pieces(done, starts[:-1], kinds)
-        held = [joined.slice(tail)]
-    if held:
-        joined = held[0]
-        kind = "last" if joined.column("start")[0].as_py() else "head"
-        yield _pieces(joined, np.array([0]), [kind])
-
-
-def _boundaries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rows where a piece starts, and which of them also open a new file split."""
-    n = batch.num_rows
-    block = batch.column("block").to_numpy(zero_copy_only=False)
-    file = batch.column("file")
-    opens = np.ones(n, dtype=bool)
-    if n > 1:
-        moved = pc.not_equal(file.slice(1), file.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        opens[1:] = moved | (block[1:] != block[:-1])
-    begins = batch.column("start").to_numpy(zero_copy_only=False).astype(bool)
-    starts = np.flatnonzero(begins | opens)
-    return starts, opens[starts]
-
-
-def _kinds(batch: pa.RecordBatch, starts: np.ndarray, opens: np.ndarray) -> list[str]:
-    begins = batch.column("start").to_numpy(zero_copy_only=False).astype(bool)[starts]
-    ends_split = np.append(opens[1:], False)
-    kinds = np.where(begins, np.where(ends_split, "last", "entry"), "head")
-    return kinds.tolist()
-
-
 def entries(log_lines: DataFrame, stage: bool = False) -> DataFrame:
     """Whole entries ``(file, block, line, text)`` of one or more log files.
 
@@ -102,9 +35,9 @@ def entries(log_lines: DataFrame, stage: bool = False) -> DataFrame:
     is not read a second time for the split edges.
     """
     spark = log_lines.sparkSession
-    # The window frame that Spark would need here shuffles every line; see module note.
+    # A window over the lines of a split would do the same, but shuffles every line.
     pieces = log_lines.withColumn("start", F.col("value").rlike(fixed.ENTRY_START)).mapInArrow(
-        _stitch, _PIECE
+        stitch, PIECE
     )
     if stage:
         path = scratch_path(spark, "log-pieces")
