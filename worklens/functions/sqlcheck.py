@@ -12,14 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from worklens import fixed
-from worklens.functions.text import strip
-from worklens.functions.variants import let
+from worklens.functions.text import let, strip
 
 NESTING = 6
 _QUOTED_OR_COMMENT = r"""('(?:[^']++|'')*+'|"(?:[^"]++|"")*+")|--[^\n]*|/\*(?s:.*?)\*/"""
 _LITERAL = r"'(?:[^']++|'')*+'"
 _QUOTED_NAME = r'"(?:[^"]++|"")*+"'
 _TOKEN = r"""('(?:[^']++|'')*+'|"(?:[^"]++|"")*+"|[\w$.]+|[^\s\w$.])"""
+_DROP = r"^DROP (" + "|".join(spelling for spelling, _ in fixed.DROP_KINDS) + r")\b"
 _LEADING_CTE = r"^WITH .*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b"
 
 
@@ -67,29 +67,24 @@ def _alter_reasons(flat: Column) -> Column:
     return F.filter(F.transform(F.split(body, ","), reason), lambda r: r.isNotNull())
 
 
-def _reasons(statement: Column) -> Column:
-    flat = _top_level(statement)
-    none = F.array().cast("array<string>")
-    drop = F.lit(None).cast("string")
-    for spelling, kind in reversed(fixed.DROP_KINDS):
-        drop = F.when(flat.rlike(rf"^DROP {spelling}\b"), f"DROP {kind}").otherwise(drop)
+def _reasons(flat: Column) -> Column:
+    spelling = F.regexp_extract(flat, _DROP, 1)
+    kinds = F.create_map(*[F.lit(text) for pair in fixed.DROP_KINDS for text in pair])
     no_where = ~flat.rlike(r"\bWHERE\b")
     single = (
-        F.when(flat.startswith("DROP "), drop)
+        F.when(spelling != "", F.concat(F.lit("DROP "), F.try_element_at(kinds, spelling)))
         .when(flat.rlike(r"^TRUNCATE\b"), fixed.TRUNCATE_REASON)
         .when(flat.rlike(r"^DELETE FROM\b") & no_where, fixed.DELETE_REASON)
         .when(flat.rlike(r"^UPDATE\b") & no_where, fixed.UPDATE_REASON)
     )
-    return (
-        F.when(flat.rlike(r"^ALTER TABLE\b"), _alter_reasons(flat))
-        .when(single.isNotNull(), F.array(single))
-        .otherwise(none)
+    return F.when(flat.rlike(r"^ALTER TABLE\b"), _alter_reasons(flat)).otherwise(
+        F.filter(F.array(single), lambda r: r.isNotNull())
     )
 
 
 def destructive_reasons(parsed: Column) -> Column:
     """Reasons over all statements of an array made by :func:`statements`."""
-    return F.flatten(F.transform(parsed, _reasons))
+    return F.flatten(F.transform(parsed, lambda s: let(_top_level(s), _reasons)))
 
 
 def statement_types(parsed: Column) -> Column:
@@ -119,6 +114,26 @@ def parse_error(sql: Column, parsed: Column) -> Column:
     )
 
 
+def check(sql: Column) -> Column:
+    """``struct<parse_error, destructive, statement_types>`` of a ``;`` batch.
+
+    A batch that is not accepted has no reasons and no types.
+    """
+    none = F.array().cast("array<string>")
+
+    def facts(parsed: Column) -> Column:
+        return let(
+            parse_error(sql, parsed),
+            lambda error: F.struct(
+                error.alias("parse_error"),
+                F.when(error.isNull(), destructive_reasons(parsed)).otherwise(none).alias("destructive"),
+                F.when(error.isNull(), statement_types(parsed)).otherwise(none).alias("statement_types"),
+            ),
+        )
+
+    return let(statements(sql), facts)
+
+
 def flags(parse_ok: Column, destructive: Column) -> Column:
     """Reviewer flags in one text: parse failure first, then the destructive reasons."""
     failed = F.when(parse_ok, F.array().cast("array<string>")).otherwise(
@@ -136,29 +151,21 @@ def layout_free(sql: Column) -> Column:
 
 def clauses(sql: Column) -> Column:
     """Clauses of a statement, one array element per clause keyword."""
-    text = layout_free(sql)
     cut = F.regexp_replace(
-        text,
+        layout_free(sql),
         r" (?=(?:FROM|WHERE|GROUP BY|HAVING|ORDER BY|LIMIT|OFFSET|SET|VALUES|RETURNING|UNION)\b)",
         "\n",
     )
-    return F.when(sql.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
-        F.split(cut, "\n")
+    return F.filter(
+        F.split(F.coalesce(cut, F.lit("")), "\n"), lambda clause: clause != ""
     )
 
 
 def changed(current: Column, proposed: Column) -> Column:
     """True when the proposal differs in more than layout; no current SQL is a change."""
-    return ~F.coalesce(layout_free(current), F.lit("")).eqNullSafe(layout_free(proposed))
-
-
-def _without(some: Column, others: Column) -> Column:
-    return let(others, lambda known: F.filter(some, lambda c: ~F.array_contains(known, c)))
-
-
-def removed_clauses(current: Column, proposed: Column) -> Column:
-    return _without(clauses(current), clauses(proposed))
+    return F.coalesce(layout_free(current), F.lit("")) != layout_free(proposed)
 
 
-def added_clauses(current: Column, proposed: Column) -> Column:
-    return _without(clauses(proposed), clauses(current))
+def without(some: Column, others: Column) -> Column:
+    """Elements of ``some`` that are not in ``others``, repeats kept."""
+    return F.filter(some, lambda c: ~F.array_contains(others, c))

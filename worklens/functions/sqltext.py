@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from worklens import fixed
-from worklens.functions.text import strip
+from worklens.functions.text import let
 
 
 def fingerprint(
@@ -53,12 +53,15 @@ def query_type(query: Column) -> Column:
 
 def tables(query: Column) -> Column:
     """Table names: pattern order, first occurrence kept."""
-    scrubbed = F.regexp_replace(query, fixed.EXTRACT_CALL, " ")
-    found = F.concat(
-        *[F.regexp_extract_all(scrubbed, F.lit(p), F.lit(1)) for p in fixed.TABLE_PATTERNS]
-    )
-    kept = F.filter(found, lambda name: ~F.upper(name).isin(*fixed.NOT_TABLES))
-    return F.array_distinct(F.transform(kept, lambda name: F.btrim(name, F.lit('"'))))
+
+    def names(scrubbed: Column) -> Column:
+        found = F.concat(
+            *[F.regexp_extract_all(scrubbed, F.lit(p), F.lit(1)) for p in fixed.TABLE_PATTERNS]
+        )
+        kept = F.filter(found, lambda name: ~F.upper(name).isin(*fixed.NOT_TABLES))
+        return F.array_distinct(F.transform(kept, lambda name: F.btrim(name, F.lit('"'))))
+
+    return let(F.regexp_replace(query, fixed.EXTRACT_CALL, " "), names)
 
 
 def zone_tagged(query: Column, zone: Column) -> Column:

@@ -6,22 +6,13 @@ which ``from_json`` with a fixed schema does not.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from worklens import fixed
-from worklens.functions.text import strip
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row.
-
-    A column that is referred to many times may be copied into each place by the
-    optimiser; a lambda variable is not.
-    """
-    return F.transform(F.array(value), body)[0]
+from worklens.functions.text import let, strip
 
 
 def document(text: Column, names: Iterable[str]) -> Column:

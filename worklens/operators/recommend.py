@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens import fixed, schemas
-from worklens.functions.text import strip
-from worklens.functions.variants import Field, document, facts, first_failure, let, shape_error
+from worklens.functions.text import let, strip
+from worklens.functions.variants import Field, document, facts, first_failure, shape_error
 
 # A recommender takes workload snapshots and returns recommendation rows.
 Recommender = Callable[[DataFrame], DataFrame]

@@ -31,20 +31,10 @@ def review_mode(config_value: bool | None = None, setting: str | None = None) ->
 def checked(proposed: DataFrame) -> DataFrame:
     """Add parse result, destructive reasons and statement types for the column ``sql``."""
     return (
-        proposed.withColumn("_parsed", sqlcheck.statements(F.col("sql")))
-        .withColumn("parse_error", sqlcheck.parse_error(F.col("sql"), F.col("_parsed")))
-        .withColumns(
-            {
-                "parse_ok": F.col("parse_error").isNull(),
-                "destructive": F.when(
-                    F.col("parse_error").isNull(), sqlcheck.destructive_reasons(F.col("_parsed"))
-                ).otherwise(F.array().cast("array<string>")),
-                "statement_types": F.when(
-                    F.col("parse_error").isNull(), sqlcheck.statement_types(F.col("_parsed"))
-                ).otherwise(F.array().cast("array<string>")),
-            }
-        )
-        .drop("_parsed")
+        proposed.withColumn("_check", sqlcheck.check(F.col("sql")))
+        .select("*", "_check.*")
+        .withColumn("parse_ok", F.col("parse_error").isNull())
+        .drop("_check")
     )
 
 
@@ -346,13 +336,19 @@ def proposal(state: DataFrame, proposal_id: str) -> DataFrame:
 
 def changes(proposed: DataFrame) -> DataFrame:
     """Proposals with a change flag and the clauses taken out and put in."""
-    current, new = F.col("current_sql"), F.col("sql")
-    return proposed.withColumns(
-        {
-            "changed": sqlcheck.changed(current, new),
-            "removed_clauses": sqlcheck.removed_clauses(current, new),
-            "added_clauses": sqlcheck.added_clauses(current, new),
-        }
+    both = F.struct(
+        sqlcheck.clauses(F.col("current_sql")).alias("old"), sqlcheck.clauses(F.col("sql")).alias("new")
+    )
+    return (
+        proposed.withColumn("_clauses", both)
+        .withColumns(
+            {
+                "changed": F.col("_clauses.old") != F.col("_clauses.new"),
+                "removed_clauses": sqlcheck.without(F.col("_clauses.old"), F.col("_clauses.new")),
+                "added_clauses": sqlcheck.without(F.col("_clauses.new"), F.col("_clauses.old")),
+            }
+        )
+        .drop("_clauses")
     )
 
 

@@ -14,39 +14,39 @@ K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS int)"
 # A query log with several spellings of the same patterns, literals of all kinds, lists of
 # different lengths, a hot pattern and many rare ones.
 QUERY_LOG = f"""
-SELECT ts, event_id AS seq, user_id, event_type, {K} AS k,
+SELECT ts, event_id AS seq, user_id, event_type, k,
   CASE
     WHEN event_type = 'view' THEN concat(
-      CASE WHEN {K} % 2 = 0 THEN 'SELECT * FROM users' ELSE concat('select  *', chr(10), ' from users') END,
+      CASE WHEN k % 2 = 0 THEN 'SELECT * FROM users' ELSE concat('select  *', chr(10), ' from users') END,
       ' WHERE id = ', CAST(user_id AS string),
-      CASE WHEN {K} % 3 = 0 THEN '' ELSE concat(' AND region = ', chr(39), 'r', CAST({K} AS string), chr(39)) END)
+      CASE WHEN k % 3 = 0 THEN '' ELSE concat(' AND region = ', chr(39), 'r', CAST(k AS string), chr(39)) END)
     WHEN event_type = 'click' THEN concat(
       'SELECT id, name FROM "Products" p JOIN stock s ON p.id = s.id WHERE category IN (',
-      CASE {K} % 3 WHEN 0 THEN '1' WHEN 1 THEN concat('1, ', CAST({K} AS string))
+      CASE k % 3 WHEN 0 THEN '1' WHEN 1 THEN concat('1, ', CAST(k AS string))
         ELSE concat(chr(39), 'a', chr(39), chr(39), 'b', chr(39), ', 2 , 3') END,
-      ') AND price > ', CAST({K} AS string), '.', CAST(user_id % 100 AS string))
+      ') AND price > ', CAST(k AS string), '.', CAST(user_id % 100 AS string))
     WHEN event_type = 'purchase' THEN concat(
-      'INSERT INTO orders_', CAST({K} % 10 AS string), ' (id, note, total) VALUES (',
-      CAST(user_id AS string), ', ', chr(39), 'it', chr(39), chr(39), 's ', CAST({K} AS string), chr(39),
-      ', ', CAST({K} AS string), '.50); -- order')
+      'INSERT INTO orders_', CAST(k % 10 AS string), ' (id, note, total) VALUES (',
+      CAST(user_id AS string), ', ', chr(39), 'it', chr(39), chr(39), 's ', CAST(k AS string), chr(39),
+      ', ', CAST(k AS string), '.50); -- order')
     WHEN event_type = 'signup' THEN concat(
       'UPDATE users SET last_login = NOW(), tag = $1 WHERE n', CAST(user_id % 40 AS string),
-      ' = ', CAST({K} AS string), '  ;')
-    ELSE CASE {K} % 4
+      ' = ', CAST(k AS string), '  ;')
+    ELSE CASE k % 4
       WHEN 0 THEN concat('DELETE FROM sessions WHERE id = ', CAST(user_id AS string))
-      WHEN 1 THEN concat('WITH recent AS (SELECT * FROM events LIMIT ', CAST({K} AS string), ') SELECT * FROM recent')
+      WHEN 1 THEN concat('WITH recent AS (SELECT * FROM events LIMIT ', CAST(k AS string), ') SELECT * FROM recent')
       WHEN 2 THEN 'EXPLAIN SELECT EXTRACT(YEAR FROM created_at) FROM events_log'
-      ELSE concat('  create index i', CAST({K} AS string), ' on t (a)') END
+      ELSE concat('  create index i', CAST(k AS string), ' on t (a)') END
   END AS query,
   CAST(NULL AS string) AS query_type,
   value AS execution_time_ms,
-  CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST({K} AS bigint) END AS rows_returned,
-  CASE WHEN event_type IN ('view', 'click') THEN CAST({K} * 10 AS bigint) END AS rows_scanned,
-  CASE WHEN event_type = 'signup' THEN CAST({K} + 1 AS bigint) END AS buffer_hits,
-  CASE WHEN event_type = 'signup' THEN CAST({K} % 7 AS bigint) END AS buffer_misses,
+  CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST(k AS bigint) END AS rows_returned,
+  CASE WHEN event_type IN ('view', 'click') THEN CAST(k * 10 AS bigint) END AS rows_scanned,
+  CASE WHEN event_type = 'signup' THEN CAST(k + 1 AS bigint) END AS buffer_hits,
+  CASE WHEN event_type = 'signup' THEN CAST(k % 7 AS bigint) END AS buffer_misses,
   event_type <> 'error' AS success,
   CASE user_id % 3 WHEN 0 THEN 'application' ELSE 'postgres' END AS source
-FROM {{events}}
+FROM (SELECT *, {K} AS k FROM {{events}})
 """
 
 # Cumulative statement counters, one capture per day. Counters restart on day 16 for two
@@ -168,16 +168,16 @@ SELECT o_orderdate AS ts, o_orderkey AS seq, concat('pw-', CAST(o_orderkey AS st
 FROM {{orders}}
 UNION ALL
 SELECT ts, 1000000000 + event_id AS seq,
-  CASE WHEN {K} = 99 THEN 'gone' ELSE concat('pw-', CAST(user_id * 10 + {K} % 10 AS string)) END AS proposal_id,
+  CASE WHEN k = 99 THEN 'gone' ELSE concat('pw-', CAST(user_id * 10 + k % 10 AS string)) END AS proposal_id,
   CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject'
     ELSE 'apply' END AS action,
-  CASE WHEN {K} % 9 = 0 THEN '' ELSE concat('r', CAST({K} % 4 AS string)) END AS actor,
-  CASE WHEN {K} % 5 = 0 THEN '  ' WHEN {K} % 5 = 1 THEN NULL ELSE concat(' no ', CAST({K} AS string), ' ') END AS reason,
-  {K} % 4 <> 0 AS confirm,
-  CASE WHEN event_type = 'signup' AND {K} % 3 = 0 THEN concat('duplicate key ', CAST({K} AS string), chr(10), 'detail') END AS error,
+  CASE WHEN k % 9 = 0 THEN '' ELSE concat('r', CAST(k % 4 AS string)) END AS actor,
+  CASE WHEN k % 5 = 0 THEN '  ' WHEN k % 5 = 1 THEN NULL ELSE concat(' no ', CAST(k AS string), ' ') END AS reason,
+  k % 4 <> 0 AS confirm,
+  CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN concat('duplicate key ', CAST(k AS string), chr(10), 'detail') END AS error,
   CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS decimal(5,4)),
   CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string)
-FROM {{events}}
+FROM (SELECT *, {K} AS k FROM {{events}})
 """
 
 # Model answers: prose, a JSON object of varying shape, more prose.
@@ -218,7 +218,11 @@ TABLES = ("events", "orders", "lineitem", "documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table. A row group is read by one task, so a table of fewer row groups than
+    there are cores is spread first; a table of many files is read as it is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

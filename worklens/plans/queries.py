@@ -268,19 +268,17 @@ def f12_f14_retrieval_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def f15_destructive_flags(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = sqlcheck.statements(F.col("sql"))
-    return proposed(spark, sf).select(
-        "proposal_id", joined(sqlcheck.destructive_reasons(parsed)).alias("destructive")
-    )
+    reasons = sqlcheck.destructive_reasons(sqlcheck.statements(F.col("sql")))
+    return proposed(spark, sf).select("proposal_id", joined(reasons).alias("destructive"))
 
 
 @register
 def f16_statement_types(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = sqlcheck.statements(F.col("sql"))
-    return proposed(spark, sf).select(
+    parsed = proposed(spark, sf).withColumn("parsed", sqlcheck.statements(F.col("sql")))
+    return parsed.select(
         "proposal_id",
-        joined(sqlcheck.statement_types(parsed)).alias("statement_types"),
-        sqlcheck.parse_error(F.col("sql"), parsed).alias("parse_error"),
+        joined(sqlcheck.statement_types(F.col("parsed"))).alias("statement_types"),
+        sqlcheck.parse_error(F.col("sql"), F.col("parsed")).alias("parse_error"),
     )
 
 

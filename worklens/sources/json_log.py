@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens import fixed, schemas
-from worklens.functions.text import spaced_json, strip
+from worklens.functions.text import let, spaced_json, strip
 from worklens.functions.timestamps import iso_timestamp, json_timestamp
-from worklens.functions.variants import Field, document, facts, first_failure, let, shape_error
+from worklens.functions.variants import Field, document, facts, first_failure, shape_error
 from worklens.sources.stderr_log import lines
 
 REJECT = "reject_reason"
