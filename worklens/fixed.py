@@ -48,7 +48,7 @@ ENTRY_START = (
     r"(?U)^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\s+\S+\s+\[\d+\]\s+\w+:(?:\s|$)"
 )
 ENTRY_FIELDS = (
-    r"(?sU)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\S+)\s+\[(\d+)\]\s+(\w+):\s+(.*)$"
+    r"(?sU)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\S+)\s+\[(\d+)\]\s+(\w+):[^\S\n]+(.*)$"
 )
 DURATION_STATEMENT = r"(?isU)duration:\s*([\d.]+)\s*ms\s+(?:statement|(?:execute\s+(\S+))):\s*(.*)$"
 ZONE_TAG = " /* pg_log_tz="

@@ -38,19 +38,12 @@ def spaced_json(compact: Column) -> Column:
 
 
 def ascii_escaped(text: Column) -> Column:
-    """Replace each non-ASCII character by its JSON escape (surrogate pairs past U+FFFF)."""
-
-    def escape(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+    """Replace each non-ASCII character by its JSON escape, in UTF-16 units."""
 
     def one(ch: Column) -> Column:
-        code = F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("int")
-        high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
-        low = F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
-        return (
-            F.when(code < 128, ch)
-            .when(code < 0x10000, escape(code))
-            .otherwise(F.concat(escape(high), escape(low)))
+        units = F.lower(F.hex(F.encode(ch, "utf-16be")))
+        return F.when(F.ascii(ch) < 128, ch).otherwise(
+            F.regexp_replace(units, "(.{4})", r"\\u$1")
         )
 
     escaped = F.array_join(F.transform(F.split(text, ""), one), "")

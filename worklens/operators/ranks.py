@@ -22,7 +22,9 @@ _SMALLEST = 1e-6
 
 def _slot(value: Column) -> Column:
     size = F.floor(F.log2(F.abs(value) / F.lit(_SMALLEST) + 1) * SLOTS_PER_OCTAVE)
-    return F.when(value < 0, -size).otherwise(size)
+    # Never NULL, so that the join on slots adds no filter to one of its sides and both
+    # sides can read the same shuffle of the cells.
+    return F.coalesce(F.when(value < 0, -size).otherwise(size), F.lit(0))
 
 
 def nearest_ranks(
@@ -30,10 +32,13 @@ def nearest_ranks(
 ) -> DataFrame:
     """Per group, the value at 0-based ascending position ``int(n * q)`` for each quantile.
 
-    Groups with fewer than ``min_rows`` rows are left out.
+    Groups with fewer than ``min_rows`` rows are left out. Keys that are computed should
+    not be nullable: the joins would test them for NULL, and that test is pushed to the
+    scan, where it computes the key a second time.
     """
     cells = (
-        rows.groupBy(*keys, value)
+        rows.dropna(subset=[value])
+        .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_slot", _slot(F.col(value)))
     )

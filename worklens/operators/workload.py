@@ -49,7 +49,7 @@ def _snapshot_rows(rows: DataFrame, keys: list[str], min_query_count: int) -> Da
     Counts, sums and the first row are combined on the map side. In the rank search a
     digest stands in for the pattern text, so its shuffles carry fixed-width keys.
     """
-    digest = F.unhex(F.sha2("query_fingerprint", 256))
+    digest = F.coalesce(F.unhex(F.sha2("query_fingerprint", 256)), F.lit(b""))
     first = F.min_by(
         F.struct(
             "query_type",
