@@ -45,10 +45,8 @@ def query_hash(query: Column, **flags: bool) -> Column:
 def query_type(query: Column) -> Column:
     """First matching statement type; a prefix test without a word boundary."""
     head = F.upper(F.substring(F.ltrim(query, F.lit(fixed.WHITESPACE)), 1, 10))
-    kind = F.lit(fixed.OTHER_TYPE)
-    for name in reversed(fixed.QUERY_TYPES):
-        kind = F.when(head.startswith(name), name).otherwise(kind)
-    return F.when(query.isNotNull(), kind)
+    found = F.regexp_extract(head, "^(" + "|".join(fixed.QUERY_TYPES) + ")", 1)
+    return F.when(found == "", fixed.OTHER_TYPE).otherwise(found)
 
 
 def tables(query: Column) -> Column:

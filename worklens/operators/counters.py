@@ -108,12 +108,18 @@ def _packed() -> Column:
 def capture_times(history: DataFrame) -> DataFrame:
     """Each capture time with the one before it.
 
-    The window is over distinct capture times only: one short row per capture run, and
-    duplicates are removed on the map side first.
+    Distinct times are ordered within their day; only one row per calendar day takes part
+    in the window that has no partition.
     """
-    times = history.select("captured_at").distinct()
-    return times.withColumn(
-        "previous_at", F.lag("captured_at").over(Window.orderBy("captured_at"))
+    times = history.select("captured_at").distinct().withColumn("_day", F.to_date("captured_at"))
+    days = (
+        times.groupBy("_day")
+        .agg(F.max("captured_at").alias("_last"))
+        .select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_before"))
+    )
+    in_day = F.lag("captured_at").over(Window.partitionBy("_day").orderBy("captured_at"))
+    return times.join(days, "_day").select(
+        "captured_at", F.coalesce(in_day, F.col("_before")).alias("previous_at")
     )
 
 
