@@ -1,7 +1,8 @@
 """Incremental reading of JSON logs: each run takes only the files that are new.
 
-The rows and rejects are those of the batch reader; the file source remembers what it
-has read in its checkpoint, so a run that is repeated after a failure adds nothing twice.
+Rows and rejects are those of the batch reader. The file source keeps what it has read in
+its checkpoint, and each micro-batch replaces its own folder of the table, so a batch that
+is repeated after a failure adds nothing twice.
 """
 
 from __future__ import annotations
@@ -15,15 +16,6 @@ from worklens.operators.workload import with_fingerprint
 from worklens.sources.json_log import accepted, parse_json_rows
 
 
-def new_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-
-
 def append_new_entries(
     spark: SparkSession,
     path: str,
@@ -33,11 +25,20 @@ def append_new_entries(
     source: str = fixed.SOURCE_APPLICATION,
 ) -> StreamingQuery:
     """Append the entries of new log files, with fingerprints, to a query-log table."""
-    rows = with_fingerprint(accepted(parse_json_rows(new_lines(spark, path), now, source)))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("line", F.monotonically_increasing_id())
+        rows = with_fingerprint(accepted(parse_json_rows(numbered, now, source)))
+        rows.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
+
+    lines = spark.readStream.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
+    )
     return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
+        lines.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(table)
+        .start()
     )
