@@ -110,6 +110,15 @@ def slo_check(
     )
 
 
+def slo_limits(
+    p95_latency_ms: float = 500.0, p99_latency_ms: float = 1000.0, error_rate_percent: float = 0.1
+) -> dict[str, float]:
+    """Arguments of :func:`slo_check` from configured thresholds; the error rate is in percent."""
+    return {
+        "p95_ms": p95_latency_ms, "p99_ms": p99_latency_ms, "error_rate": error_rate_percent / 100,
+    }
+
+
 def rag_result(golden: DataFrame, as_of: Column) -> DataFrame:
     """Evaluation-result row of a retrieval test; the pass flag stays false here."""
     m = rag_metrics(golden)

@@ -37,7 +37,7 @@ def nearest_ranks(
     scan, where it computes the key a second time.
     """
     cells = (
-        rows.dropna(subset=[value])
+        rows.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_slot", _slot(F.col(value)))

@@ -506,6 +506,10 @@ SELECT snapshot_timestamp, CAST(n AS int) AS rank, query_fingerprint, execution_
   SELECT *, row_number() OVER (PARTITION BY snapshot_timestamp ORDER BY impact_score DESC, query_fingerprint) AS n
   FROM ({DAILY})) WHERE n <= 10"""
 
+ORACLE["t11_first_snapshots"] = f"""
+SELECT query_type, execution_count, {r('p95_latency_ms')} AS p95_latency_ms, {r('i', 3)} AS impact_score
+FROM (SELECT *, impact_score AS i FROM ({snapshots(WEEKLY_ROWS)})) ORDER BY i DESC, query_fingerprint LIMIT 5"""
+
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 ORACLE["k1_snapshot_upsert"] = f"""

@@ -572,6 +572,17 @@ def t9_top_entries(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("snapshot_timestamp", "rank", "query_fingerprint", "execution_count")
 
 
+@register
+def t11_first_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    first = workload.by_impact(
+        workload.workload_snapshots(query_log(spark, sf), now(), WEEK)
+    ).limit(5)
+    return rounded(
+        rounded(first.select("query_type", "execution_count", "p95_latency_ms", "impact_score"), "p95_latency_ms"),
+        "impact_score", places=3,
+    )
+
+
 # --- sinks -----------------------------------------------------------------------------------------
 
 
