@@ -82,13 +82,20 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit polynomial hash of the bytes of each word, mixed."""
+    def hashes(self, *prefixes: int) -> list[np.ndarray]:
+        """64-bit polynomial hashes of each word, and of its first bytes for each of ``prefixes``, mixed."""
         n = len(self.data)
         up, down = _powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        base, scale = sums[self.starts], down[self.starts]
+        ends = [self.ends, *(np.minimum(self.ends, self.starts + k) for k in prefixes)]
+        return [mix((sums[end] - base) * scale) for end in ends]
+
+
+def per_text(rows: np.ndarray, first: np.ndarray, reduce) -> np.ndarray:
+    """``reduce`` over the rows of each text, one row per text; ``first`` as in Words, no text empty."""
+    return np.stack([reduce(rows[a:b], axis=0) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

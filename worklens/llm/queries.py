@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import collision_ann, secret_cnn, simhash_vptree, wu_manber
+from worklens.llm import collision_ann, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_indexing.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.digest(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op6_secret_scan, op8_nearest_neighbours, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op6_secret_scan, op8_nearest_neighbours, op10_benchmark_decontamination)
 }
 ORACLE: dict[str, str] = {}
