@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import collision_ann, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, wu_manber
+from worklens.llm import byte_bpe, collision_ann, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return collision_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
@@ -40,6 +46,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op6_secret_scan, op8_nearest_neighbours, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op10_benchmark_decontamination)
 }
 ORACLE: dict[str, str] = {}
