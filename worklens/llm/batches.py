@@ -85,7 +85,7 @@ class Words:
     def hashes(self, *prefixes: int) -> list[np.ndarray]:
         """64-bit polynomial hashes of each word, and of its first bytes for each of ``prefixes``, mixed."""
         n = len(self.data)
-        up, down = _powers(n)
+        up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         base, scale = sums[self.starts], down[self.starts]
@@ -111,7 +111,7 @@ _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, kept between calls."""
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + (1 << 16))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import byte_bpe, collision_ann, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, wu_manber
+from worklens.llm import byte_bpe, collision_ann, column_bwt_dedup, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,16 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_bwt_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return wu_manber.digest(found)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_suffix_dedup, op10_benchmark_decontamination)
 }
 ORACLE: dict[str, str] = {}
