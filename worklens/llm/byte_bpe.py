@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A text is split by the vocabulary's pattern (``regexp_extract_all``). A word is the array of
-its bytes, and the ranked merges are a fold over it: the accumulator holds the parts and
-the rank of every neighbouring pair, each step joins the leftmost pair of least rank and
-looks up the two new pairs only. A byte is written as the character with its number, so
-parts are strings whose concatenation is the concatenation of bytes.
-
-Ranks are a literal: an array of small maps, chosen by the CRC-32 of the key, since Spark
-searches a map from front to back. The distinct words of the whole corpus are counted
-first; the ``FREQUENT`` most frequent ones, a fixed number, are folded once each and become a
-second such literal. Words beyond it are folded where they stand. So nothing but word
-counts is shuffled, no text is moved, and no word depends on another. Decoding looks up the
-bytes of every id in a literal array and concatenates them.
+A word is the array of its bytes, and the ranked merges are a fold over it: the
+accumulator holds the parts and the rank of every neighbouring pair, each step joins the
+leftmost pair of least rank and looks up the two new pairs only. A byte is written as the
+character with its number, so parts are strings whose concatenation is the concatenation
+of bytes. Ranks are a literal: an array of small maps, chosen by the CRC-32 of the key,
+since Spark searches a map from front to back.
+
+The fold runs over distinct words. Those of the whole corpus are counted; the most frequent
+ones, ``FREQUENT`` at most, are folded once each and broadcast, a table of bounded size. Texts
+are split by the vocabulary's pattern and looked up in that table inside Arrow batches;
+the distinct words of a text that it lacks are folded next to their text. So nothing but
+word counts is shuffled, and no text is moved. Decoding looks up the bytes of every id in
+a literal array and concatenates them.
 
 The special tokens of a vocabulary are not used. Null text counts as empty: no ids, no
 bytes. One word is folded in steps that copy its parts, so the time for a word grows
@@ -23,16 +24,25 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
+from worklens.llm.batches import append, slices
 from worklens.llm.staging import staged
 
-#: Words folded ahead, and the longest of them in characters: bounds of the literal.
-FREQUENT, LONGEST = 100_000, 64
-#: Maps in the two literals.
-RANK_MAPS, WORD_MAPS = 1 << 14, 1 << 15
+#: Words folded ahead, and the longest of them in characters: bounds of what is broadcast.
+FREQUENT, LONGEST = 400_000, 64
+#: Distinct words that a task holds before it passes their counts on.
+HELD_WORDS = 300_000
+#: Maps in the literal.
+RANK_MAPS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,17 +67,13 @@ class Vocabulary:
     """Expressions over the ranks of one vocabulary and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        # Java's \\s knows Unicode white space only under this flag.
-        self.pattern = "(?U)" + pattern
+        self.plain = pattern
         self.ranks = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, RANK_MAPS, "int")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             hexes[rank] = word.hex()
         self.bytes = F.split(F.lit(",".join(hexes)), ",")
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
     def folded(self, word: Column) -> Column:
         """The ids of one word."""
         parts = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
@@ -102,16 +108,84 @@ class Vocabulary:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.bytes, i)), ""))
 
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+def word_counts(documents: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """(word, count) over all texts; tasks add up what they have read before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for _, texts in slices(batch, text):
+                for raw in texts:
+                    seen.update(find(raw.decode("utf-8", "replace")))
+                if len(seen) > HELD_WORDS:
+                    yield _rows(seen)
+                    seen = Counter()
+        yield _rows(seen)
+
+    def _rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
+
+    return documents.select(documents[f"`{text}`"]).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+
+
+def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", number: int = FREQUENT) -> pa.Table:
+    """Ids of the most frequent words: at most ``number`` words of at most ``LONGEST`` characters."""
+    counts = staged(word_counts(documents, vocabulary.plain, text).where(F.length("word") <= LONGEST), "word-counts")
+    steps = counts.groupBy("count").agg(F.count("*").alias("words"))
+    # One row per power of two; the words with at least the chosen count fit.
+    sizes = steps.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.sum("words").alias("words")).collect()
+    least, total = 1 << 62, 0
+    for power, words in sorted(sizes, reverse=True):
+        if total + words > number:
+            within = steps.where(F.floor(F.log2("count")) == power).orderBy(F.desc("count")).limit(number).collect() if power < 20 else []
+            for count, some in within:
+                if total + some > number:
+                    break
+                least, total = count, total + some
+            break
+        least, total = 1 << power, total + words
+    chosen = counts.where(F.col("count") >= least)
+    return staged(chosen.select("word", F.array_join(vocabulary.folded(F.col("word")), " ").alias("ids")), "frequent-words").toArrow()
+
+
+def _marked(known, pattern: str):
+    """A map from texts to ids of known words, and to the other words of each text, which the ids count from -1 down."""
+    tables: list[dict[str, str]] = []
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        if not tables:
+            table = known.value
+            tables.append(dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)))
+        ids_of, find = tables[0].get, regex.compile(pattern).findall
+        lines, rest = [], []
+        for raw in texts:
+            words = find(raw.decode("utf-8", "replace"))
+            ids = list(map(ids_of, words))
+            others: dict[str, int] = {}
+            if None in ids:
+                for i, found in enumerate(ids):
+                    if found is None:
+                        ids[i] = str(~others.setdefault(words[i], len(others)))
+            lines.append(np.fromstring(" ".join(ids), np.int32, sep=" "))
+            rest.append(list(others))
+        offsets = pa.array(np.cumsum([0, *map(len, lines)]), pa.int32())
+        values = pa.array(np.concatenate(lines) if lines else np.zeros(0, np.int32), pa.int32())
+        return [pa.ListArray.from_arrays(offsets, values), pa.array(rest, pa.list_(pa.string()))]
+
+    return compute
+
+
+def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, text: str = "text", number: int = FREQUENT) -> DataFrame:
     """The kept columns and ``ids``, the array of token ids of each text."""
-    words = documents.select(F.explode(vocabulary.words(documents[f"`{text}`"])).alias("word"))
-    counted = words.where(F.length("word") <= LONGEST).groupBy("word").count()
-    frequent = counted.orderBy(F.desc("count"), "word").limit(FREQUENT)
-    known = staged(frequent.select("word", vocabulary.folded(F.col("word")).alias("ids")), "frequent-words").collect()
-    table = _literal({r["word"]: list(r["ids"]) for r in known}, WORD_MAPS, "array<int>")
-    ids = F.flatten(F.transform(vocabulary.words(documents[f"`{text}`"]), lambda w: F.coalesce(_looked_up(table, WORD_MAPS, w), vocabulary.folded(w))))
-    names = [c for c in (documents.columns if keep is None else keep) if c != "ids"]
-    return documents.select(*[documents[f"`{c}`"] for c in names], ids.alias("ids"))
+    known = documents.sparkSession.sparkContext.broadcast(frequent_words(documents, vocabulary, text, number))
+    fields = [StructField("known_ids", ArrayType(IntegerType())), StructField("other_words", ArrayType(StringType()))]
+    marked = append(documents, _marked(known, vocabulary.plain), fields, text, keep)
+    folded = F.struct(F.col("known_ids").alias("ids"), F.transform("other_words", vocabulary.folded).alias("words"))
+    # Bound to a name, so that the fold runs once per text and not once per id.
+    place = lambda x: F.flatten(F.transform(x["ids"], lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(x["words"], -1 - i))))
+    ids = F.when(F.size("other_words") == 0, F.col("known_ids")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
+    names = [c for c in marked.columns if c not in ("known_ids", "other_words", "ids")]
+    return marked.select(*[marked[f"`{c}`"] for c in names], ids.alias("ids"))
 
 
 def digest(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
