@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import byte_bpe, collision_ann, column_bwt_dedup, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, warc_revisits, wu_manber
+from worklens.llm import byte_bpe, collision_ann, column_bwt_dedup, pii_surrogates, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, warc_revisits, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_indexing.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisits.digest(_table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op5_revisit_resolution, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_suffix_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_pii_surrogates, op5_revisit_resolution, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_suffix_dedup, op10_benchmark_decontamination)
 }
 ORACLE: dict[str, str] = {"op5_revisit_resolution": warc_revisits.ORACLE}

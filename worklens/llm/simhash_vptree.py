@@ -300,5 +300,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     prints = staged(long_fingerprints(documents, NEAR_SHINGLE, NEAR_WORDS, NEAR_SIMILARITY, keep=["doc_id"]), "prints")
     keyed = components(prints, NEAR_RADIUS, bands=2)
     chosen = staged(keyed.where("doc_id <=> component_id").select("doc_id").distinct(), "chosen")
-    first = documents.join(chosen, documents["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    kept = documents.join(chosen, documents["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    repeated = not prints.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
