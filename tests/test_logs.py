@@ -130,7 +130,12 @@ def test_sources_are_collected_in_order_and_missing_ones_skipped(spark, tmp_path
     assert [(r["query"], r["source"]) for r in rows] == [("SELECT 1", "application"), ("SELECT 2", "postgres")]
     with pytest.raises(ValueError):
         registry.reader_for("other_logs")
-    assert registry.reader_for("postgres_logs", "csv") is registry.reader_for("postgres_logs")
+    assert registry.reader_for("postgres_logs", "csv") is not registry.reader_for("postgres_logs")
+
+
+def test_a_file_of_another_format_gives_no_entries(spark, tmp_path):
+    (tmp_path / "p.log").write_text("2025-01-09,a,b\n" * 5000)
+    assert stderr_log.read_stderr_log(spark, str(tmp_path)).isEmpty()
 
 
 def test_snapshots_of_a_log(spark, tmp_path):

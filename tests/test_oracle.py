@@ -8,16 +8,17 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from worklens.plans.oracle import ORACLE
+from worklens.plans.queries import QUERIES
 
 FAMILIES = (
-    "s1_stderr_log_scan", "s2_json_log_scan", "s6_statement_scan", "f1_fingerprint", "f4_table_names",
+    "s1_stderr_log_scan", "s4_csv_log_scan", "f15_deep_statements", "s2_json_log_scan", "s6_statement_scan", "f1_fingerprint", "f4_table_names",
     "f12_f14_retrieval_scores", "f15_destructive_flags", "f19_response_parsing", "a1_workload_snapshot",
     "a2_pooled_statements", "a7_slo_compliance", "j1_history_deltas", "j4_long_retrieval_scores",
     "t8_top_query", "k3_retention", "r1_proposal_state", "p9_apply_gate_mode_off", "r5_audit_log",
     "o2_profile_statements",
 )
-NAMES = sorted(queries()) if os.environ.get("TEST_ALL_QUERIES") else FAMILIES
+NAMES = sorted(QUERIES) if os.environ.get("TEST_ALL_QUERIES") else FAMILIES
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -30,14 +31,14 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_oracle(spark, duck, name):
-    result = queries()[name](spark, SF)
+    result = QUERIES[name](spark, SF)
     order = sorted(result.columns)
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == order
     at = [columns.index(c) for c in order]

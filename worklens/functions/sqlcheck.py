@@ -1,9 +1,9 @@
 """Classification of proposed SQL: statement types, parse checks, destructive flags, changes.
 
-There is no grammar here. Literals, quoted names and comments are blanked first, then
-statements are split and tested with patterns. What this cannot see: syntax errors other
-than an unknown verb, a dangling keyword, or unbalanced quotes and parentheses; nesting
-deeper than ``NESTING``; dollar-quoted literals.
+There is no grammar here. Literals (plain, escape and dollar-quoted), quoted names and
+comments, nested ones included, are blanked first, then statements are split and tested
+with patterns. What this cannot see: syntax errors other than an unknown verb, a dangling
+keyword, or unbalanced quotes and parentheses.
 """
 
 from __future__ import annotations
@@ -14,24 +14,60 @@ from pyspark.sql import functions as F
 from worklens import fixed
 from worklens.functions.text import let, strip
 
-NESTING = 6
-_QUOTED_OR_COMMENT = r"""('(?:[^']++|'')*+'|"(?:[^"]++|"")*+")|--[^\n]*|/\*(?s:.*?)\*/"""
-_LITERAL = r"'(?:[^']++|'')*+'"
+_ESCAPED = r"(?<!\w)[eE]'(?:[^'\\]++|\\(?s:.)|'')*+'"
+_PLAIN = r"'(?:[^']++|'')*+'"
+_DOLLAR = r"(?<![\w$])\$((?:[A-Za-z_]\w*+)?)\$(?s:.*?)\$\2\$"
 _QUOTED_NAME = r'"(?:[^"]++|"")*+"'
-_TOKEN = r"""('(?:[^']++|'')*+'|"(?:[^"]++|"")*+"|[\w$.]+|[^\s\w$.])"""
+#: Group 1 is a literal or quoted name, group 2 the tag of a dollar-quoted one.
+_QUOTED_OR_COMMENT = rf"({_ESCAPED}|{_PLAIN}|{_QUOTED_NAME}|{_DOLLAR})|--[^\n]*|/\*(?s:.*?)\*/"
+_PIECE = rf"({_ESCAPED}|{_PLAIN}|{_QUOTED_NAME}|{_DOLLAR}|[^'\"$eE]++|(?s:.))"
+#: Units of a scan that keeps track of comment depth.
+_UNIT = r"""((?<!\w)[eE]'(?:[^'\\]++|\\(?s:.)|'')*+'|/\*|\*/|--|\n|\$(?:[A-Za-z_]\w*+)?\$|'|"|[^/*\-\n'"$eE]++|(?s:.))"""
+_NESTED = r"/\*(?s:(?!\*/).)*/\*"
+_TOKEN = rf"({_ESCAPED}|{_PLAIN}|{_QUOTED_NAME}|{_DOLLAR}|[\w$.]+|[^\s\w$.])"
 _DROP = r"^DROP (" + "|".join(spelling for spelling, _ in fixed.DROP_KINDS) + r")\b"
 _LEADING_CTE = r"^WITH .*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b"
 
 
 def without_comments(sql: Column) -> Column:
     """Comments removed; literals and quoted names are matched whole, so a ``--`` in them stays."""
-    return F.regexp_replace(sql, _QUOTED_OR_COMMENT, "$1 ")
+    flat = F.regexp_replace(sql, _QUOTED_OR_COMMENT, "$1 ")
+    return F.when(sql.rlike(_NESTED), _outside_comments(sql)).otherwise(flat)
+
+
+def _outside_comments(sql: Column) -> Column:
+    """The same for comments within comments: one pass over units with the depth as state.
+
+    ``within`` is the opening of what the pass is in: a quote, a dollar tag, a comment or
+    nothing.
+    """
+
+    def step(state: Column, unit: Column) -> Column:
+        within, depth = state["within"], state["depth"]
+        comment, line = within == "/*", within == "--"
+        deeper = depth + F.when(unit == "/*", 1).when(unit == "*/", -1).otherwise(0)
+        opens = unit.isin("/*", "--", "'", '"') | unit.rlike(r"^\$\w*\$$")
+        ends = F.when(comment, deeper == 0).when(line, unit == "\n").otherwise(unit == within)
+        return F.struct(
+            F.when(within == "", F.when(opens, unit).otherwise("")).when(ends, "").otherwise(within).alias("within"),
+            F.when(comment, deeper).when((within == "") & (unit == "/*"), 1).otherwise(0).alias("depth"),
+            F.when(comment | line | ((within == "") & unit.isin("/*", "--")), F.when(ends & (within != ""), F.concat(state["text"], F.lit(" "))).otherwise(state["text"]))
+            .otherwise(F.concat(state["text"], unit)).alias("text"),
+        )
+
+    start = F.struct(F.lit("").alias("within"), F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(F.regexp_extract_all(sql, F.lit(_UNIT), F.lit(1)), start, step, lambda state: state["text"])
 
 
 def blanked(sql: Column) -> Column:
     """Upper-case text without comments, literal contents and quoted-name contents."""
-    text = F.regexp_replace(without_comments(sql), _LITERAL, "''")
-    text = F.regexp_replace(text, _QUOTED_NAME, '"Q"')
+    def bare(piece: Column) -> Column:
+        literal = piece.rlike(r"(?s)^(?:'.*'|[eE]'.*'|\$.*\$)$")
+        name = piece.startswith('"') & piece.endswith('"') & (F.length(piece) > 1)
+        return F.when(literal, F.lit("''")).when(name, F.lit('"Q"')).otherwise(piece)
+
+    pieces = F.regexp_extract_all(without_comments(sql), F.lit(_PIECE), F.lit(1))
+    text = F.array_join(F.transform(pieces, bare), "")
     return F.upper(strip(F.regexp_replace(text, r"\s+", " ")))
 
 
@@ -42,10 +78,19 @@ def statements(sql: Column) -> Column:
 
 
 def _top_level(statement: Column) -> Column:
-    flat = statement
-    for _ in range(NESTING):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", " ")
-    flat = F.trim(F.regexp_replace(flat, r"\s+", " "))
+    """The text outside all parentheses: one pass with the depth as state."""
+
+    def step(state: Column, unit: Column) -> Column:
+        depth = state["depth"]
+        return F.struct(
+            F.when(unit == "(", depth + 1).when(unit == ")", F.greatest(depth - 1, F.lit(0))).otherwise(depth).alias("depth"),
+            F.concat(state["text"], F.when(unit.isin("(", ")"), " ").when(depth == 0, unit).otherwise("")).alias("text"),
+        )
+
+    units = F.regexp_extract_all(statement, F.lit(r"([()]|[^()]++)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    outside = F.aggregate(units, start, step, lambda state: state["text"])
+    flat = F.trim(F.regexp_replace(outside, r"\s+", " "))
     return F.regexp_replace(flat, _LEADING_CTE, "$1")
 
 
@@ -145,7 +190,7 @@ def flags(parse_ok: Column, destructive: Column) -> Column:
 def layout_free(sql: Column) -> Column:
     """Text that only differs when more than layout, comments or case of names differs."""
     tokens = F.regexp_extract_all(without_comments(sql), F.lit(_TOKEN), F.lit(1))
-    folded = F.transform(tokens, lambda t: F.when(t.rlike("""^['"]"""), t).otherwise(F.upper(t)))
+    folded = F.transform(tokens, lambda t: F.when(t.rlike(r"""^(?:['"]|[eE]'|\$.*\$$)"""), t).otherwise(F.upper(t)))
     return F.regexp_replace(F.array_join(folded, " "), r"(?: ;)+$", "")
 
 
@@ -161,11 +206,6 @@ def clauses(sql: Column) -> Column:
     )
 
 
-def changed(current: Column, proposed: Column) -> Column:
-    """True when the proposal differs in more than layout; no current SQL is a change."""
-    return F.coalesce(layout_free(current), F.lit("")) != layout_free(proposed)
-
-
 def without(some: Column, others: Column) -> Column:
     """Elements of ``some`` that are not in ``others``, repeats kept."""
     return F.filter(some, lambda c: ~F.array_contains(others, c))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,6 @@ from worklens import fixed, schemas
 from worklens.functions.text import let, strip
 from worklens.functions.variants import Field, document, facts, first_failure, shape_error
 
-# A recommender takes workload snapshots and returns recommendation rows.
-Recommender = Callable[[DataFrame], DataFrame]
-
 _RESPONSE_FIELDS = (
     "recommendation_id", "recommendation_type", "priority", "title", "rationale", "config_patch",
     "expected_effects", "risk_level", "risk_notes", "migration_sql", "rollback_sql",

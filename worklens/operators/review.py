@@ -5,8 +5,9 @@ or approved. Replaying events one by one would put all events of a proposal into
 task. It is not needed: once a proposal exists, its state at any moment follows from at
 most three events - the first valid approval, the first valid rejection, and the first
 valid application - and each of those is a minimum over ``(ts, seq)``, which is combined
-on the map side. Where events have to see their proposal's row, the join is salted, so a
-proposal with very many events is spread over all tasks.
+on the map side. Where events have to see their proposal's row, the proposals are a
+written table, so both sides of the join come from a shuffle that adaptive execution can
+split: a proposal with very many events is spread, the others are copied nowhere.
 """
 
 from __future__ import annotations
@@ -17,9 +18,7 @@ from pyspark.sql import functions as F
 from worklens import fixed, schemas
 from worklens.functions import sqlcheck
 from worklens.functions.text import strip
-
-SALTS = 16
-
+from worklens.session import staged
 
 def review_mode(config_value: bool | None = None, setting: str | None = None) -> bool:
     """Effective review mode: an explicit setting text wins over the config; default on."""
@@ -68,10 +67,8 @@ def _given(text: Column) -> Column:
 
 
 def _with_proposal(events: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """Events with the row of their proposal, joined on (proposal, salt)."""
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64("ts", "seq"), F.lit(SALTS)).cast("int"))
-    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["proposal_id", "_salt"], how).drop("_salt")
+    """Events with the row of their proposal."""
+    return events.join(facts, "proposal_id", how)
 
 
 def _valid(action: str) -> Column:
@@ -117,7 +114,7 @@ def decisions(events: DataFrame, proposed: DataFrame, mode_on: bool = True) -> D
             F.when(F.col("reject").isNotNull(), _at("reject")).alias("_until"),
         ).filter(F.col("_until").isNull() | (F.col("_from") < F.col("_until")))
         tries = _with_proposal(
-            acts.filter(F.col("action") == "apply"), facts.join(gate, "proposal_id")
+            acts.filter(F.col("action") == "apply"), staged(facts.join(gate, "proposal_id"), "gates")
         )
         inside = (_order() > F.col("_from")) & (
             F.col("_until").isNull() | (_order() < F.col("_until"))
@@ -154,7 +151,7 @@ def first_error_line(error: Column) -> Column:
 
 def proposal_state(events: DataFrame, mode_on: bool = True) -> DataFrame:
     """Current state of every proposal, as the queue table stores it."""
-    proposed = proposals(events)
+    proposed = staged(proposals(events), "proposals")
     return _state(proposed, decisions(events, proposed, mode_on))
 
 
@@ -184,14 +181,14 @@ def _state(proposed: DataFrame, decided: DataFrame) -> DataFrame:
 
 def verdicts(events: DataFrame, mode_on: bool = True) -> DataFrame:
     """Every event with the status it met, whether it took effect, and why not."""
-    proposed = proposals(events)
+    proposed = staged(proposals(events), "proposals")
     decided = decisions(events, proposed, mode_on)
     facts = proposed.select(
         "proposal_id", "parse_ok", "parse_error", "destructive", "statement_types",
         F.col("source").alias("_source"), F.col("confidence").alias("_confidence"),
         F.struct(F.col("created_at").alias("ts"), F.col("created_seq").alias("seq")).alias("_created"),
     ).join(decided, "proposal_id", "left")
-    rows = _with_proposal(events, facts, "left")
+    rows = _with_proposal(events, staged(facts, "judged-proposals"), "left")
     now, pid, action = _order(), F.col("proposal_id"), F.col("action")
 
     def after(event: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from worklens import schemas
 from worklens.functions.text import timestamp_text
 from worklens.operators import counters
+from worklens.session import staged
 from worklens.sources.tables import read_table
 
 SNAPSHOT_KEY = ["snapshot_timestamp", "query_fingerprint", "query_source"]
@@ -41,12 +42,14 @@ def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored snapshots merged with new ones.
 
     On the same (time, fingerprint, source) only four columns take the new value; a NULL
-    source never matches. The key has the fingerprint in it, so no key is hot.
+    source never matches. Of new rows with one key the one with the most executions counts,
+    then the highest impact, then the other columns in order. The key has the fingerprint in
+    it, so no key is hot.
     """
     columns = schemas.WORKLOAD_SNAPSHOT.names
     old = schemas.conform(stored, schemas.WORKLOAD_SNAPSHOT)
-    fresh = schemas.conform(new, schemas.WORKLOAD_SNAPSHOT)
     others = [c for c in columns if c not in SNAPSHOT_KEY]
+    fresh = _one_per_key(schemas.conform(new, schemas.WORKLOAD_SNAPSHOT), others)
     merged = old.select(*SNAPSHOT_KEY, F.struct(*others).alias("o")).join(
         fresh.select(*SNAPSHOT_KEY, F.struct(*others).alias("n")), SNAPSHOT_KEY, "full_outer"
     )
@@ -66,11 +69,18 @@ def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select(*[pick(c) for c in columns])
 
 
+def _one_per_key(rows: DataFrame, others: list[str]) -> DataFrame:
+    keyed = F.col("query_source").isNotNull()
+    order = F.struct("execution_count", "impact_score", *others)
+    best = rows.filter(keyed).groupBy(*SNAPSHOT_KEY).agg(F.max_by(F.struct(*others), order).alias("best"))
+    return best.select(*SNAPSHOT_KEY, "best.*").select(*rows.columns).unionByName(rows.filter(~keyed))
+
+
 def save_snapshots(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Upsert into the snapshot table. Only the day partitions of ``new`` are read and replaced."""
-    fresh = schemas.conform(new, schemas.WORKLOAD_SNAPSHOT).withColumn(
-        "day", F.to_date("snapshot_timestamp")
-    )
+    conformed = schemas.conform(new, schemas.WORKLOAD_SNAPSHOT)
+    # Read for its days and again for the merge.
+    fresh = staged(conformed.withColumn("day", F.to_date("snapshot_timestamp")), "fresh-snapshots")
     stored = read_table(spark, path, "workload_snapshots")
     if "day" in stored.columns:
         # One row per day of the new snapshots: prunes the stored partitions at run time.

@@ -100,6 +100,8 @@ SELECT date_trunc('millisecond', ts) AS ts, concat({STDERR_STATEMENT},
 ORACLE["s1_stderr_log_scan"] = f"""
 SELECT ts, query, execution_time_ms, true AS success, 'postgres' AS source FROM ({STDERR_ROWS})"""
 
+ORACLE["s4_csv_log_scan"] = ORACLE["s1_stderr_log_scan"]
+
 JSON_ROWS = f"""
 SELECT *, CASE WHEN k % 23 = 3 THEN 'not JSON' WHEN k % 23 = 4 THEN 'not an object'
     WHEN k % 29 = 6 THEN 'bad query' WHEN k % 31 = 7 THEN 'bad success'
@@ -142,8 +144,10 @@ SELECT queryid, dbid, userid, query, calls, total_time AS total_exec_time_ms,
 FROM ({VIEW})
 WHERE calls >= 2 AND dbid = 1 AND query IS NOT NULL AND query <> '<insufficient privilege>'
   AND NOT regexp_matches(query, '(?i)^\\s*(BEGIN|COMMIT|ROLLBACK|SET|SHOW|RESET|DISCARD)\\b')
-  AND query NOT ILIKE '%pg\\_stat\\_statements%' ESCAPE '\\'
-ORDER BY mean_time DESC NULLS LAST, queryid LIMIT 5000"""
+  AND query NOT ILIKE '%pg\\_stat\\_statements%' ESCAPE '\\'"""
+ORACLE["t10_statement_limit"] = f"""
+SELECT * FROM ({ORACLE["s6_statement_scan"]})
+ORDER BY mean_exec_time_ms DESC NULLS LAST, queryid NULLS LAST, dbid NULLS LAST, userid NULLS LAST, query NULLS LAST LIMIT 100"""
 ORACLE["s7_golden_set_scan"] = f"""
 SELECT md5(query) AS query_md5, len(retrieved) AS retrieved, len(relevant) AS relevant FROM ({GOLDEN})"""
 ORACLE["s9_load_capture"] = f"""
@@ -258,6 +262,14 @@ SELECT p.proposal_id, p.seq, coalesce(destructive, '') AS all_reasons, coalesce(
     WHEN bad.proposal_id IS NOT NULL THEN 'parse error: syntax error' END AS parse_error
 FROM p LEFT JOIN destr USING (proposal_id) LEFT JOIN bad USING (proposal_id) LEFT JOIN types USING (proposal_id)"""
 ORACLE["f15_destructive_flags"] = f"SELECT proposal_id, all_reasons AS destructive FROM ({CHECKED})"
+# Expected flags and verbs of each form, stated one by one.
+ORACLE["f15_deep_statements"] = """
+SELECT o_orderkey, NULL::varchar AS parse_error,
+  CASE o_orderkey % 7 WHEN 0 THEN 'DELETE without WHERE (deletes every row)' WHEN 1 THEN 'UPDATE without WHERE (rewrites every row)'
+    WHEN 5 THEN 'DROP TABLE' WHEN 6 THEN 'TRUNCATE' ELSE '' END AS destructive,
+  CASE o_orderkey % 7 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' WHEN 3 THEN 'CREATE' WHEN 4 THEN 'SELECT'
+    WHEN 5 THEN 'DROP' ELSE 'SELECT|TRUNCATE' END AS statement_types
+FROM orders"""
 ORACLE["f16_statement_types"] = f"SELECT proposal_id, types AS statement_types, parse_error FROM ({CHECKED})"
 ORACLE["r2_propose_check"] = f"""
 SELECT proposal_id, parse_error IS NULL AS parse_ok, parse_error,
@@ -515,8 +527,9 @@ FROM (SELECT *, impact_score AS i FROM ({snapshots(WEEKLY_ROWS)})) ORDER BY i DE
 ORACLE["k1_snapshot_upsert"] = f"""
 WITH s AS MATERIALIZED (SELECT snapshot_timestamp, query_fingerprint, query_source, query_type, execution_count,
     {r('p50_latency_ms', 3)} AS p50, {r('p95_latency_ms', 3)} AS p95, {r('max_latency_ms', 3)} AS mx FROM ({DAILY})),
-old AS (SELECT * FROM s WHERE day(snapshot_timestamp) <= 20 AND query_type <> 'DELETE'),
-new AS (SELECT * FROM s WHERE day(snapshot_timestamp) BETWEEN 18 AND 22)
+old AS (SELECT * FROM s),
+new AS (SELECT * FROM s WHERE day(snapshot_timestamp) BETWEEN 18 AND 22
+  UNION ALL SELECT * REPLACE ('rerun' AS query_source) FROM s WHERE day(snapshot_timestamp) = 22)
 SELECT snapshot_timestamp, query_fingerprint, query_source,
   CASE WHEN n.p50 IS NULL THEN o.execution_count ELSE n.execution_count + 1000 END AS execution_count,
   CASE WHEN o.p50 IS NULL THEN -1.0::double ELSE o.p50 END AS p50_latency_ms,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens import schemas
 from worklens.operators import counters, evaluation, recommend, review, sinks, workload
-from worklens.session import scratch_path
+from worklens.session import scratch_path, staged
 from worklens.sources.registry import collect_logs
 from worklens.sources.statements import scan_statements
 from worklens.sources.tables import read_table
@@ -28,9 +30,10 @@ def profile_logs(
     three times (newest time, totals, ranks), so the parsed log is written once, with its
     fingerprints, and the profile reads short columns of that table.
     """
-    path = log_path or scratch_path(spark, "query-log")
+    # A folder of this run: a second profile into the same log_path reads its own entries only.
+    path = f"{log_path.rstrip('/')}/run-{uuid.uuid4().hex[:12]}" if log_path else scratch_path(spark, "query-log")
     parsed = workload.with_fingerprint(collect_logs(spark, sources, now), **flags)
-    parsed.write.mode("append").parquet(path)
+    parsed.write.parquet(path)
     log = spark.read.schema(parsed.schema).parquet(path)
     return workload.by_impact(
         workload.workload_snapshots(log, now, window_minutes, min_query_count)
@@ -43,7 +46,7 @@ def profile_statements(
     captured_at: Column,
     min_calls: int = 1,
     dbid: int | Column | None = None,
-    limit: int | None = 5000,
+    limit: int | None = None,
     use_deltas: bool = True,
     stats_reset_at: Column | None = None,
     **flags: bool,
@@ -54,6 +57,18 @@ def profile_statements(
     An empty history gives the cumulative counters.
     """
     rows = scan_statements(view, min_calls, dbid, limit)
+    return _profiled(rows, history, captured_at, min_calls, use_deltas, stats_reset_at, **flags)
+
+
+def _profiled(
+    rows: DataFrame,
+    history: DataFrame,
+    captured_at: Column,
+    min_calls: int = 1,
+    use_deltas: bool = True,
+    stats_reset_at: Column | None = None,
+    **flags: bool,
+) -> DataFrame:
     now = captured_at.cast("timestamp_ntz")
     start = now if stats_reset_at is None else F.coalesce(stats_reset_at.cast("timestamp_ntz"), now)
     if use_deltas:
@@ -73,20 +88,22 @@ def store_statement_profile(
     retention_days: float | None = 30,
     min_calls: int = 1,
     dbid: int | Column | None = None,
+    limit: int | None = None,
+    stats_reset_at: Column | None = None,
 ) -> int:
     """Profile, store snapshots, then the capture, then prune; returns rows pruned.
 
-    An idle window (no snapshots) stores no capture either.
+    The view is read once: the counters that the changes were taken from are the counters
+    that the next profile starts from. An idle window (no snapshots) stores no capture either.
     """
+    rows = staged(scan_statements(view, min_calls, dbid, limit), "statements")
     history = read_table(spark, history_path, "stat_snapshots")
-    snapshots = profile_statements(view, history, captured_at, min_calls, dbid)
-    staged = scratch_path(spark, "snapshots")
-    schemas.conform(snapshots, schemas.WORKLOAD_SNAPSHOT).write.parquet(staged)
-    snapshots = spark.read.parquet(staged)
+    fresh = _profiled(rows, history, captured_at, min_calls, stats_reset_at=stats_reset_at)
+    snapshots = staged(schemas.conform(fresh, schemas.WORKLOAD_SNAPSHOT), "snapshots")
     if snapshots.isEmpty():
         return 0
     sinks.save_snapshots(spark, snapshots, snapshot_path)
-    return capture_only(spark, view, captured_at, history_path, retention_days, min_calls, dbid)
+    return _captured(spark, rows, captured_at, history_path, retention_days)
 
 
 def capture_only(
@@ -97,9 +114,17 @@ def capture_only(
     retention_days: float | None = 30,
     min_calls: int = 1,
     dbid: int | Column | None = None,
+    limit: int | None = None,
 ) -> int:
     """Store one capture without snapshots and prune; returns rows pruned."""
-    sinks.save_capture(scan_statements(view, min_calls, dbid), captured_at, history_path)
+    rows = scan_statements(view, min_calls, dbid, limit)
+    return _captured(spark, rows, captured_at, history_path, retention_days)
+
+
+def _captured(
+    spark: SparkSession, rows: DataFrame, captured_at: Column, history_path: str, retention_days: float | None
+) -> int:
+    sinks.save_capture(rows, captured_at, history_path)
     bound = counters.retention_bound(captured_at, retention_days)
     return sinks.prune_captures(spark, history_path, bound)
 
@@ -124,11 +149,8 @@ def run_all(log: DataFrame, golden: DataFrame, as_of: Column, window_minutes: fl
 
     Snapshots are written once to the shared scratch folder and read by both later steps.
     """
-    spark = log.sparkSession
-    path = scratch_path(spark, "snapshots")
     fresh = workload.workload_snapshots(log, as_of, window_minutes)
-    schemas.conform(fresh, schemas.WORKLOAD_SNAPSHOT).write.parquet(path)
-    snapshots = spark.read.schema(schemas.WORKLOAD_SNAPSHOT).parquet(path)
+    snapshots = staged(schemas.conform(fresh, schemas.WORKLOAD_SNAPSHOT), "snapshots")
     results = evaluation.evaluate_all(golden, snapshots, as_of)
     recommendations, queued = recommend_and_queue(snapshots, as_of)
     steps = [

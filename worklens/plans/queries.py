@@ -133,6 +133,14 @@ def s4_source_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def s4_csv_log_scan(spark: SparkSession, sf: str) -> DataFrame:
+    reader = registry.reader_for("postgres_logs", "csv")
+    return reader(spark, render.csv_files(spark, sf), now(), 0).select(
+        "ts", "query", "execution_time_ms", "success", "source"
+    )
+
+
 def _three_sources(spark: SparkSession, sf: str) -> dict[str, dict]:
     return {
         "postgres_logs": {"enabled": True, "log_path": render.log_files(spark, sf, render.STDERR)},
@@ -159,6 +167,12 @@ def s6_statement_scan(spark: SparkSession, sf: str) -> DataFrame:
     return statements.scan_statements(view, min_calls=2, dbid=1)
 
 
+@register
+def t10_statement_limit(spark: SparkSession, sf: str) -> DataFrame:
+    view = bridges.view(spark, sf, bridges.STAT_VIEW)
+    return statements.scan_statements(view, min_calls=2, dbid=1, limit=100)
+
+
 @register
 def s7_golden_set_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "golden")
@@ -272,6 +286,31 @@ def f15_destructive_flags(spark: SparkSession, sf: str) -> DataFrame:
     return proposed(spark, sf).select("proposal_id", joined(reasons).alias("destructive"))
 
 
+#: Statements whose flags need depth, literal forms or nested comments to be right.
+DEEP_STATEMENTS = (
+    "DELETE FROM t{} USING (SELECT id FROM u WHERE " + "f(" * 10 + "1" + ")" * 10 + ") s",
+    "UPDATE t{} SET a = (SELECT max(b) FROM u WHERE " + "(" * 40 + "1" + ")" * 40 + " = 1)",
+    "DELETE FROM t{} WHERE a IN (SELECT " + "(" * 40 + "1" + ")" * 40 + ")",
+    "CREATE FUNCTION f{}() RETURNS int AS $body$ BEGIN DELETE FROM t; RETURN 1; END; $body$ LANGUAGE plpgsql",
+    "SELECT E'it\\'s; DROP TABLE t{}'",
+    "/* a /* b; */ c */ DROP TABLE t{}",
+    "SELECT $$ a ; DROP TABLE t{} $$; TRUNCATE u",
+)
+
+
+@register
+def f15_deep_statements(spark: SparkSession, sf: str) -> DataFrame:
+    orders = bridges.table(spark, sf, "orders")
+    forms = F.array(*[F.lit(text) for text in DEEP_STATEMENTS])
+    form = F.get(forms, (F.col("o_orderkey") % len(DEEP_STATEMENTS)).cast("int"))
+    rows = orders.select("o_orderkey", F.replace(form, F.lit("{}"), F.col("o_custkey").cast("string")).alias("sql"))
+    check = sqlcheck.check(F.col("sql"))
+    return rows.withColumn("c", check).select(
+        "o_orderkey", F.col("c.parse_error"), joined(F.col("c.destructive")).alias("destructive"),
+        joined(F.col("c.statement_types")).alias("statement_types"),
+    )
+
+
 @register
 def f16_statement_types(spark: SparkSession, sf: str) -> DataFrame:
     parsed = proposed(spark, sf).withColumn("parsed", sqlcheck.statements(F.col("sql")))
@@ -590,8 +629,7 @@ def t11_first_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 def k1_snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "snapshots")
     daily = day_snapshots(spark, sf)
-    stored = daily.filter("day(snapshot_timestamp) <= 20 AND query_type <> 'DELETE'")
-    sinks.save_snapshots(spark, stored, path)
+    sinks.save_snapshots(spark, daily, path)
     rerun = daily.filter("day(snapshot_timestamp) BETWEEN 18 AND 22").withColumns(
         {
             "execution_count": F.col("execution_count") + 1000,
@@ -599,7 +637,10 @@ def k1_snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
             "p95_latency_ms": F.lit(-2.0),
         }
     )
-    sinks.save_snapshots(spark, rerun, path)
+    # Each key twice, of which the higher count stays, and a day from another source.
+    lower = rerun.withColumn("execution_count", F.col("execution_count") - 500)
+    added = rerun.filter("day(snapshot_timestamp) = 22").withColumn("query_source", F.lit("rerun"))
+    sinks.save_snapshots(spark, lower.unionByName(rerun).unionByName(added), path)
     return tables.read_table(spark, path, "workload_snapshots").select(
         "snapshot_timestamp", "query_fingerprint", "query_source", "execution_count",
         F.col("p50_latency_ms").cast("double").alias("p50_latency_ms"),

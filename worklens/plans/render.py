@@ -6,7 +6,7 @@ Each record of the query log becomes one entry in one of the log formats; the va
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from worklens.plans import bridges
@@ -68,5 +68,22 @@ def log_files(spark: SparkSession, sf_dir: str, line: str) -> str:
     return path
 
 
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridges.view(spark, sf_dir, bridges.QUERY_LOG)
+CSV_MESSAGE = """
+concat(
+  CASE k % 13 WHEN 0 THEN 'connection authorized: user=app' WHEN 1 THEN 'relation does not exist'
+    ELSE concat('duration: ', CAST(CAST(execution_time_ms AS decimal(12,3)) AS string), ' ms  ',
+      CASE WHEN k % 5 = 0 THEN 'execute <unnamed>: ' ELSE 'statement: ' END, query) END,
+  CASE WHEN k % 7 = 0 THEN concat(chr(10), 'MALFORMED LINE') ELSE '' END)
+"""
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write one csv log record per query-log record; returns the folder."""
+    path = scratch_path(spark, "csv-log")
+    log = bridges.view(spark, sf_dir, bridges.QUERY_LOG)
+    at = F.expr("concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS'), CASE WHEN k % 11 = 0 THEN ' EST' ELSE ' UTC' END)")
+    between = [F.lit(f"field {i}").alias(f"c{i}") for i in range(1, 13)]
+    after = [F.lit(None).cast("string").alias(f"c{i}") for i in range(14, 23)]
+    rows = log.select(at.alias("c0"), *between, F.expr(CSV_MESSAGE).alias("c13"), *after)
+    rows.write.options(escape='"', quoteAll=True).csv(path)
+    return path

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,11 +29,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, a local temporary folder is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a session in one process gets a temporary folder; on a cluster it is an error,
+    since each executor would write to its own disk.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="worklens-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read again, for results with several readers."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

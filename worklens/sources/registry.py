@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from worklens import fixed, schemas
+from worklens.sources.csv_log import read_csv_log
 from worklens.sources.json_log import read_json_log, read_vector_log
 from worklens.sources.stderr_log import read_stderr_log
 
@@ -23,6 +24,10 @@ def _stderr(spark: SparkSession, path: str, now: Column, source_ord: int) -> Dat
     return read_stderr_log(spark, path, fixed.SOURCE_POSTGRES, source_ord)
 
 
+def _csv(spark: SparkSession, path: str, now: Column, source_ord: int) -> DataFrame:
+    return read_csv_log(spark, path, fixed.SOURCE_POSTGRES, source_ord)
+
+
 def _server_json(spark: SparkSession, path: str, now: Column, source_ord: int) -> DataFrame:
     return read_json_log(spark, path, now, fixed.SOURCE_POSTGRES, source_ord)
 
@@ -37,7 +42,8 @@ def _vector(spark: SparkSession, path: str, now: Column, source_ord: int) -> Dat
 
 _READERS: dict[tuple[str, str | None], Reader] = {
     ("postgres_logs", "json"): _server_json,
-    ("postgres_logs", None): _stderr,  # any other format, csv included, is read as stderr
+    ("postgres_logs", "csv"): _csv,
+    ("postgres_logs", None): _stderr,
     ("vector_logs", None): _vector,
     ("application_logs", None): _application,
 }

@@ -52,15 +52,15 @@ def scan_statements(
     view: DataFrame,
     min_calls: int = 1,
     dbid: int | Column | None = None,
-    limit: int | None = 5000,
+    limit: int | None = None,
     include_utility: bool = False,
 ) -> DataFrame:
     """Statements worth keeping, highest mean time first.
 
     ``view`` is any DataFrame with the view's columns: a JDBC read (the filters are plain
     comparisons, so they can be pushed to the server) or a stored capture. ``dbid`` keeps
-    one database; pass a scalar subquery to look it up. ``limit`` is the row limit of the
-    scan and part of its meaning; ``None`` lifts it.
+    one database; pass a scalar subquery to look it up. All statements are kept unless the
+    caller sets a ``limit``.
     """
     named = current_names(view)
     query = F.col("query")

@@ -28,11 +28,13 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def entries(log_lines: DataFrame, stage: bool = False) -> DataFrame:
+def entries(log_lines: DataFrame, stage: bool = True) -> DataFrame:
     """Whole entries ``(file, block, line, text)`` of one or more log files.
 
-    With ``stage`` the pieces are written once to the shared scratch folder, so the text
-    is not read a second time for the split edges.
+    The pieces are written once to the shared scratch folder, so the text is not read and
+    joined a second time for the split edges. Lines of a file before its first entry, or all
+    lines of a file without any, are dropped where they are read: only the numbers of their
+    splits take part in finding out which of them continue an entry.
     """
     spark = log_lines.sparkSession
     # A window over the lines of a split would do the same, but shuffles every line.
@@ -45,15 +47,18 @@ def entries(log_lines: DataFrame, stage: bool = False) -> DataFrame:
         pieces = spark.read.parquet(path)
     whole = pieces.filter("kind = 'entry'").select("file", "block", "line", "text")
 
-    # At most two rows per split meet here, whatever the size of the log.
+    # At most two rows per split meet here, whatever the size of the log, and no text.
     order = Window.partitionBy("file").orderBy("block", "line")
-    edges = pieces.filter("kind <> 'entry'").withColumn(
+    edge = pieces.filter("kind <> 'entry'")
+    numbered = edge.select("file", "block", "line", "kind").withColumn(
         "entry", F.sum(F.when(F.col("kind") == "last", 1).otherwise(0)).over(order)
     )
+    edges = edge.select("file", "block", "line", "text").join(
+        numbered.filter("entry > 0").drop("kind"), ["file", "block", "line"]
+    )
     parts = F.array_sort(F.collect_list(F.struct("block", "line", "text")))
     stitched = (
-        edges.filter("entry > 0")  # lines before the first entry of a file are ignored
-        .groupBy("file", "entry")
+        edges.groupBy("file", "entry")
         .agg(parts.alias("parts"))
         .select(
             "file",
@@ -103,7 +108,7 @@ def read_stderr_log(
     path: str | list[str],
     source: str = fixed.SOURCE_POSTGRES,
     source_ord: int = 0,
-    stage: bool = False,
+    stage: bool = True,
 ) -> DataFrame:
     """Parse stderr-format server logs into ``query_log`` rows."""
     return parse_entries(entries(lines(spark, path), stage), source, source_ord)
