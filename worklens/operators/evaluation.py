@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -169,11 +170,31 @@ def slo_result(snapshots: DataFrame, as_of: Column, **limits: float) -> DataFram
     )
 
 
-def evaluate_all(golden: DataFrame | None, snapshots: DataFrame, as_of: Column) -> DataFrame:
-    """Results of all evaluations; the retrieval test runs only where a set is configured."""
-    parts = [] if golden is None else [rag_result(golden, as_of)]
-    parts.append(slo_result(snapshots, as_of))
-    return reduce(DataFrame.unionByName, parts)
+#: An evaluator takes (golden set or None, snapshots, as_of, settings) and returns result rows, or None.
+Evaluator = Callable[[DataFrame | None, DataFrame, Column, dict[str, float]], DataFrame | None]
+
+_EVALUATORS: dict[str, Evaluator] = {
+    "rag_accuracy": lambda golden, _, as_of, __: None if golden is None else rag_result(golden, as_of),
+    "slo_check": lambda _, snapshots, as_of, settings: slo_result(snapshots, as_of, **slo_limits(**settings)),
+}
+
+
+def register_evaluator(name: str, evaluator: Evaluator) -> None:
+    """Add an evaluator, or put another in the place of one."""
+    _EVALUATORS[name] = evaluator
+
+
+def evaluate_all(
+    golden: DataFrame | None, snapshots: DataFrame, as_of: Column, settings: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
+    """Results of all registered evaluators, each with its own settings.
+
+    The retrieval test runs only where a set is configured; SLO thresholds are those of
+    :func:`slo_limits`.
+    """
+    given = settings or {}
+    results = [run(golden, snapshots, as_of, given.get(name, {})) for name, run in _EVALUATORS.items()]
+    return reduce(DataFrame.unionByName, [r for r in results if r is not None])
 
 
 def slo_compliance(results: DataFrame, as_of: Column, days: int = 90) -> DataFrame:

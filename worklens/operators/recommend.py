@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def explain_sql(example: Column, query_type: Column) -> Column:
     ).otherwise(fixed.HEALTH_SQL)
 
 
+def register_recommender(name: str, recommender: Callable[[DataFrame, Column], DataFrame]) -> None:
+    """Add a source of recommendations: a function of (snapshots, as_of) that returns recommendation rows."""
+    _RECOMMENDERS[name] = recommender
+
+
+def recommend(snapshots: DataFrame, as_of: Column, name: str = "heuristic") -> DataFrame:
+    if name not in _RECOMMENDERS:
+        raise ValueError(f"unknown recommender {name}; known are {', '.join(sorted(_RECOMMENDERS))}")
+    return _RECOMMENDERS[name](snapshots, as_of)
+
+
 def heuristic(snapshots: DataFrame, as_of: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """One reviewable recommendation per group; without snapshots a harmless health check."""
     top = top_by_impact(snapshots, by)
@@ -155,3 +168,6 @@ def _response_values(doc: Column) -> dict[str, Column]:
         **{n: doc[n] for n in _RESPONSE_FIELDS},
         **{n: F.try_variant_get(effects, f"$.{n}", "variant") for n in _EFFECTS},
     }
+
+
+_RECOMMENDERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {"heuristic": heuristic}

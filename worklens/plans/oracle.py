@@ -685,3 +685,13 @@ UNION ALL SELECT 'evaluate', 'slo_check', {r('avg(p95_latency_ms)', 3)} FROM s
 UNION ALL SELECT 'recommend', sql, {r('0.4::double', 3)} FROM (
   SELECT concat(CASE WHEN query_type = 'SELECT' THEN 'EXPLAIN (ANALYZE, BUFFERS) ' ELSE 'EXPLAIN ' END, rtrim(trim(example_query), ';'), ';') AS sql
   FROM s ORDER BY impact_score DESC, query_fingerprint LIMIT 1)"""
+
+ORACLE["o1_profile_and_store"] = ORACLE["o1_profile_logs"]
+ORACLE["o5_recommend_and_store"] = ORACLE["o5_recommend"]
+ORACLE["o2_profile_and_store"] = f"""
+WITH live AS (SELECT * FROM ({HISTORY}) WHERE captured_at = (SELECT max(captured_at) FROM ({HISTORY}))
+    AND calls >= 1 AND query IS NOT NULL AND query <> '<insufficient privilege>'
+    AND NOT regexp_matches(query, '(?i)^\\s*(BEGIN|COMMIT|ROLLBACK|SET|SHOW|RESET|DISCARD)\\b')
+    AND lower(query) NOT LIKE '%pg_stat_statements%')
+SELECT {NOW} + INTERVAL 1 HOUR AS captured_at, count(*) AS rows, CAST(sum(calls + 7) AS bigint) AS calls,
+  CAST(7 * count(*) AS bigint) AS new_calls FROM live"""

@@ -130,18 +130,36 @@ def _captured(
 
 
 def evaluate(
-    golden: DataFrame | None, snapshots: DataFrame, as_of: Column, result_path: str | None = None
+    golden: DataFrame | None, snapshots: DataFrame, as_of: Column, result_path: str | None = None,
+    settings: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
-    results = evaluation.evaluate_all(golden, snapshots, as_of)
+    """Results of all evaluators, appended to ``result_path`` where one is given."""
+    results = evaluation.evaluate_all(golden, snapshots, as_of, settings)
     if result_path is not None:
         sinks.save_result(results, result_path)
     return results
 
 
-def recommend_and_queue(snapshots: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """The heuristic recommendation and the review event that queues its SQL."""
-    recommendations = recommend.heuristic(snapshots, as_of)
-    return recommendations, review.enqueue(recommendations)
+def recommend_and_queue(
+    snapshots: DataFrame, as_of: Column, recommender: str = "heuristic",
+    recommendation_path: str | None = None, event_path: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Recommendations and the review events that queue their SQL, stored where paths are given."""
+    recommendations = recommend.recommend(snapshots, as_of, recommender)
+    events = review.enqueue(recommendations)
+    if recommendation_path is not None:
+        sinks.save_recommendations(recommendations, recommendation_path)
+    if event_path is not None:
+        sinks.save_events(events, event_path)
+    return recommendations, events
+
+
+def store_log_profile(
+    spark: SparkSession, sources: dict[str, dict], now: Column, snapshot_path: str,
+    window_minutes: float = 60, min_query_count: int = 5, **flags: bool,
+) -> None:
+    """Profile the configured logs and upsert the snapshots; a repeated run changes nothing."""
+    sinks.save_snapshots(spark, profile_logs(spark, sources, now, window_minutes, min_query_count, **flags), snapshot_path)
 
 
 def run_all(log: DataFrame, golden: DataFrame, as_of: Column, window_minutes: float = 60) -> DataFrame:

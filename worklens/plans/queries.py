@@ -18,7 +18,7 @@ from worklens.operators import (
     counters, evaluation, listings, recommend, report, review, sinks, workload,
 )
 from worklens.plans import bridges, pipelines, render
-from worklens.session import scratch_path
+from worklens.session import scratch_path, staged
 from worklens.sources import json_log, registry, statements, stderr_log, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -815,6 +815,50 @@ def o1_profile_logs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def o1_profile_and_store(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "snapshots")
+    sources = {"postgres_logs": {"enabled": True, "log_path": render.log_files(spark, sf, render.STDERR)}}
+    for _ in range(2):
+        pipelines.store_log_profile(spark, sources, now(), path, WEEK)
+    return comparable(tables.read_table(spark, path, "workload_snapshots")).select(
+        "snapshot_timestamp", "query_fingerprint", "query_type", "query_source", "execution_count",
+        "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "impact_score",
+    )
+
+
+@register
+def o2_profile_and_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Two profiles in a row: the last stored capture again, which is idle, then changed counters."""
+    path, kept = _stored_history(spark, sf), scratch_path(spark, "snapshots")
+    latest = counters.latest_capture(history(spark, sf))
+    live = staged(history(spark, sf).filter(F.col("captured_at") == latest), "live")
+    later = live.withColumns({"calls": F.col("calls") + 7, "total_exec_time_ms": F.col("total_exec_time_ms") + 70})
+    for view, at in ((live, "00:00:00"), (later, "01:00:00")):
+        stamp = F.expr(f"timestamp_ntz'2024-02-01 {at}'")
+        pipelines.store_statement_profile(spark, view, stamp, kept, path, retention_days=None)
+    stored = tables.read_table(spark, path, "stat_snapshots").filter(F.col("captured_at") >= now())
+    captures = stored.groupBy("captured_at").agg(F.count("*").alias("rows"), F.sum("calls").alias("calls"))
+    snapshots = tables.read_table(spark, kept, "workload_snapshots")
+    new = snapshots.groupBy(F.col("snapshot_timestamp").alias("captured_at")).agg(F.sum("execution_count").alias("new_calls"))
+    return captures.join(new, "captured_at", "left")
+
+
+@register
+def o5_recommend_and_store(spark: SparkSession, sf: str) -> DataFrame:
+    kept, ledger = scratch_path(spark, "recommendations"), scratch_path(spark, "events")
+    pipelines.recommend_and_queue(
+        listings.top_impact(day_snapshots(spark, sf)), now(), recommendation_path=kept, event_path=ledger
+    )
+    events = tables.read_table(spark, ledger, "review_events").select(
+        "recommendation_id", F.col("sql").alias("queued_sql")
+    )
+    return tables.read_table(spark, kept, "recommendations").join(events, "recommendation_id").select(
+        "recommendation_timestamp", "status", "priority", "recommendation_type", "title", "rationale",
+        "risk_level", "queued_sql", "rollback_sql", "model_name",
+    )
+
+
 @register
 def o2_profile_statements(spark: SparkSession, sf: str) -> DataFrame:
     h = history(spark, sf)
