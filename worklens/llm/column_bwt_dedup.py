@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,11 @@ from worklens.llm.batches import mix, powers, slices
 from worklens.llm.staging import staged
 
 #: Bytes of a repeated string, bytes of an anchor.
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 24
 #: Share of documents, and their least number, from which an anchor or stretch is settled in place.
 HOT_SHARE, HOT_LEAST = 0.005, 64.0
 #: Strings indexed at a time (whole anchors; a larger one is alone).
-STRINGS = 1 << 14
+STRINGS = 1 << 10
 #: Windows looked at together.
 _CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -63,11 +64,15 @@ class Stretches:
         sums = np.zeros(len(self.raw) + 1, np.uint64)
         np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=sums[1:])
         self._sums, self._down = sums, down
+        over = np.zeros(len(self.raw) + 1, np.int32)
+        np.add.at(over, np.maximum(self.edges[1:] - LENGTH + 1, self.edges[:-1]), 1)
+        np.add.at(over, self.edges[1:], -1)
+        self._whole = np.cumsum(over[:-1]) == 0
         found = [self._of(a, min(a + _CHUNK, len(self.raw) - LENGTH + 1)) for a in range(0, max(0, len(self.raw) - LENGTH + 1), _CHUNK)]
         text, first, last, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
         anchor = self.hashed(place, place + GRAM)
         if cut is not None and len(cut) and len(anchor):
-            hot = np.isin(anchor, cut)
+            hot = cut[np.minimum(np.searchsorted(cut, anchor), len(cut) - 1)] == anchor
             number = np.where(hot, last - first + 1, 1)
             within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
             hot = np.repeat(hot, number)
@@ -84,23 +89,26 @@ class Stretches:
 
     def _of(self, start: int, stop: int) -> tuple[np.ndarray, ...]:
         """Stretches of the windows that begin in [start, stop)."""
-        grams = np.arange(start, stop + LENGTH - GRAM)
-        least = (self.hashed(grams, grams + GRAM) & ~_PLACE) | (grams - start).astype(np.uint64)
+        end = stop + LENGTH - GRAM
+        least = (self._sums[start + GRAM : end + GRAM] - self._sums[start:end]) * self._down[start:end]
+        least ^= least >> np.uint64(32)
+        least *= np.uint64(0x9E3779B97F4A7C15)
+        least &= ~_PLACE
+        least |= np.arange(end - start, dtype=np.uint64)
         span, want = 1, LENGTH - GRAM + 1
         while 2 * span <= want:
             least, span = np.minimum(least[:-span], least[span:]), 2 * span
         least = np.minimum(least[: stop - start], least[want - span : want - span + stop - start])
-        windows = np.arange(start, stop)
-        place = (least & _PLACE).astype(np.int64) + start
-        text = np.searchsorted(self.edges, windows, "right") - 1
-        inside = windows + LENGTH <= self.edges[text + 1]
-        windows, place, text = windows[inside], place[inside], text[inside]
+        # Windows that reach over the end of a text are none. Their places are gaps, so stretches end there too.
+        windows = np.flatnonzero(self._whole[start:stop])
+        place = least[windows] & _PLACE
         fresh = np.ones(len(windows), bool)
-        fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+        fresh[1:] = place[1:] != place[:-1]
         first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(windows)) - 1
-        last = last[: len(first)]
-        return text[first], windows[first], windows[last], place[first]
+        last = np.append(first[1:], len(windows))[: len(first)] - 1
+        begin = windows[first] + start
+        text = np.searchsorted(self.edges, begin, "right") - 1
+        return text, begin, windows[last] + start, place[first].astype(np.int64) + start
 
 
 class Collection:
@@ -119,10 +127,10 @@ class Collection:
         width = int(sizes.max())
         table = np.frombuffer(b"".join(s.rjust(width, b"\0") for s in strings), np.uint8).reshape(-1, width).astype(np.uint16) + 1
         before = lambda ids, size: np.where(sizes[ids] > size, table[ids, max(width - size - 1, 0)], 0)
-        self.owner = np.arange(count)
-        self.size = np.zeros(count, np.int64)
-        self.shared = np.zeros(count, np.int64)
-        self.symbols = before(self.owner, 0)
+        self.owner = np.arange(count, dtype=np.int32)
+        self.size = np.zeros(count, np.int32)
+        self.shared = np.zeros(count, np.int16)
+        self.symbols = before(self.owner, 0).astype(np.uint16)
         place = np.arange(count)  # of the last suffix of each string
         live = np.arange(count)
         for size in range(1, width + 1):
@@ -244,14 +252,30 @@ def _listed(documents: DataFrame, cut, hot) -> DataFrame:
     )
 
 
-def _isin(values: np.ndarray, text: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Whether each value is in the list of its text; ``text`` ascends."""
-    out = np.zeros(len(values), bool)
-    edges = np.searchsorted(text, np.arange(len(lists) + 1))
-    for i, wanted in enumerate(lists):
-        if len(wanted) and edges[i] < edges[i + 1]:
-            out[edges[i] : edges[i + 1]] = np.isin(values[edges[i] : edges[i + 1]], np.array(wanted, np.int64))
-    return out
+def _keys(content: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Content hashes made to differ between the texts of a slice."""
+    return content.astype(np.int64).view(np.uint64) + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _listed_keys(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Text number of each entry of a list column, and the entries; null lists count as empty."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted array ``among``, or -1."""
+    if not len(among):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, at, -1)
+
+
+def _isin(found: Stretches, lists: pa.Array) -> np.ndarray:
+    """Whether each stretch's content is in the list of its text."""
+    text, values = _listed_keys(lists)
+    among = np.sort(_keys(values.to_numpy(zero_copy_only=False), text))
+    return _found(_keys(found.content.view(np.int64), found.text), among) >= 0
 
 
 def _indexed(affected: DataFrame, cut) -> DataFrame:
@@ -262,7 +286,7 @@ def _indexed(affected: DataFrame, cut) -> DataFrame:
             for part, texts in slices(batch, "text"):
                 found = Stretches(texts, cut.value)
                 content = found.content.view(np.int64)
-                wanted = np.flatnonzero(_isin(content, found.text, part.column("open").to_pylist()))
+                wanted = np.flatnonzero(_isin(found, part.column("open")))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[found.text[wanted]]
                 raw = found.raw.tobytes()
                 data = [raw[a : b + LENGTH] for a, b in zip(found.first[wanted].tolist(), found.last[wanted].tolist(), strict=True)]
@@ -305,24 +329,23 @@ def _masks(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
-def _spans(found: Stretches, ids: np.ndarray, hot, gone: list[list[int]], masks: list[list[dict]]) -> list[list[tuple[int, int]]]:
+def _spans(found: Stretches, ids: np.ndarray, hot, gone: pa.Array, masks: pa.Array) -> list[list[tuple[int, int]]]:
     """Removed runs of bytes of each text."""
-    content = found.content.view(np.int64)
-    edge = np.zeros(len(found.raw) + 1, np.int64)
-    whole = _settled(found, ids, hot) | _isin(content, found.text, gone)
-    np.add.at(edge, found.first[whole], 1)
-    np.add.at(edge, found.last[whole] + LENGTH, -1)
-    bounds = np.searchsorted(found.text, np.arange(len(masks) + 1))
-    for i, entries in enumerate(masks):
-        if not entries:
-            continue
-        known = {e["content"]: e["mask"] for e in entries}
-        for k in range(bounds[i], bounds[i + 1]):
-            mask = known.get(int(content[k]), 0)
-            for window in range(int(found.last[k] - found.first[k]) + 1):
-                if mask >> window & 1:
-                    edge[found.first[k] + window] += 1
-                    edge[found.first[k] + window + LENGTH] -= 1
+    whole = _settled(found, ids, hot) | _isin(found, gone)
+    begin, stop = [found.first[whole]], [found.last[whole] + LENGTH]
+    text, entries = _listed_keys(masks)
+    if len(entries):
+        keys = _keys(entries.field("content").to_numpy(zero_copy_only=False), text)
+        order = np.argsort(keys)
+        place = _found(_keys(found.content.view(np.int64), found.text), keys[order])
+        some = np.flatnonzero((place >= 0) & ~whole)
+        mask = entries.field("mask").to_numpy(zero_copy_only=False)[order[place[some]]]
+        size = (found.last - found.first + 1)[some]
+        row, window = np.nonzero((mask[:, None] >> np.arange(LENGTH - GRAM + 1) & 1) & (np.arange(LENGTH - GRAM + 1) < size[:, None]))
+        begin.append(found.first[some][row] + window)
+        stop.append(begin[-1] + LENGTH)
+    total = len(found.raw) + 1
+    edge = np.bincount(np.concatenate(begin), minlength=total) - np.bincount(np.concatenate(stop), minlength=total)
     covered = np.cumsum(edge[:-1]) > 0
     out = []
     for a, b in zip(found.edges[:-1], found.edges[1:], strict=True):
@@ -355,8 +378,7 @@ def repeated_spans(documents: DataFrame, hot_least: float = HOT_LEAST) -> DataFr
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                masks = [m or [] for m in part.column("masks").to_pylist()]
-                spans = _spans(Stretches(texts, cut.value), ids, hot.value, part.column("gone").to_pylist(), masks)
+                spans = _spans(Stretches(texts, cut.value), ids, hot.value, part.column("gone"), part.column("masks"))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 rows = [[{"start": a, "stop": b} for a, b in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(rows, kind)], ["doc_id", "text", "spans"])
