@@ -24,23 +24,19 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from worklens.llm.batches import append, slices
 from worklens.llm.staging import staged
 
 #: Words folded ahead, and the longest of them in characters: bounds of what is broadcast.
-FREQUENT, LONGEST = 400_000, 64
-#: Distinct words that a task holds before it passes their counts on.
-HELD_WORDS = 300_000
+FREQUENT, LONGEST = 1_000_000, 64
 #: Maps in the literal.
 RANK_MAPS = 1 << 14
 
@@ -67,13 +63,17 @@ class Vocabulary:
     """Expressions over the ranks of one vocabulary and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.plain = pattern
+        # Java's \\s knows Unicode white space only under this flag.
+        self.pattern = "(?U)" + pattern
         self.ranks = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, RANK_MAPS, "int")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             hexes[rank] = word.hex()
         self.bytes = F.split(F.lit(",".join(hexes)), ",")
 
+    def words(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+
     def folded(self, word: Column) -> Column:
         """The ids of one word."""
         parts = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
@@ -108,29 +108,25 @@ class Vocabulary:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.bytes, i)), ""))
 
 
-def word_counts(documents: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(word, count) over all texts; tasks add up what they have read before it is shuffled."""
+def _split(documents: DataFrame, vocabulary: Vocabulary, text: str, keep: list[str]) -> DataFrame:
+    """The kept columns and ``words_``, the array of the words of each text."""
+    return documents.select(*[documents[f"`{c}`"] for c in keep], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
+
+
+def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """(word, count) over all texts; batches and tasks add up what they have read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
         for batch in batches:
-            for _, texts in slices(batch, text):
-                for raw in texts:
-                    seen.update(find(raw.decode("utf-8", "replace")))
-                if len(seen) > HELD_WORDS:
-                    yield _rows(seen)
-                    seen = Counter()
-        yield _rows(seen)
-
-    def _rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
+            counted = pc.value_counts(batch.column("words_").flatten())
+            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "count"])
 
-    return documents.select(documents[f"`{text}`"]).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return _split(documents, vocabulary, text, []).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", number: int = FREQUENT) -> pa.Table:
     """Ids of the most frequent words: at most ``number`` words of at most ``LONGEST`` characters."""
-    counts = staged(word_counts(documents, vocabulary.plain, text).where(F.length("word") <= LONGEST), "word-counts")
+    counts = staged(word_counts(documents, vocabulary, text).where(F.length("word") <= LONGEST), "word-counts")
     steps = counts.groupBy("count").agg(F.count("*").alias("words"))
     # One row per power of two; the words with at least the chosen count fit.
     sizes = steps.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.sum("words").alias("words")).collect()
@@ -145,46 +141,54 @@ def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "te
             break
         least, total = 1 << power, total + words
     chosen = counts.where(F.col("count") >= least)
-    return staged(chosen.select("word", F.array_join(vocabulary.folded(F.col("word")), " ").alias("ids")), "frequent-words").toArrow()
-
-
-def _marked(known, pattern: str):
-    """A map from texts to ids of known words, and to the other words of each text, which the ids count from -1 down."""
-    tables: list[dict[str, str]] = []
-
-    def compute(texts: list[bytes]) -> list[pa.Array]:
-        if not tables:
-            table = known.value
-            tables.append(dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)))
-        ids_of, find = tables[0].get, regex.compile(pattern).findall
-        lines, rest = [], []
-        for raw in texts:
-            words = find(raw.decode("utf-8", "replace"))
-            ids = list(map(ids_of, words))
-            others: dict[str, int] = {}
-            if None in ids:
-                for i, found in enumerate(ids):
-                    if found is None:
-                        ids[i] = str(~others.setdefault(words[i], len(others)))
-            lines.append(np.fromstring(" ".join(ids), np.int32, sep=" "))
-            rest.append(list(others))
-        offsets = pa.array(np.cumsum([0, *map(len, lines)]), pa.int32())
-        values = pa.array(np.concatenate(lines) if lines else np.zeros(0, np.int32), pa.int32())
-        return [pa.ListArray.from_arrays(offsets, values), pa.array(rest, pa.list_(pa.string()))]
-
-    return compute
+    return staged(chosen.repartition("word").select("word", vocabulary.folded(F.col("word")).alias("ids")), "frequent-words").toArrow()
+
+
+def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Per text the ids of known words, and its other words, which the ids count from -1 down.
+
+    Works on the distinct words of the batch, then lays their ids out by array arithmetic.
+    """
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(words)), sizes)
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    place = pc.index_in(coded.dictionary, value_set=known["word"]).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+    ids = known["ids"].combine_chunks()
+    flat, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    # Other words: numbered within their text, one placeholder each.
+    missing = np.flatnonzero(place < 0)
+    pair, back = np.unique(np.stack([text[missing], code[missing]]), axis=1, return_inverse=True)
+    first = np.searchsorted(pair[0], np.arange(len(words) + 1))
+    number = np.arange(pair.shape[1]) - first[pair[0]]
+    start = np.append(bounds, 0)[place]
+    length = np.where(place < 0, 1, np.append(bounds, 0)[place + 1] - start) if len(place) else np.zeros(0, int)
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(start, length)
+    out = np.append(flat, 0)[np.minimum(at, len(flat))].astype(np.int32)
+    out[(ends - length)[missing]] = -1 - number[back.ravel()]
+    edges = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+    others = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(pair[1])))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out)), others
 
 
 def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, text: str = "text", number: int = FREQUENT) -> DataFrame:
     """The kept columns and ``ids``, the array of token ids of each text."""
     known = documents.sparkSession.sparkContext.broadcast(frequent_words(documents, vocabulary, text, number))
+    names = [c for c in (documents.columns if keep is None else keep) if c not in ("ids", "words_", "known_ids", "other_words")]
+    split = _split(documents, vocabulary, text, names)
     fields = [StructField("known_ids", ArrayType(IntegerType())), StructField("other_words", ArrayType(StringType()))]
-    marked = append(documents, _marked(known, vocabulary.plain), fields, text, keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = _marked(batch.column("words_"), known.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *marked], [*names, "known_ids", "other_words"])
+
+    marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name != "words_"), *fields]))
     folded = F.struct(F.col("known_ids").alias("ids"), F.transform("other_words", vocabulary.folded).alias("words"))
     # Bound to a name, so that the fold runs once per text and not once per id.
     place = lambda x: F.flatten(F.transform(x["ids"], lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(x["words"], -1 - i))))
     ids = F.when(F.size("other_words") == 0, F.col("known_ids")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
-    names = [c for c in marked.columns if c not in ("known_ids", "other_words", "ids")]
     return marked.select(*[marked[f"`{c}`"] for c in names], ids.alias("ids"))
 
 
