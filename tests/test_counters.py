@@ -1,3 +1,5 @@
+"""Statement counters: pooling, changes between captures, storage, retention and export."""
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,164 +11,170 @@ from worklens.plans import pipelines
 from worklens.sources import statements
 from worklens.sources.tables import read_table
 
-T0 = datetime(2026, 10, 7, 12)
-STAMP = F.lit(T0)
-
-
-def row(query, calls, total, sd=0.0, mx=None, queryid=None, mn=None, mean=None, **more):
-    mean = (total / calls if calls else 0.0) if mean is None else mean
-    base = dict(queryid=queryid, dbid=1, userid=10, query=query, calls=calls, total_exec_time_ms=float(total),
-                mean_exec_time_ms=float(mean), stddev_exec_time_ms=float(sd),
-                min_exec_time_ms=float(mean if mn is None else mn), max_exec_time_ms=float(mean if mx is None else mx),
-                rows=0, shared_blks_hit=0, shared_blks_read=0)
-    return {**base, **more}
-
-
-def frame(spark, rows):
-    names = schemas.STATEMENT_STATS.names
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schemas.STATEMENT_STATS)
-
-
-def pooled(spark, rows, min_calls=1):
-    return counters.pooled_snapshots(frame(spark, rows), STAMP, STAMP, STAMP, min_calls).collect()
-
-
-def test_statement_rows_become_snapshots(spark):
-    (s,) = pooled(spark, [
-        row("SELECT * FROM users WHERE email = $1", 100, 2000, sd=5, mx=40, queryid=1, rows=100, shared_blks_hit=900, shared_blks_read=100),
-        row("UPDATE users SET x = NOW() WHERE id = $1", 3, 30, queryid=2),
-    ], min_calls=5)
-    assert (s["query_type"], s["query_source"], s["execution_count"]) == ("SELECT", "postgres", 100)
-    assert s["avg_execution_time_ms"] == 20.0 and s["p95_latency_ms"] == pytest.approx(20 + 1.645 * 5)
-    assert s["p99_latency_ms"] <= s["max_latency_ms"] == 40.0
-    assert (s["avg_rows_returned"], s["avg_buffer_hits"], s["avg_buffer_misses"]) == (1.0, 9.0, 1.0)
-    assert s["impact_score"] == pytest.approx(2000.0)
-
-
-def test_same_pattern_is_pooled(spark):
-    (s,) = pooled(spark, [
-        row("SELECT * FROM t WHERE id = $1", 10, 100, mx=10, queryid=1),
-        row("select *  from t where id = $1", 30, 900, mx=30, queryid=2, mn=30),
-    ])
-    assert s["execution_count"] == 40 and s["avg_execution_time_ms"] == 25.0
-    assert s["p95_latency_ms"] == pytest.approx(min(25 + 1.645 * 75**0.5, 30.0))
-    assert (s["min_latency_ms"], s["max_latency_ms"]) == (10.0, 30.0)
-    assert s["example_query"].startswith("select *  from")
-
-
-def test_deltas_reset_drop_and_new(spark):
-    prev = frame(spark, [row("SELECT 1", 10, 100, queryid=1), row("SELECT 2", 5, 50, queryid=2), row("SELECT 3", 7, 70, queryid=3)])
-    cur = frame(spark, [row("SELECT 1", 30, 500, queryid=1), row("SELECT 2", 2, 40, queryid=2),
-                        row("SELECT 3", 7, 70, queryid=3), row("SELECT 4", 4, 8, queryid=4)])
-    d = {r["queryid"]: r for r in counters.delta_rows(cur, prev).collect()}
-    assert set(d) == {1, 2, 4}
-    assert (d[1]["calls"], d[1]["total_exec_time_ms"], d[1]["mean_exec_time_ms"]) == (20, 400.0, 20.0)
-    assert d[2]["calls"] == 2 and d[4]["calls"] == 4
-    assert counters.delta_rows(cur, None).count() == 4
-
-
-def test_variance_of_new_calls_only(spark):
-    prev = frame(spark, [row("q", 2, 20, queryid=9)])
-    cur = frame(spark, [row("q", 4, 80, sd=10, queryid=9)])
-    (d,) = counters.delta_rows(cur, prev).collect()
-    assert (d["calls"], d["mean_exec_time_ms"]) == (2, 30.0)
-    assert d["stddev_exec_time_ms"] == pytest.approx(0.0, abs=1e-9)
-
-
-def test_rows_without_queryid_match_by_text_and_duplicates_keep_the_last_stored(spark):
-    prev = frame(spark, [row("a", 4, 40), row("a", 2, 60), row("b", 1, 1)])  # means 10 and 30: 10 is stored last
-    cur = frame(spark, [row("a", 6, 100), row("c", 1, 5)])
-    d = {r["query"]: r["calls"] for r in counters.delta_rows(cur, prev).collect()}
-    assert d == {"a": 2, "c": 1}
-
-
-def test_history_deltas_equal_step_by_step(spark):
-    t = [T0 + timedelta(hours=h) for h in range(3)]
-    batches = [
-        [row("SELECT 1", 10, 100, queryid=1), row("x", 2, 4)],
-        [row("SELECT 1", 15, 120, queryid=1)],
-        [row("SELECT 1", 15, 120, queryid=1), row("x", 3, 9)],  # x was absent in between: new again
-    ]
-    parts = [frame(spark, b).withColumn("captured_at", F.lit(x).cast("timestamp_ntz")) for b, x in zip(batches, t)]
-    history = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = counters.history_deltas(history).collect()
-    got = sorted((r["captured_at"], r["query"], r["calls"]) for r in rows)
-    assert got == [(t[0], "SELECT 1", 10), (t[0], "x", 2), (t[1], "SELECT 1", 5), (t[2], "x", 3)]
-
-
-@pytest.mark.parametrize("names", ["total_exec_time", "total_time"])
-def test_scan_reads_both_column_generations(spark, names):
-    kinds = [names.replace("total", k) for k in ("total", "mean", "stddev", "min", "max")]
-    view = spark.createDataFrame(
-        [(7, 1, 10, "SELECT $1", 3, 9.0, 3.0, None, 2.0, 4.0, 3, None, 0)],
-        "queryid long, dbid long, userid long, query string, calls long, "
-        + ", ".join(f"{k} double" for k in kinds) + ", rows long, shared_blks_hit long, shared_blks_read long")
+NOON = datetime(2025, 3, 14, 12)
+AT_NOON = F.lit(NOON)
+
+SCAN = "SELECT name FROM depots WHERE region = $1"
+TOUCH = "UPDATE depots SET seen = $1 WHERE depot = $2"
+
+
+def stats(spark, *entries):
+    """Statement rows from (id, text, calls, mean), each with any other counters by name."""
+    rows = []
+    for ident, text, calls, mean, *more in entries:
+        extra = more[0] if more else {}
+        known = {"queryid": ident, "dbid": 1, "userid": 3, "query": text, "calls": calls, "rows": 0,
+                 "shared_blks_hit": 0, "shared_blks_read": 0, "total_exec_time_ms": calls * float(mean),
+                 "mean_exec_time_ms": float(mean), "stddev_exec_time_ms": 0.0, "min_exec_time_ms": float(mean),
+                 "max_exec_time_ms": float(mean)} | extra
+        rows.append([known[name] for name in schemas.STATEMENT_STATS.names])
+    return spark.createDataFrame(rows, schemas.STATEMENT_STATS)
+
+
+def changes(spark, before, after):
+    found = counters.delta_rows(stats(spark, *after), stats(spark, *before))
+    return {r["query"]: (r["calls"], r["mean_exec_time_ms"]) for r in found.collect()}
+
+
+# Pinned numbers: p95 is mean + 1.645 deviations, at most the maximum; pooled variance has a part between means.
+POOLED = [
+    ([(1, SCAN, 100, 20, {"stddev_exec_time_ms": 5.0, "max_exec_time_ms": 40.0})], (100, 20.0, 28.225)),
+    ([(1, SCAN, 10, 10), (2, SCAN.lower().replace(" ", "  "), 30, 30)], (40, 25.0, 30.0)),
+    ([(1, SCAN, 4, 8, {"max_exec_time_ms": 8.5, "stddev_exec_time_ms": 2.0})], (4, 8.0, 8.5)),
+]
+
+
+@pytest.mark.parametrize(("entries", "expected"), POOLED)
+def test_pooled_times(spark, entries, expected):
+    (got,) = counters.pooled_snapshots(stats(spark, *entries), AT_NOON, AT_NOON, AT_NOON, 1).collect()
+    values = got["execution_count"], float(got["avg_execution_time_ms"]), float(got["p95_latency_ms"])
+    assert values == pytest.approx(expected)
+    assert float(got["impact_score"]) == pytest.approx(expected[0] * expected[1])
+
+
+def test_pooled_rows_and_buffers_are_per_call_and_rare_statements_go(spark):
+    counted = {"rows": 50, "shared_blks_hit": 75, "shared_blks_read": 25}
+    table = stats(spark, (1, SCAN, 25, 2, counted), (2, TOUCH, 4, 9))
+    (got,) = counters.pooled_snapshots(table, AT_NOON, AT_NOON, AT_NOON, 5).collect()
+    assert (got["query_type"], got["query_source"]) == ("SELECT", "postgres")
+    assert (got["avg_rows_returned"], got["avg_buffer_hits"], got["avg_buffer_misses"]) == (2.0, 3.0, 1.0)
+
+
+CHANGES = [
+    ("grown", [(1, SCAN, 8, 5)], [(1, SCAN, 20, 8)], {SCAN: (12, 10.0)}),
+    ("reset", [(1, SCAN, 8, 5)], [(1, SCAN, 3, 7)], {SCAN: (3, 7.0)}),
+    ("idle", [(1, SCAN, 8, 5)], [(1, SCAN, 8, 5)], {}),
+    ("new", [(1, SCAN, 8, 5)], [(1, SCAN, 8, 5), (2, TOUCH, 6, 1)], {TOUCH: (6, 1.0)}),
+    ("gone", [(1, SCAN, 8, 5), (2, TOUCH, 6, 1)], [(1, SCAN, 9, 5)], {SCAN: (1, 5.0)}),
+    # Without an id the text is the key; of two stored rows the one with the smaller mean was stored last.
+    ("by text", [(None, TOUCH, 9, 4), (None, TOUCH, 5, 1)], [(None, TOUCH, 8, 4)], {TOUCH: (3, 9.0)}),
+]
+
+
+@pytest.mark.parametrize(("before", "after", "expected"), [c[1:] for c in CHANGES], ids=[c[0] for c in CHANGES])
+def test_changes_between_two_captures(spark, before, after, expected):
+    assert changes(spark, before, after) == expected
+
+
+def test_without_an_earlier_capture_counters_stay(spark):
+    assert counters.delta_rows(stats(spark, (1, SCAN, 8, 5), (2, TOUCH, 6, 1)), None).count() == 2
+
+
+def test_deviation_of_the_new_calls_alone(spark):
+    # 3 calls of 4 ms, then 3 of 10 ms: pooled mean 7 and deviation 3, none among the new ones.
+    before, after = stats(spark, (5, SCAN, 3, 4)), stats(spark, (5, SCAN, 6, 7, {"stddev_exec_time_ms": 3.0}))
+    (got,) = counters.delta_rows(after, before).collect()
+    assert (got["calls"], got["mean_exec_time_ms"]) == (3, 10.0)
+    assert got["stddev_exec_time_ms"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_changes_over_a_whole_history(spark):
+    captures = {0: [(1, SCAN, 5, 2), (2, TOUCH, 4, 1)], 1: [(1, SCAN, 11, 2)], 2: [(1, SCAN, 11, 2), (2, TOUCH, 9, 1)]}
+    history = None
+    for hour, entries in captures.items():
+        part = stats(spark, *entries).withColumn("captured_at", F.lit(NOON + timedelta(hours=hour)).cast("timestamp_ntz"))
+        history = part if history is None else history.unionByName(part)
+    found = {(r["captured_at"].hour, r["query"]): r["calls"] for r in counters.history_deltas(history).collect()}
+    # The second statement was away for one capture, so it counts as new when it is back.
+    assert found == {(12, SCAN): 5, (12, TOUCH): 4, (13, SCAN): 6, (14, TOUCH): 9}
+
+
+GENERATIONS = {"current": "{}_exec_time", "legacy": "{}_time"}
+
+
+@pytest.mark.parametrize("form", GENERATIONS.values(), ids=GENERATIONS)
+def test_scan_knows_both_generations_of_names(spark, form):
+    times = ", ".join(f"CAST({value} AS double) AS {form.format(kind)}" for kind, value in
+                      {"total": 12, "mean": 4, "stddev": "NULL", "min": 1, "max": 9}.items())
+    view = spark.sql(f"SELECT 3L AS queryid, 'SELECT $1' AS query, 3L AS calls, {times}, 5L AS rows, NULL AS shared_blks_hit, 0L AS shared_blks_read")
     (got,) = statements.scan_statements(view).collect()
-    assert (got["queryid"], got["calls"], got["mean_exec_time_ms"]) == (7, 3, 3.0)
-    assert got["stddev_exec_time_ms"] == 0.0 and got["shared_blks_hit"] == 0
+    assert (got["calls"], got["mean_exec_time_ms"], got["stddev_exec_time_ms"]) == (3, 4.0, 0.0)
+    assert (got["dbid"], got["shared_blks_hit"], got["rows"]) == (None, 0, 5)
+
 
+def test_scan_keeps_all_statements_unless_limited(spark):
+    many = stats(spark, *[(i, f"SELECT {i} FROM depots", 2, i) for i in range(6000)])
+    assert statements.scan_statements(many).count() == 6000
+    top = statements.scan_statements(many, limit=3).collect()
+    assert sorted(r["queryid"] for r in top) == [5997, 5998, 5999]
 
-def test_scan_of_another_table_is_refused(spark):
+
+def test_scan_refuses_another_table(spark):
     with pytest.raises(statements.StatementsUnavailable, match="shared_preload_libraries"):
         statements.scan_statements(spark.range(1))
 
 
-def capture(spark, calls, at, path):
-    rows = [row("SELECT * FROM users WHERE id = $1", calls, calls * 2, queryid=11),
-            row("UPDATE users SET x = $1 WHERE id = $2", calls // 2, calls * 5, queryid=12, mean=10)]
-    sinks.save_capture(frame(spark, rows), F.lit(at), path)
-
-
-def test_store_prune_and_export(spark, tmp_path):
-    path = str(tmp_path / "stats")
-    for calls, age in ((10, 45), (20, 10), (30, 0)):
-        capture(spark, calls, T0 - timedelta(days=age), path)
-    history = read_table(spark, path, "stat_snapshots")
-    assert [r["statements"] for r in counters.captures(history).collect()] == [2, 2, 2]
-    bound = counters.retention_bound(T0, retention_days=30)
-    assert sinks.prune_captures(spark, path, bound) == 2
-    assert sinks.prune_captures(spark, path, bound) == 0
-    assert counters.retention_bound(T0, 0) is None and sinks.prune_captures(spark, path, None) == 0
-    history = read_table(spark, path, "stat_snapshots")
-    assert [r["captured_at"] for r in counters.captures(history).collect()] == [T0, T0 - timedelta(days=10)]
-    out = str(tmp_path / "csv")
-    sinks.export_csv(counters.export_rows(history, since=T0 - timedelta(days=1)), out)
-    rows = spark.read.csv(out, header=True).collect()
-    assert [r["queryid"] for r in rows] == ["11", "12"]
-    assert rows[0]["captured_at"] == "2026-10-07T12:00:00"
-    assert rows[0]["query_fingerprint"].startswith("SELECT * FROM USERS WHERE ID = ?")
+def stored(spark, path, *times):
+    for number, at in enumerate(times, 1):
+        sinks.save_capture(stats(spark, (1, SCAN, 10 * number, 2), (2, TOUCH, number, 3)), F.lit(at), path)
+    return read_table(spark, path, "stat_snapshots")
 
 
-def test_prune_inside_a_day_keeps_the_rest_of_it(spark, tmp_path):
-    path = str(tmp_path / "stats")
-    for hour in (1, 5, 9):
-        capture(spark, 10, datetime(2026, 10, 7, hour), path)
-    assert sinks.prune_captures(spark, path, F.lit(datetime(2026, 10, 7, 5))) == 2
-    history = read_table(spark, path, "stat_snapshots")
-    assert sorted({r["captured_at"].hour for r in history.collect()}) == [5, 9]
+def test_retention_drops_whole_days_and_the_head_of_one(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    morning = NOON.replace(hour=2)
+    stored(spark, path, NOON - timedelta(days=60), NOON - timedelta(days=9), morning, NOON)
+    assert sinks.prune_captures(spark, path, counters.retention_bound(NOON, retention_days=30)) == 2
+    assert sinks.prune_captures(spark, path, None) == 0 and counters.retention_bound(NOON, 0) is None
+    assert sinks.prune_captures(spark, path, F.lit(morning + timedelta(hours=1))) == 4
+    left = counters.captures(read_table(spark, path, "stat_snapshots")).collect()
+    assert [(r["captured_at"], r["statements"]) for r in left] == [(NOON, 2)]
 
 
-def test_profile_from_statements_uses_the_latest_capture(spark, tmp_path):
+def test_export_has_iso_times_in_order(spark, tmp_path):
+    history = stored(spark, str(tmp_path / "kept"), NOON - timedelta(days=5), NOON)
+    out = str(tmp_path / "csv")
+    sinks.export_csv(counters.export_rows(history, since=NOON - timedelta(days=1)), out)
+    rows = spark.read.csv(out, header=True).collect()
+    assert [(r["captured_at"], r["queryid"]) for r in rows] == [("2025-03-14T12:00:00", "1"), ("2025-03-14T12:00:00", "2")]
+    assert rows[0]["query_fingerprint"] == "SELECT NAME FROM DEPOTS WHERE REGION = ?"
+
+
+def test_profiles_follow_each_other_without_gaps(spark, tmp_path):
     hist, snaps = str(tmp_path / "h"), str(tmp_path / "s")
-    view = frame(spark, [row("SELECT 1 FROM t", 12, 24, queryid=1)])
-    later = frame(spark, [row("SELECT 1 FROM t", 20, 40, queryid=1)])
-    t1 = T0 + timedelta(hours=1)
-    pipelines.store_statement_profile(spark, view, F.lit(T0), snaps, hist)
-    pipelines.store_statement_profile(spark, later, F.lit(t1), snaps, hist)
-    pipelines.store_statement_profile(spark, later, F.lit(t1 + timedelta(hours=1)), snaps, hist)  # idle: nothing stored
+    for hour, calls in enumerate((12, 20, 20)):
+        view = stats(spark, (1, SCAN, calls, 2))
+        pipelines.store_statement_profile(spark, view, F.lit(NOON + timedelta(hours=hour)), snaps, hist)
     got = read_table(spark, snaps, "workload_snapshots").orderBy("snapshot_timestamp").collect()
-    assert [(r["execution_count"], r["window_start"]) for r in got] == [(12, T0), (8, T0)]
+    assert [(r["execution_count"], r["window_start"]) for r in got] == [(12, NOON), (8, NOON)]
+    # The idle window has left neither snapshots nor a capture.
     assert read_table(spark, hist, "stat_snapshots").select("captured_at").distinct().count() == 2
 
 
-def test_upsert_overwrites_four_columns(spark, tmp_path):
+def test_first_window_begins_at_the_last_reset(spark, tmp_path):
+    reset = NOON - timedelta(hours=7)
+    paths = str(tmp_path / "s"), str(tmp_path / "h")
+    pipelines.store_statement_profile(spark, stats(spark, (1, SCAN, 9, 2)), AT_NOON, *paths, stats_reset_at=F.lit(reset))
+    (got,) = read_table(spark, paths[0], "workload_snapshots").collect()
+    assert (got["window_start"], got["window_end"]) == (reset, NOON)
+
+
+def test_upsert_takes_four_columns_and_one_row_per_key(spark, tmp_path):
     path = str(tmp_path / "s")
-    base = counters.pooled_snapshots(frame(spark, [row("SELECT 1", 10, 100, queryid=1)]), STAMP, STAMP, STAMP)
-    sinks.save_snapshots(spark, base, path)
-    again = counters.pooled_snapshots(frame(spark, [row("SELECT 1", 30, 600, queryid=1), row("SELECT x", 1, 1, queryid=2)]), STAMP, STAMP, STAMP)
-    sinks.save_snapshots(spark, again, path)
-    rows = {r["query_fingerprint"]: r for r in read_table(spark, path, "workload_snapshots").collect()}
-    old = rows["SELECT ?"]
-    assert (old["execution_count"], float(old["avg_execution_time_ms"]), float(old["impact_score"])) == (30, 20.0, 600.0)
-    assert float(old["total_execution_time_ms"]) == 100.0 and float(old["p50_latency_ms"]) == 10.0
-    assert set(rows) == {"SELECT ?", "SELECT X"}
+    snap = lambda *entries: counters.pooled_snapshots(stats(spark, *entries), AT_NOON, AT_NOON, AT_NOON)
+    sinks.save_snapshots(spark, snap((1, SCAN, 10, 10)), path)
+    sinks.save_snapshots(spark, snap((1, SCAN, 15, 1)).unionByName(snap((1, SCAN, 30, 20), (2, TOUCH, 1, 1))), path)
+    rows = {r["query_type"]: r for r in read_table(spark, path, "workload_snapshots").collect()}
+    old = rows["SELECT"]
+    assert len(rows) == 2 and (old["execution_count"], float(old["impact_score"])) == (30, 600.0)
+    assert (float(old["avg_execution_time_ms"]), float(old["total_execution_time_ms"])) == (20.0, 100.0)
