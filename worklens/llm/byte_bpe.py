@@ -36,7 +36,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from worklens.llm.staging import staged
 
 #: Words folded ahead, and the longest of them in characters: bounds of what is broadcast.
-FREQUENT, LONGEST = 1_000_000, 64
+FREQUENT, LONGEST = 500_000, 64
+#: Words that are looked at together in a task.
+PART = 250_000
 #: Maps in the literal.
 RANK_MAPS = 1 << 14
 
@@ -113,13 +115,24 @@ def _split(documents: DataFrame, vocabulary: Vocabulary, text: str, keep: list[s
     return documents.select(*[documents[f"`{c}`"] for c in keep], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most ``PART`` words together (or one row)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words_")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """(word, count) over all texts; batches and tasks add up what they have read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = pc.value_counts(batch.column("words_").flatten())
-            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "count"])
+            for part in _parts(batch):
+                counted = pc.value_counts(part.column("words_").flatten())
+                yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "count"])
 
     return _split(documents, vocabulary, text, []).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -181,8 +194,9 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = _marked(batch.column("words_"), known.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *marked], [*names, "known_ids", "other_words"])
+            for part in _parts(batch):
+                marked = _marked(part.column("words_"), known.value)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *marked], [*names, "known_ids", "other_words"])
 
     marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name != "words_"), *fields]))
     folded = F.struct(F.col("known_ids").alias("ids"), F.transform("other_words", vocabulary.folded).alias("words"))
