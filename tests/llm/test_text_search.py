@@ -90,6 +90,30 @@ def test_repeated_strings_equal_brute_force(spark, hot_least):
     assert column_bwt_dedup.digest(frame.limit(0), hot_least).collect() == []
 
 
+def test_stretches_do_not_depend_on_chunks_or_place(monkeypatch):
+    random.seed(11)
+    text = lambda n: bytes(random.choice(b"abcdefgh ") for _ in range(n))
+    texts = [text(700), b"", text(30), text(2000), b"a" * 400]
+    of = lambda found, k: list(zip(*(x[found.text == k].tolist() for x in (found.anchor, found.content, found.first - found.edges[k], found.last - found.edges[k])), strict=True))
+    whole = column_bwt_dedup.Stretches(texts)
+    monkeypatch.setattr(column_bwt_dedup, "_CHUNK", 300)
+    for lead in (0, 1, 77, 250):
+        found = column_bwt_dedup.Stretches([text(lead), *texts])
+        for k in range(len(texts)):
+            assert of(found, k + 1) == of(whole, k)
+
+
+def test_repeat_over_a_chunk_border_goes_whole(spark):
+    random.seed(12)
+    text = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    repeat, chunk = text(80), 1 << 20
+    # In the first pass the border lies inside the repeat of document 3; in the others document 1, which loses nothing, is gone.
+    rows = [(1, text(300_000)), (2, "." + repeat + "."), (3, text(chunk - 300_000 - 82 - 40) + repeat + text(500))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lost = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in column_bwt_dedup.digest(frame, 1000).collect()}
+    assert lost == {1: (0, 0), 2: (0, 0), 3: (80, 1)}
+
+
 def test_collection_order_and_prefixes():
     random.seed(7)
     for _ in range(25):

@@ -70,6 +70,9 @@ class Stretches:
         self._whole = np.cumsum(over[:-1]) == 0
         found = [self._of(a, min(a + _CHUNK, len(self.raw) - LENGTH + 1)) for a in range(0, max(0, len(self.raw) - LENGTH + 1), _CHUNK)]
         text, first, last, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+        # A stretch over a chunk border comes in two parts with one anchor place. Joined, stretches depend on their text only.
+        fresh = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        text, first, last, place = text[fresh], first[fresh], last[np.append(fresh[1:], len(place))[: len(fresh)] - 1], place[fresh]
         anchor = self.hashed(place, place + GRAM)
         if cut is not None and len(cut) and len(anchor):
             hot = cut[np.minimum(np.searchsorted(cut, anchor), len(cut) - 1)] == anchor
