@@ -135,6 +135,21 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert joined == text
 
 
+def test_phone_forms_wherever_they_stand(spark):
+    forms = ["555-123-4567", "+14155552671", "+33 1 23 45 67 89", "+49 30 1234567", "+44 (0)20 7946 0958", "(030) 555-7713", "01 23 45 67 89", "030 12345678"]
+    leads = ["", "tel:", "line\n", "so, ", '"', "call,"]
+    for form in forms:
+        for lead in leads:
+            assert [e[:3] for e in pii_surrogates.entities(f"{lead}{form}\nrest")] == [(len(lead), len(lead) + len(form), "phone")]
+    for other in ("2024-01-15", "01-02-2024 10:30", "01.02.2024", "room 12 34", "1,000,000"):
+        assert pii_surrogates.entities(other) == []
+    frame = spark.createDataFrame([(i, f"tel:{form}") for i, form in enumerate(forms)], "doc_id long, text string")
+    for row in pii_surrogates.pseudonymised(frame, "key").collect():
+        form = forms[row["doc_id"]]
+        assert row["n_entities"] == 1 and form not in row["text"]
+        assert ["d" if c.isdigit() else c for c in row["text"][4:]] == ["d" if c.isdigit() else c for c in form]
+
+
 def test_clashing_surrogates_stay_distinct(spark):
     mails = [f"{c}@d.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
     frame = spark.createDataFrame([(i, f"to {m} .") for i, m in enumerate(mails)], "doc_id long, text string")

@@ -43,7 +43,11 @@ KINDS = ("email", "ip", "phone", "number", "given", "surname")
 # Fixed rules.
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?<=[\d .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})(?!\d)")
+# Three groups with or without country code; any grouping after a plus sign; a trunk zero and groups with one separator.
+PHONE = re.compile(
+    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})"
+    r"|\+\d(?:[ .()/-]{0,2}\d){6,14}|0\d{1,4}([ /-])(?:\d{5,8}|\d{3,4}\1\d{2,5}|\d{2,4}(?:\1\d{2,4}){2,3}))(?!\d)"
+)
 NUMBER = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m",
