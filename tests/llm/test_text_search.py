@@ -56,6 +56,17 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert wu_manber.contaminated_words(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_with_a_very_long_word(spark):
+    random.seed(13)
+    word = "".join(random.choices("abcdefgh", k=70_000))
+    items = [(1, word), (2, "before " + word + " after"), (3, "short item")]
+    docs = [(1, "x " * 300 + word.upper() + " y"), (2, word[:-1]), (3, "so before " + word + " after that short item"), (4, "z" + word)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = wu_manber.contaminated_words(frame, bench, keep=["doc_id"])
+    assert sorted(map(tuple, wu_manber.digest(found).collect()), key=str) == hits(docs, items)
+
+
 def repeats(rows):
     first = {}
     for doc, text in rows:

@@ -90,9 +90,9 @@ class Group:
         m = min(map(len, patterns))
         size = min(BLOCK, m)
         heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
-        shift = np.full(1 << BITS, m - size + 1, np.uint16)
+        shift = np.full(1 << BITS, m - size + 1, np.int32)
         for end in range(size, m + 1):
-            np.minimum.at(shift, cls.hashed(heads[:, end - size : end]), np.uint16(m - end))
+            np.minimum.at(shift, cls.hashed(heads[:, end - size : end]), np.int32(m - end))
         last = cls.hashed(heads[:, m - size :])
         order = np.argsort(last, kind="stable")
         bucket = np.searchsorted(last[order], np.arange((1 << BITS) + 1, dtype=np.uint64))
