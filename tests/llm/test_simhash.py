@@ -113,3 +113,14 @@ def test_near_copies_equal_brute_force(spark):
     assert len(want) < len(rows) - 40
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in vp.one_of_each(frame).collect()) == want
     assert vp.one_of_each(frame.limit(0)).collect() == []
+
+
+def test_rows_without_or_with_a_repeated_id_stay(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    t = [text(60) for _ in range(8)]
+    near = t[0] + " more"
+    rows = [(None, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (2, t[4]), (7, t[5]), (7, t[6]), (7, t[6]), (7, near), (3, t[0]), (1, t[7]), (1, t[7].upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in vp.one_of_each(frame).collect()))
+    assert got == sorted([(0, t[1]), (0, t[2]), (0, t[3]), (2, t[4]), (7, t[5]), (7, t[6]), (3, t[0]), (1, t[7].upper())])

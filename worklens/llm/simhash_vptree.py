@@ -373,14 +373,20 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Near copies are texts whose sets of five-word shingles have Jaccard similarity 0.8 or
     more, by count, not by estimate; groups are what such pairs connect. Texts without words
-    are one group. Of equal rows one stays; rows without doc_id stay where no other document of
-    their group has one.
+    are one group. Rows without doc_id stay where no other row of their group has one, and
+    only the rows of a group stand for each other, whatever their doc_id. Of rows that the
+    group and doc_id leave the first by set, then by text, stays.
     """
     routed = staged(_routed(documents), "routed")
     roots = component_roots(near_links(routed)).withColumnRenamed("node", "near_node")
     rows = routed.select("doc_id", "near_node").join(roots, "near_node", "left").withColumn("root", F.coalesce("root", "near_node"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("best_id"))
-    chosen = staged(least.select("best_id").distinct(), "chosen")
-    kept = routed.join(chosen, routed["doc_id"].eqNullSafe(chosen["best_id"]), "left_semi").select(*[f"`{c}`" for c in documents.columns])
-    repeated = not routed.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_node")).alias("best")
+    chosen = staged(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("best_id"), F.col("best.near_node").alias("best_node")), "chosen")
+    same = F.col("near_node").eqNullSafe(F.col("best_node")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+    repeated = staged(routed.groupBy("doc_id", "near_node").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("near_node").alias("again_node")), "repeated")
+    again = F.col("near_node").eqNullSafe(F.col("again_node")) & F.col("doc_id").eqNullSafe(F.col("again_id"))
+    kept = routed.join(chosen, same, "left_semi").drop("near_size", "near_keys")
+    single = kept.join(repeated, again, "left_anti")
+    number = F.row_number().over(Window.partitionBy("near_node").orderBy("text"))
+    several = kept.join(repeated, again, "left_semi").withColumn("near_number", number).where("near_number = 1").drop("near_number")
+    return single.unionByName(several).drop("near_node")
