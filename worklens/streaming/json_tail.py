@@ -1,6 +1,6 @@
 """Incremental reading of JSON logs: each run takes only the files that are new.
 
-Rows and rejects are those of the batch reader. The file source keeps what it has read in
+Rows are those of the batch reader; refused lines are not stored. The file source keeps what it has read in
 its checkpoint, and each micro-batch replaces its own folder of the table, so a batch that
 is repeated after a failure adds nothing twice.
 """
