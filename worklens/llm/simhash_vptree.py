@@ -23,8 +23,7 @@ included, has fingerprint 0.
 ``doc_id`` take part; the smallest doc_id ignores them, and a group of such rows only has
 component null.
 
-``one_of_each``, the stage of the corpus pipeline, has a threshold of similarity that no
-number of differing bits decides; it compares shingle sets, met under common shingles.
+``one_of_each`` keeps one document of each group, as a stage of the corpus pipeline.
 """
 
 from __future__ import annotations
@@ -34,11 +33,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
+from pyspark.sql.types import BinaryType, StructField
 
-from worklens.llm.batches import LOWER, Words, append, byte_table, slices
+from worklens.llm.batches import LOWER, Words, append, byte_table
 from worklens.llm.components import component_roots
 from worklens.llm.staging import staged
 from worklens.llm.wu_manber import squeezed
@@ -266,127 +265,27 @@ def digest(documents: DataFrame) -> DataFrame:
     return components(prints).select("doc_id", F.lower(F.hex(F.substring("node", 1, 8))).alias("fingerprint"), "component_id")
 
 
-#: Near copies of the corpus stage: words of a shingle; two sets are near copies if NEAR_OF times
-#: the size of their intersection is at least NEAR_SHARE times that of their union.
-NEAR_SHINGLE, NEAR_SHARE, NEAR_OF = 5, 4, 5
-#: Frequent shingles that are put last in the common order; bounds what is broadcast.
-FREQUENT = 1 << 18
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents without near copies: of each group of linked fingerprints one row stays.
 
-
-def shingle_sets(texts: list[bytes], shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Different shingle hashes of every text, ascending, and the number of each text's."""
-    hashes, number = shingle_hashes(texts, shingle)
-    doc = np.repeat(np.arange(len(texts)), number)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[fresh], np.bincount(doc[fresh], minlength=len(texts))
-
-
-def _frequent(documents: DataFrame) -> np.ndarray:
-    """Shingles that many documents have, from counts within slices, the most frequent last."""
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                values, number = np.unique(shingle_sets(texts)[0], return_counts=True)
-                often = number >= 2
-                yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(number[often])], ["shingle", "docs"])
-
-    counted = documents.select("text").mapInArrow(run, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
-    rows = counted.orderBy(F.desc("docs"), "shingle").limit(FREQUENT).collect()
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def _routed(documents: DataFrame) -> DataFrame:
-    """The documents with ``near_node`` (128 bits of the set), ``near_size`` and ``near_keys``.
-
-    All sets are put in one order: shingles that are not frequent, by hash, then the frequent
-    ones. Two near copies share at least 4/5 of the larger set, so each has a common shingle
-    among its first ``size // 5 + 1``: those are the keys, and no pair is lost.
+    It is the row with the smallest doc_id; a row without doc_id stays where no other row of
+    its group has one. Of rows that group, fingerprint and doc_id leave, the one with the
+    least text stays (null first). Columns of any name are kept as they are.
     """
-    frequent = _frequent(documents)
-    by_value = np.argsort(frequent)
-    shared = documents.sparkSession.sparkContext.broadcast((frequent[by_value], by_value + 1))
+    names = documents.columns
+    plain = documents.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        hashes, number = shingle_sets(texts)
-        doc, edges = np.repeat(np.arange(len(texts)), number), np.append(0, np.cumsum(number))
-        values, place = shared.value
-        rank = np.zeros(len(hashes), np.int64)
-        if len(values):
-            at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-            rank = np.where(values[at] == hashes, place[at], 0)
-        ordered = hashes[np.lexsort((hashes, rank, doc))].view(np.int64)
-        wanted = np.where(number > 0, number - -(-number * NEAR_SHARE // NEAR_OF) + 1, 0)
-        keys = ordered[np.arange(len(hashes)) - edges[doc] < wanted[doc]]
-        raw = hashes.tobytes()
-        nodes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wanted)), pa.int32()), pa.array(keys))
-        return [pa.array(nodes, pa.binary()), pa.array(number.astype(np.int64)), lists]
-
-    return append(documents, compute, [StructField("near_node", BinaryType()), StructField("near_size", LongType()), StructField("near_keys", ArrayType(LongType()))])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of ids whose shingle sets are near copies, as nodes."""
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("near_node").alias(f"{n}_node"), F.col("near_set").alias(f"{n}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    return both.where(common * (NEAR_OF + NEAR_SHARE) >= total * NEAR_SHARE).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-
-
-def near_links(routed: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that span the components of all pairs of near copies.
-
-    Documents meet under the keys that they share. First each is compared with its neighbour
-    by size under every key. Then all pairs under a key are compared whose ends are not yet in
-    one component, so a group of many copies costs few comparisons and no pair is left out.
-    """
-    id_ = F.xxhash64("near_node").alias("id")
-    entries = routed.select(F.explode("near_keys").alias("key"), id_, F.col("near_size").alias("size"))
-    group, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("size", "id")
-    entries = entries.select("*", F.lag("id").over(ordered).alias("before"), F.lag("size").over(ordered).alias("size_before"), (F.min("id").over(group) < F.max("id").over(group)).alias("several"))
-    met = staged(entries.where("several and (before is null or before <> id)").drop("several"), "met")
-    alike = lambda a, b: F.least(a, b) * NEAR_OF >= F.greatest(a, b) * NEAR_SHARE
-    texts = routed.select(id_, "near_node", "text").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["near_node"])
+        return [nodes(majority(*shingle_hashes(texts, shingle))[:, None], np.zeros(len(texts), int))]
 
-    def compute(texts: list[bytes]) -> list[pa.Array]:
-        hashes, number = shingle_sets(texts)
-        return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)), pa.int32()), pa.array(hashes.view(np.int64)))]
-
-    sets = staged(append(texts, compute, [StructField("near_set", ArrayType(LongType()))], keep=["id", "near_node"]), "near-sets")
-    pairs = met.where("before is not null").where(alike("size", "size_before")).select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"))
-    first = staged(_confirmed(pairs.distinct(), sets), "first-links")
-    roots = component_roots(first).withColumnRenamed("node", "near_node")
-    labels = sets.select("id", "near_node").join(roots, "near_node", "left").groupBy("id").agg(F.min(F.coalesce("root", "near_node")).alias("label"))
-    labelled = staged(met.select("key", "id", "size").join(labels, "id"), "labelled")
-    other = labelled.select("key", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-    open_ = labelled.withColumnRenamed("id", "a").join(other, "key").where("label < b_label").where(alike("size", "b_size"))
-    more = _confirmed(staged(open_.select("a", "b").distinct(), "open-pairs"), sets)
-    return first.unionByName(staged(more, "more-links"))
-
-
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group one row stays, that with the smallest doc_id.
-
-    Near copies are texts whose sets of five-word shingles have Jaccard similarity 0.8 or
-    more, by count, not by estimate; groups are what such pairs connect. Texts without words
-    are one group. Rows without doc_id stay where no other row of their group has one, and
-    only the rows of a group stand for each other, whatever their doc_id. Of rows that the
-    group and doc_id leave the first by set, then by text, stays.
-    """
-    routed = staged(_routed(documents), "routed")
-    roots = component_roots(near_links(routed)).withColumnRenamed("node", "near_node")
-    rows = routed.select("doc_id", "near_node").join(roots, "near_node", "left").withColumn("root", F.coalesce("root", "near_node"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_node")).alias("best")
-    chosen = staged(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("best_id"), F.col("best.near_node").alias("best_node")), "chosen")
-    same = F.col("near_node").eqNullSafe(F.col("best_node")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
-    repeated = staged(routed.groupBy("doc_id", "near_node").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("near_node").alias("again_node")), "repeated")
-    again = F.col("near_node").eqNullSafe(F.col("again_node")) & F.col("doc_id").eqNullSafe(F.col("again_id"))
-    kept = routed.join(chosen, same, "left_semi").drop("near_size", "near_keys")
-    single = kept.join(repeated, again, "left_anti")
-    number = F.row_number().over(Window.partitionBy("near_node").orderBy("text"))
-    several = kept.join(repeated, again, "left_semi").withColumn("near_number", number).where("near_number = 1").drop("near_number")
-    return single.unionByName(several).drop("near_node")
+    rows = staged(append(plain, compute, [NODE], text=text), "printed")
+    best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"))).alias("best")
+    points = staged(rows.groupBy("node").agg(best), "points")
+    grouped = points.join(component_roots(links(points.select("node"), radius)), "node", "left")
+    first = F.min(F.struct("best", "node")).alias("first")
+    chosen = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+    chosen = staged(chosen.select(F.col("first.node").alias("node"), F.col("first.best.doc_id").alias("best_id")), "chosen")
+    kept = rows.join(chosen, "node").where(F.col(doc_id).eqNullSafe(F.col("best_id")))
+    one = kept.groupBy("node").agg(F.min_by(F.struct(*plain.columns), F.struct(text)).alias("row"))
+    return one.select("row.*").toDF(*names)
