@@ -14,25 +14,30 @@ from worklens.llm.staging import staged
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    model = quality_indexing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_indexing.scored(docs, model).where("score >= 0.5").select(*_names(docs))
+    inner = _apart(docs, {"score"})
+    model = quality_indexing.fit(inner, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _back(quality_indexing.scored(inner, model).where("score >= 0.5"), inner, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash_vptree.one_of_each(docs)
+    return simhash_vptree.one_of_each(docs, shingle=3, radius=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = wu_manber.contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hits") == 0).select(*_names(docs))
+    inner = _apart(docs, {f.name for f in wu_manber.FIELDS})
+    found = wu_manber.contaminated_words(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(found.where(F.size("hits") == 0), inner, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark, and ``n_chars`` to match."""
-    clean = secret_cnn.redacted(docs, secret_cnn.fit(docs)).withColumn("text", F.col("clean_text")).drop("clean_text")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*_names(docs))
+    inner = _apart(docs, {"secrets", "clean_text"})
+    clean = secret_cnn.redacted(inner, secret_cnn.fit(inner)).withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return _back(clean, inner, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +49,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
 
-def _names(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _apart(docs: DataFrame, taken: set[str]) -> DataFrame:
+    """The documents with columns that have a name of the operator's own renamed."""
+    return docs.withColumnsRenamed({c: f"input {i} {c}" for i, c in enumerate(docs.columns) if c in taken})
+
+
+def _back(out: DataFrame, inner: DataFrame, docs: DataFrame) -> DataFrame:
+    """The input's columns of an operator's result, under the input's names."""
+    return out.select(*[f"`{c}`" for c in inner.columns]).toDF(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
