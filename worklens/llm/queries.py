@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import byte_bpe, collision_ann, column_bwt_dedup, pii_surrogates, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, warc_revisits, wu_manber
+from worklens.llm import byte_bpe, collision_ann, column_bwt_dedup, conversation_repair, lexical_lemp, license_scan, pii_surrogates, quality_indexing, secret_cnn, simhash_vptree, toxicity_cnn, warc_revisits, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return wu_manber.digest(found)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_lemp.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_pii_surrogates, op5_revisit_resolution, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_suffix_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_pii_surrogates, op5_revisit_resolution, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_suffix_dedup, op10_benchmark_decontamination, op11_conversation_repair, op12_license_scan, op13_lexical_search)
+}
+ORACLE: dict[str, str] = {
+    "op5_revisit_resolution": warc_revisits.ORACLE,
+    "op12_license_scan": license_scan.ORACLE,
+    "op13_lexical_search": lexical_lemp.ORACLE,
 }
-ORACLE: dict[str, str] = {"op5_revisit_resolution": warc_revisits.ORACLE}
