@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens.llm import license_scan
-from worklens.llm.license_rules import BASE, RULES
+from worklens.llm.license_rules import BASE, RULES, VERBS
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans(license_scan.UPPER, license_scan.LOWER)
@@ -21,6 +21,7 @@ TEXTS = [
     "Éa license: MIT ÀMIT license undér the mit license",
     "licensed under the terms of the Mozilla Public License 2.0 or the license is Apache 2.0 license",
     "nothing of the kind, the license of poets", "", None, "   \n", "under the mit", "the mit license under", "x" * 5000,
+    "\u212aelvin, distributed with \u212a under the MIT, shared as is under mpl 2.0, GPLv3 \u0130SC license", "creative commons zero; this is free and unencumbered software released into",
     "all rights reserved. Unauthorized copying of it is released into the public domain",
 ]
 
@@ -66,8 +67,7 @@ def test_detections_and_clashing_columns(spark):
 
 
 def test_every_rule_needs_a_gate_word_and_many_places_stay_fast(spark):
-    gate = license_scan.gate_words()
-    assert len(RULES) > 250 and all(any(g in k + " " for g in gate) for r in RULES for k in r.keywords)
+    assert len(RULES) > 250 and all(re.match(license_scan.gate(), g.replace(f"(?:{'|'.join(VERBS)})(?: [a-z]+){{0,2}}", "released")) for r in RULES for g in r.gates)
     long = "Released under the MIT License. Nothing else. " * 20_000
     frame = spark.createDataFrame([(1, long)], "doc_id long, text string")
     assert tuple(license_scan.digest(frame).first()) == (1, 140_000, 20_000, 1, 139_994, "mit", "mit", 0.9)

@@ -1,7 +1,8 @@
 """Signature rules for license texts, over words in lower case with one space between them.
 
 A rule has a pattern, the words that may start it (triggers), and keywords of which one has
-to stand in the window before the pattern is tried. Rules are ordered: by priority, then by
+to stand in the window before the pattern is tried. Its gates are patterns of which one has to
+occur in the text before any window is opened; few of them serve all rules. Rules are ordered: by priority, then by
 place in the list. Most are made from ``LICENSES`` and five forms in which a license is
 named; the sentences and the base phrases are written out. Patterns use only what all common
 engines know, and end with the space after their last word.
@@ -109,6 +110,7 @@ class Rule:
     keywords: tuple[str, ...]
     priority: int
     confidence: float
+    gates: tuple[str, ...]
 
 
 def _first_words(alternatives: str) -> tuple[str, ...]:
@@ -121,23 +123,33 @@ def _keywords(*alternatives: str) -> tuple[str, ...]:
     return tuple(sorted(s for s in starts if not any(s != o and s.startswith(o) for o in starts)))
 
 
+#: In every text that names a license with this word; and what the form "... under" needs.
+LICEN = " licen"
+UNDER = f" (?:{'|'.join(VERBS)})(?: [a-z]+){{0,2}} under "
+
+
+def _gates(alternatives: str) -> tuple[str, ...]:
+    """``LICEN``, or the plain start of an alternative without that word."""
+    return tuple(LICEN if LICEN in f" {a}" else f" {a.split('[')[0].strip()}" for a in alternatives.split("|"))
+
+
 def _rules() -> list[Rule]:
-    out = [Rule(f"base {label}", label, (phrase.split(" ")[0],), phrase, (f" {phrase} ",), 0, 0.95) for phrase, label in BASE.items()]
+    out = [Rule(f"base {label}", label, (phrase.split(" ")[0],), phrase, (f" {phrase} ",), 0, 0.95, _gates(phrase)) for phrase, label in BASE.items()]
     forms: list[list[Rule]] = [[] for _ in range(5)]
     for label, code, titles, names in LICENSES:
         every = f"(?:{titles}|{names})"
-        forms[0].append(Rule(f"identifier {label}", label, ("spdx",), f"spdx license identifier {code}(?: only| or later)?", _keywords(code), 1, 1.0))
-        forms[1].append(Rule(f"address {label}", label, ("opensource", "spdx", "choosealicense"), f"(?:opensource org|spdx org|choosealicense com) licenses {code}(?: html| php)?", _keywords(code), 2, 0.95))
+        forms[0].append(Rule(f"identifier {label}", label, ("spdx",), f"spdx license identifier {code}(?: only| or later)?", _keywords(code), 1, 1.0, (LICEN,)))
+        forms[1].append(Rule(f"address {label}", label, ("opensource", "spdx", "choosealicense"), f"(?:opensource org|spdx org|choosealicense com) licenses {code}(?: html| php)?", _keywords(code), 2, 0.95, (LICEN,)))
         notice = rf"(?:{'|'.join(VERBS)})(?: [a-z]+){{0,2}} under(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? {every}(?: licen[cs]e)?"
-        forms[2].append(Rule(f"notice {label}", label, VERBS, notice, _keywords(titles, names), 3, 0.9))
-        forms[3].append(Rule(f"field {label}", label, ("license", "licence", "licenses"), f"licen[cs]es?(?: type| name)?(?: is)?(?: the)? {every}", _keywords(titles, names), 4, 0.8))
+        forms[2].append(Rule(f"notice {label}", label, VERBS, notice, _keywords(titles, names), 3, 0.9, (UNDER,)))
+        forms[3].append(Rule(f"field {label}", label, ("license", "licence", "licenses"), f"licen[cs]es?(?: type| name)?(?: is)?(?: the)? {every}", _keywords(titles, names), 4, 0.8, (LICEN,)))
         title = f"(?:{titles}|(?:{names}) licen[cs]ed?)"
-        forms[4].append(Rule(f"title {label}", label, _first_words(f"{titles}|{names}"), title, _keywords(titles, names), 5, 0.7))
+        forms[4].append(Rule(f"title {label}", label, _first_words(f"{titles}|{names}"), title, _keywords(titles, names), 5, 0.7, (LICEN, *_gates(titles))))
     for rules in forms:
         out += rules
     for number, (label, sentence, keyword) in enumerate(SENTENCES):
         triggers = ("released", "placed", "dedicated") if sentence.startswith("(?:") else (sentence.split(" ")[0],)
-        out.append(Rule(f"sentence {number} {label}", label, triggers, sentence, (f" {keyword}",), 1, 1.0))
+        out.append(Rule(f"sentence {number} {label}", label, triggers, sentence, (f" {keyword}",), 1, 1.0, (f" {keyword}",)))
     return out
 
 
