@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,17 @@ def proposal_violations(state: DataFrame, statuses: tuple[str, ...]) -> DataFram
         (F.col("status") == "rejected") & (reason.isNull() | (reason == "")), "reject reason"
     )
     return state.withColumn("violation", broken).filter(F.col("violation").isNotNull())
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows in the order of ``at`` with their place from 1: counts per stretch of ``at``, then places within.
+
+    ``at`` is a number that grows with the order and names the task in its upper bits
+    (``monotonically_increasing_id``), so a stretch is what one task wrote.
+    """
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = rows.withColumn("_part", part).join(starts, "_part")
+    return placed.withColumn("place", F.col("at") - F.shiftleft(F.col("_part"), 33) + F.col("_start") + 1).drop("at", "_part", "_start")

@@ -28,10 +28,13 @@ def _slot(value: Column) -> Column:
 
 
 def nearest_ranks(
-    rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], min_rows: int = 1
+    rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], min_rows: int = 1,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per group, the value at 0-based ascending position ``int(n * q)`` for each quantile.
 
+    With ``weight`` a row stands for that many equal values.
+
     Groups with fewer than ``min_rows`` rows are left out. Keys that are computed should
     not be nullable: the joins would test them for NULL, and that test is pushed to the
     scan, where it computes the key a second time.
@@ -39,7 +42,7 @@ def nearest_ranks(
     cells = (
         rows.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
         .withColumn("_slot", _slot(F.col(value)))
     )
     group = Window.partitionBy(*keys)

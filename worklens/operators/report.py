@@ -172,8 +172,13 @@ def analysis_report(
     as_of: Column,
     focus_areas: list[str] | None = None,
     limit: int = 50,
+    schema: DataFrame | None = None,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole report as one row (report)."""
+    """The whole report as one row (report).
+
+    ``schema`` has a row (tables, indexes), see :func:`schema_summary`, ``settings`` rows (name, value).
+    """
     base = workload_summary(snapshots, (), limit)
     stamp = as_of.cast("timestamp_ntz")
     sections = [
@@ -184,6 +189,11 @@ def analysis_report(
     ]
     if results is not None:
         sections.append(eval_summary(results).scalar())
+    if schema is not None:
+        sections.append(schema.select(schema_summary(F.col("tables"), F.col("indexes")).alias("text")).agg(F.max("text")).scalar())
+    if settings is not None:
+        given = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))
+        sections.append(settings.agg(given.alias("given")).select(config_summary(F.col("given"))).scalar())
     if focus_areas:
         sections.append(F.lit("## Focus Areas\n\n" + "".join(f"- {a}\n" for a in focus_areas) + "\n"))
     return base.select(F.concat(*sections).alias("report"))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens import fixed, schemas
-from worklens.functions import sqlcheck
-from worklens.functions.text import strip
+from worklens.functions import sequences, sqlcheck
+from worklens.functions.text import let, strip
 from worklens.session import staged
 
 def review_mode(config_value: bool | None = None, setting: str | None = None) -> bool:
@@ -77,11 +77,21 @@ def _valid(action: str) -> Column:
     rules = {
         "approve": _given(F.col("actor")) & parse_ok,
         "reject": _given(F.col("actor")) & _given(strip(F.col("reason"))),
-        "apply": F.coalesce(F.col("confirm"), F.lit(False)) & parse_ok,
+        "apply": F.coalesce(F.col("confirm"), F.lit(False)) & parse_ok & still_parses(),
     }
     return (F.col("action") == action) & rules[action]
 
 
+def still_parses() -> Column:
+    """Result of the second check, made when a proposal is applied.
+
+    An ``apply`` event that carries SQL says what is about to run, which may differ from what
+    was checked when it was proposed. Without SQL the proposal's own, checked text runs.
+    """
+    again = (F.col("action") == "apply") & F.col("sql").isNotNull()
+    return F.when(again, sqlcheck.check(F.col("sql"))["parse_error"].isNull()).otherwise(F.lit(True))
+
+
 def decisions(events: DataFrame, proposed: DataFrame, mode_on: bool = True) -> DataFrame:
     """Per proposal the deciding events: ``approved``, ``rejected`` and ``applied`` structs.
 
@@ -152,10 +162,10 @@ def first_error_line(error: Column) -> Column:
 def proposal_state(events: DataFrame, mode_on: bool = True) -> DataFrame:
     """Current state of every proposal, as the queue table stores it."""
     proposed = staged(proposals(events), "proposals")
-    return _state(proposed, decisions(events, proposed, mode_on))
+    return state_of(proposed, decisions(events, proposed, mode_on))
 
 
-def _state(proposed: DataFrame, decided: DataFrame) -> DataFrame:
+def state_of(proposed: DataFrame, decided: DataFrame) -> DataFrame:
     joined = proposed.join(decided, "proposal_id", "left")
     approved, rejected, applied = F.col("approved"), F.col("rejected"), F.col("applied")
     error = first_error_line(applied["error"])
@@ -227,7 +237,7 @@ def verdicts(events: DataFrame, mode_on: bool = True) -> DataFrame:
         .when(
             action == "apply",
             F.when(~F.col("_known"), _unknown()).otherwise(
-                blocked_reason(pid, F.col("confirm"), F.col("parse_ok"), F.col("parse_error"), state, mode_on)
+                blocked_reason(pid, F.col("confirm"), F.col("parse_ok"), F.col("parse_error"), state, mode_on, still_parses())
             ),
         )
         .when((action == "propose") & (now != F.col("_created")), F.concat(pid, F.lit(" exists already")))
@@ -264,7 +274,11 @@ def blocked_reason(
 
 def audit_log(events: DataFrame, mode_on: bool = True) -> DataFrame:
     """Audit rows: every step that took effect, and every refused application."""
-    judged = verdicts(events, mode_on)
+    return audit_rows(verdicts(events, mode_on), mode_on)
+
+
+def audit_rows(judged: DataFrame, mode_on: bool = True) -> DataFrame:
+    """The audit rows of judged events, see :func:`verdicts`."""
     blocked = (F.col("action") == "apply") & F.col("_known") & ~F.col("accepted")
     failed = (F.col("action") == "apply") & F.col("accepted") & F.col("error").isNotNull()
     after = F.when(F.col("action") == "approve", "approved").otherwise("rejected")
@@ -309,22 +323,21 @@ def audit_log(events: DataFrame, mode_on: bool = True) -> DataFrame:
     return schemas.conform(rows, schemas.REVIEW_AUDIT)
 
 
-def audit_listing(audit: DataFrame, proposal_id: str | None = None, limit: int = 100) -> DataFrame:
-    """Audit rows, newest first."""
+def audit_listing(audit: DataFrame, proposal_id: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Audit rows, newest first; all of them with ``limit=None``."""
     rows = audit if not proposal_id else audit.filter(F.col("proposal_id") == proposal_id)
-    return rows.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
+    ordered = rows.orderBy(F.desc("ts"), F.desc("seq"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def proposal_listing(state: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
-    """Proposals with their reviewer flags, newest first."""
+def proposal_listing(state: DataFrame, status: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Proposals with their reviewer flags, newest first; all of them with ``limit=None``."""
     if status is not None and status not in fixed.STATUSES:
         raise ValueError(f"status must be one of {fixed.STATUSES}")
     rows = state if status is None else state.filter(F.col("status") == status)
-    return (
-        rows.orderBy(F.desc("created_at"), F.desc("created_seq"))
-        .limit(limit)
-        .withColumn("flags", sqlcheck.flags(F.col("parse_ok"), F.col("destructive")))
-    )
+    ordered = rows.orderBy(F.desc("created_at"), F.desc("created_seq"))
+    shown = ordered if limit is None else ordered.limit(limit)
+    return shown.withColumn("flags", sqlcheck.flags(F.col("parse_ok"), F.col("destructive")))
 
 
 def proposal(state: DataFrame, proposal_id: str) -> DataFrame:
@@ -349,6 +362,13 @@ def changes(proposed: DataFrame) -> DataFrame:
     )
 
 
+def clause_changes(proposed: DataFrame) -> DataFrame:
+    """Proposals with the clauses that were kept, moved, removed and added, by their order."""
+    both = F.struct(sqlcheck.clauses(F.col("current_sql")).alias("old"), sqlcheck.clauses(F.col("sql")).alias("new"))
+    told = let(both, lambda c: sequences.changes(c["old"], c["new"]))
+    return proposed.withColumn("_told", told).select("*", *[F.col(f"_told.{n}").alias(f"{n}_clauses") for n in ("kept", "moved", "removed", "added")]).drop("_told")
+
+
 def enqueue(recommendations: DataFrame, target_db: str = "primary") -> DataFrame:
     """``propose`` events for the migration SQL of recommendations.
 

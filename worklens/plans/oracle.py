@@ -564,7 +564,8 @@ WHERE seq % 3 = 1 OR (seq % 3 = 0 AND (seq % 2 = 0 OR reason IS NULL))"""
 # --- review ledger: replayed event by event ----------------------------------------------------------------------------
 
 
-def replay(mode_on: bool) -> str:
+def replay(mode_on: bool, still: str = "true") -> str:
+    """``still``: whether the SQL of an application passes the second check."""
     gate = "st.status = 'approved'" if mode_on else "st.status IN ('pending', 'approved')"
     return f"""
 WITH RECURSIVE ck AS MATERIALIZED ({CHECKED}),
@@ -589,7 +590,7 @@ st AS (
       CASE ev.action
         WHEN 'approve' THEN ev.actor <> '' AND ev.parse_error IS NULL AND st.status = 'pending'
         WHEN 'reject' THEN ev.actor <> '' AND trim(coalesce(ev.reason, '')) <> '' AND st.status IN ('pending', 'approved')
-        ELSE ev.confirm AND ev.parse_error IS NULL AND {gate} END AS ok
+        ELSE ev.confirm AND ev.parse_error IS NULL AND {still} AND {gate} END AS ok
     FROM st JOIN ev ON ev.proposal_id = st.proposal_id AND ev.n = st.n + 1))
 """
 
@@ -600,15 +601,16 @@ SELECT proposal_id, status, reviewed_by, reviewed_at, reason, applied_by, applie
 FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY n DESC) AS last FROM st) WHERE last = 1"""
 
 
-def gate(mode_on: bool) -> str:
+def gate(mode_on: bool, still: str = "true") -> str:
     refused = (
         "WHEN before <> 'approved' THEN concat('review mode is on and ', proposal_id, ' is ', before, ', not approved')"
         if mode_on
         else "WHEN before NOT IN ('pending', 'approved') THEN concat(proposal_id, ' is ', before)"
     )
-    return replay(mode_on) + f"""
+    return replay(mode_on, still) + f"""
 SELECT seq, proposal_id, before AS status_before, CASE WHEN NOT confirm THEN 'apply requires explicit confirmation'
-    WHEN parse_error IS NOT NULL THEN concat('SQL does not parse: ', parse_error) {refused} END AS blocked_reason
+    WHEN parse_error IS NOT NULL THEN concat('SQL does not parse: ', parse_error)
+    WHEN NOT ({still.replace('ev.', '')}) THEN 'SQL does not parse' {refused} END AS blocked_reason
 FROM st JOIN ev USING (proposal_id, n, seq, action) WHERE action = 'apply'
 UNION ALL SELECT seq, proposal_id, NULL, concat('no proposal ', proposal_id) FROM ({EVENTS})
 WHERE action = 'apply' AND proposal_id = 'gone'"""
@@ -695,3 +697,8 @@ WITH live AS (SELECT * FROM ({HISTORY}) WHERE captured_at = (SELECT max(captured
     AND lower(query) NOT LIKE '%pg_stat_statements%')
 SELECT {NOW} + INTERVAL 1 HOUR AS captured_at, count(*) AS rows, CAST(sum(calls + 7) AS bigint) AS calls,
   CAST(7 * count(*) AS bigint) AS new_calls FROM live"""
+
+# Adds the SQL of the queries over streams, panes and stored runs.
+from worklens.plans import incremental_oracle  # noqa: E402
+
+ORACLE.update(incremental_oracle.statements())

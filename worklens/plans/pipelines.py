@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worklens import schemas
 from worklens.operators import counters, evaluation, recommend, review, sinks, workload
 from worklens.session import scratch_path, staged
-from worklens.sources.registry import collect_logs
+from worklens.sources.registry import collect_logs, store_logs
 from worklens.sources.statements import scan_statements
 from worklens.sources.tables import read_table
 
@@ -54,7 +54,8 @@ def profile_statements(
     """Snapshots from the live statistics view, as changes since the latest stored capture.
 
     The window starts at the previous capture, else at the last counter reset, else now.
-    An empty history gives the cumulative counters.
+    An empty history gives the cumulative counters. ``dbid`` may be a scalar subquery
+    (``statements.database_id``), and so may ``stats_reset_at`` (``statements.reset_time``).
     """
     rows = scan_statements(view, min_calls, dbid, limit)
     return _profiled(rows, history, captured_at, min_calls, use_deltas, stats_reset_at, **flags)
@@ -186,3 +187,26 @@ def run_all(log: DataFrame, golden: DataFrame, as_of: Column, window_minutes: fl
         ),
     ]
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+def run_and_store(
+    spark: SparkSession, sources: dict[str, dict], golden: DataFrame, as_of: Column, folder: str,
+    window_minutes: float = 60, min_query_count: int = 5,
+) -> dict[str, str]:
+    """Profile the configured logs, evaluate and recommend, and store what each step gives.
+
+    Returns the paths of the tables under ``folder``: snapshots, results, recommendations,
+    review events, and the status of every source. Later steps read the stored snapshots.
+    """
+    names = ("workload_snapshots", "eval_results", "recommendations", "review_events", "source_status")
+    paths = {n: f"{folder.rstrip('/')}/{n}" for n in names}
+    rows, status = store_logs(spark, sources, as_of, scratch_path(spark, "source-logs"))
+    status.write.mode("append").parquet(paths["source_status"])
+    log = staged(workload.with_fingerprint(rows), "query-log")
+    fresh = workload.workload_snapshots(log, as_of, window_minutes, min_query_count)
+    sinks.save_snapshots(spark, fresh, paths["workload_snapshots"])
+    stored = read_table(spark, paths["workload_snapshots"], "workload_snapshots")
+    snapshots = stored.filter(F.col("snapshot_timestamp") == as_of.cast("timestamp_ntz"))
+    evaluate(golden, snapshots, as_of, paths["eval_results"])
+    recommend_and_queue(snapshots, as_of, recommendation_path=paths["recommendations"], event_path=paths["review_events"])
+    return paths

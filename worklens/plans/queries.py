@@ -911,3 +911,7 @@ def o6_run_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
         pipelines.run_all(query_log(spark, sf), golden(spark, sf), now(), WEEK), "score", places=3
     )
+
+
+# Registers the queries over streams, panes and stored runs.
+from worklens.plans import incremental  # noqa: E402, F401

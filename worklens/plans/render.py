@@ -60,11 +60,11 @@ concat(chr(123),
 """
 
 
-def log_files(spark: SparkSession, sf_dir: str, line: str) -> str:
-    """Write one log line (or multi-line entry) per query-log record; returns the folder."""
-    path = scratch_path(spark, "log")
-    log = bridges.view(spark, sf_dir, bridges.QUERY_LOG)
-    log.select(F.expr(line).alias("value")).write.text(path)
+def log_files(spark: SparkSession, sf_dir: str, line: str, where: str = "true", path: str | None = None) -> str:
+    """Append one log line (or multi-line entry) per query-log record; returns the folder."""
+    path = path or scratch_path(spark, "log")
+    log = bridges.view(spark, sf_dir, bridges.QUERY_LOG).where(where)
+    log.select(F.expr(line).alias("value")).write.mode("append").text(path)
     return path
 
 

@@ -6,7 +6,8 @@ import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from worklens import fixed, schemas
@@ -55,9 +56,12 @@ def register_reader(source_type: str, log_format: str | None, reader: Reader) ->
 
 
 def reader_for(source_type: str, log_format: str = "standard") -> Reader:
-    reader = _READERS.get((source_type, log_format)) or _READERS.get((source_type, None))
+    """The reader of a form; ``standard`` or no format is the default form of the source type."""
+    form = None if log_format in (None, "", "standard") else log_format
+    reader = _READERS.get((source_type, form))
     if reader is None:
-        raise ValueError(f"Unknown source type: {source_type}")
+        known = any(kind == source_type for kind, _ in _READERS)
+        raise ValueError(f"Unknown log format of {source_type}: {log_format}" if known else f"Unknown source type: {source_type}")
     return reader
 
 
@@ -83,3 +87,34 @@ def collect_logs(spark: SparkSession, sources: dict[str, dict], now: Column) ->
     if not frames:
         return spark.createDataFrame([], schemas.QUERY_LOG)
     return reduce(DataFrame.unionByName, frames)
+
+
+STATUS = "source string, source_ord int, status string, rows bigint, error string"
+
+
+def store_logs(spark: SparkSession, sources: dict[str, dict], now: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of all enabled sources, and a status row for each.
+
+    Every source is read and written by an execution of its own, to a folder of its own under
+    ``path``, so one that fails while it runs (a corrupt file, a lost mount) fails alone: it
+    leaves no rows and a status row with the first line of its error. What is returned reads
+    the folders that were written.
+    """
+    frames, status = [], []
+    for order, (name, settings) in enumerate(sources.items()):
+        if not settings.get("enabled", False):
+            continue
+        log_path, folder = settings.get("log_path"), f"{path.rstrip('/')}/source={order}"
+        if not log_path:
+            status.append((name, order, "skipped", 0, "no log_path configured"))
+            continue
+        try:
+            reader_for(name, settings.get("log_format", "standard"))(spark, log_path, now, order).write.parquet(folder)
+        except (PySparkException, Py4JError, ValueError) as problem:
+            log.warning("source %s failed: %s", name, problem)
+            status.append((name, order, "failed", 0, str(problem).strip().split("\n")[0][:500]))
+            continue
+        frames.append(spark.read.schema(schemas.QUERY_LOG).parquet(folder))
+        status.append((name, order, "stored", frames[-1].count(), None))
+    rows = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schemas.QUERY_LOG)
+    return rows, spark.createDataFrame(status, STATUS)

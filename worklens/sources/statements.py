@@ -83,3 +83,16 @@ def scan_statements(
 
 def _tie_break(view: DataFrame) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in ("queryid", "dbid", "userid", "query") if c in view.columns]
+
+
+def reset_time(info: DataFrame, column: str = "stats_reset") -> Column:
+    """When the counters were last reset, from the server's one-row information table.
+
+    A scalar subquery; null where the table has no row. A zone is dropped.
+    """
+    return info.agg(F.max(F.col(column).cast("timestamp_ntz"))).scalar()
+
+
+def database_id(databases: DataFrame, name: str) -> Column:
+    """Id of a database by its name, as a scalar subquery; null, which selects nothing, if there is none."""
+    return databases.filter(F.col("datname") == name).agg(F.min("oid")).scalar()

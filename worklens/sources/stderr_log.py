@@ -14,7 +14,7 @@ from worklens import fixed, schemas
 from worklens.functions.sqltext import zone_tagged
 from worklens.functions.text import strip
 from worklens.functions.timestamps import log_timestamp
-from worklens.session import scratch_path
+from worklens.session import staged
 from worklens.sources.stitching import PIECE, stitch
 
 
@@ -36,15 +36,17 @@ def entries(log_lines: DataFrame, stage: bool = True) -> DataFrame:
     lines of a file without any, are dropped where they are read: only the numbers of their
     splits take part in finding out which of them continue an entry.
     """
-    spark = log_lines.sparkSession
     # A window over the lines of a split would do the same, but shuffles every line.
     pieces = log_lines.withColumn("start", F.col("value").rlike(fixed.ENTRY_START)).mapInArrow(
         stitch, PIECE
     )
+    return whole_entries(pieces, stage)
+
+
+def whole_entries(pieces: DataFrame, stage: bool = True, name: str = "log-pieces") -> DataFrame:
+    """Entries from the pieces of :mod:`worklens.sources.stitching`: those inside a split, and those over its edges."""
     if stage:
-        path = scratch_path(spark, "log-pieces")
-        pieces.write.parquet(path)
-        pieces = spark.read.parquet(path)
+        pieces = staged(pieces, name)
     whole = pieces.filter("kind = 'entry'").select("file", "block", "line", "text")
 
     # At most two rows per split meet here, whatever the size of the log, and no text.
