@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from worklens.llm import byte_bpe, column_bwt_dedup, secret_cnn, wu_manber
 
@@ -202,3 +203,49 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     digest = {r["doc_id"]: tuple(r)[1:] for r in byte_bpe.digest(frame, vocabulary).collect()}
     assert digest == {i: (len(want[i]), sha(",".join(map(str, want[i]))), sha(t or "")) for i, t in enumerate(texts)}
     assert byte_bpe.digest(frame.limit(0), vocabulary).collect() == []
+
+
+def test_bpe_of_long_words_and_clashing_columns(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    vocabulary = byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(9)
+    draw = lambda n: "".join(rng.choice(list("abcdetinors"), n))
+    texts = ["x" * 40_000, draw(byte_bpe.FOLDED), draw(byte_bpe.FOLDED + 1), "é" * 400 + " " + draw(5000), draw(3000) * 2]
+    for word in texts[1:]:
+        for part in word.split():
+            assert byte_bpe.merged(part.encode(), ranks) == encoder.encode_ordinary(part)
+    frame = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in enumerate(texts)], "doc_id long, text string, words_ string, known_ids string, other_words string, c0 string")
+    got = {r["doc_id"]: r for r in byte_bpe.encoded(frame, vocabulary, number=5).collect()}
+    assert {i: list(r["ids"]) for i, r in got.items()} == {i: encoder.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert all((r["words_"], r["known_ids"], r["other_words"], r["c0"]) == ("a", "b", "c", "d") for r in got.values())
+
+
+def test_a_token_that_merges_do_not_reach_is_found_as_a_whole(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300}
+    vocabulary = byte_bpe.Vocabulary(ranks | {b"xyz": 301}, r"\S+|\s+")
+    encoder = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks | {b"xyz": 301}, special_tokens={})
+    texts = ["xyz", "xyzz", "abc", "aabc ab", "abab"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encoded(frame, vocabulary).collect()} == {i: encoder.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_runs_of_several_blocks_are_joined(spark):
+    rows = [([(0, 3), (5, 7), (700, 702)], [(3, 4), (6, 9), (20, 21)]), ([], []), ([], [(1, 2)]), ([(2 * i, 2 * i + 1) for i in range(900)], [(2 * i + 1, 2 * i + 2) for i in range(0, 900, 2)])]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], f"i int, a {wu_manber.HITS.simpleString()}, b {wu_manber.HITS.simpleString()}")
+    got = {r["i"]: [tuple(x) for x in r["j"]] for r in frame.select("i", wu_manber._joined(F.concat("a", "b")).alias("j")).collect()}
+    for i, (a, b) in enumerate(rows):
+        covered, want = {p for s, e in a + b for p in range(s, e)}, []
+        for p in sorted(covered):
+            if want and want[-1][1] == p:
+                want[-1] = (want[-1][0], p + 1)
+            else:
+                want.append((p, p + 1))
+        assert got[i] == want
+
+
+def test_sample_of_secrets_holds_different_windows(spark):
+    line = "key = 0123456789abcdef0123456789abcdef!"
+    frame = spark.createDataFrame([(i, line) for i in range(300)] + [(1000 + i, f"id {i:08d}Zq7Lw{i * 7919:012d}") for i in range(50)], "doc_id long, text string")
+    assert secret_cnn.fit(frame).scores([]) is not None

@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A word is the array of its bytes, and the ranked merges are a fold over it: the
-accumulator holds the parts and the rank of every neighbouring pair, each step joins the
-leftmost pair of least rank and looks up the two new pairs only. A byte is written as the
-character with its number, so parts are strings whose concatenation is the concatenation
-of bytes. Ranks are a literal: an array of small maps, chosen by the CRC-32 of the key,
-since Spark searches a map from front to back.
+A word is the array of the ids of its bytes, and the ranked merges are a fold over it: the
+accumulator holds the ids and, for every neighbouring pair, the id of what they join to. Each
+step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are a
+literal: an array of small maps from a pair of ids to the id of the joined bytes (two arrays
+side by side, as JSON has no maps by number), chosen by the remainder of the pair's number,
+since Spark searches a map from front to back. A word
+that is a token as a whole is found in a second literal, as the library does.
 
 The fold runs over distinct words. Those of the whole corpus are counted; the most frequent
 ones, ``FREQUENT`` at most, are folded once each and broadcast, a table of bounded size. Texts
@@ -14,14 +15,18 @@ the distinct words of a text that it lacks are folded next to their text. So not
 word counts is shuffled, and no text is moved. Decoding looks up the bytes of every id in
 a literal array and concatenates them.
 
+A fold copies its ids in each step, so its time grows with the square of a word's length.
+Words of more than ``FOLDED`` bytes, which are rare and can be a text of one letter, are merged
+in the Arrow batch instead, by a heap of ranked pairs, with the same result in n log n.
+
 The special tokens of a vocabulary are not used. Null text counts as empty: no ids, no
-bytes. One word is folded in steps that copy its parts, so the time for a word grows
-with the square of its length; the length of a text does not matter.
+bytes. Columns of any name are kept as they are; one named ``ids`` gives way to the result.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -39,8 +44,12 @@ from worklens.llm.staging import staged
 FREQUENT, LONGEST = 500_000, 64
 #: Words that are looked at together in a task.
 PART = 250_000
-#: Maps in the literal.
-RANK_MAPS = 1 << 14
+#: Longest word that is folded, in bytes.
+FOLDED = 256
+#: Maps in the literal of whole words, and in that of pairs.
+WORD_MAPS, PAIR_MAPS = 1 << 14, (1 << 16) - 15
+#: A pair of ids as one number; more ids than any folded word has.
+PAIR, MOST = 1 << 24, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,13 +70,63 @@ def _looked_up(literal: Column, maps: int, key: Column) -> Column:
     return F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % maps).cast("int")), key)
 
 
+def pair_ids(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Number of each pair of tokens that join to a token, with the id of that token."""
+    out = {}
+    for word, rank in ranks.items():
+        for cut in range(1, len(word)):
+            left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+            if left is not None and right is not None:
+                out[left * PAIR + right] = rank
+    return out
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word by a heap of ranked pairs; for words too long to fold."""
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    start, after, before = list(range(size)), list(range(1, size + 1)), list(range(-1, size - 1))
+    ends = list(range(1, size + 1))
+    heap: list[tuple[int, int, int]] = []  # rank, start, end of a joined pair
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < size:
+            end = ends[after[i]]
+            rank = ranks.get(word[i:end])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, end))
+
+    for i in start:
+        offer(i)
+    alive = [True] * size
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        if not alive[i] or after[i] >= size or ends[after[i]] != end:
+            continue
+        gone = after[i]
+        alive[gone], ends[i], after[i] = False, end, after[gone]
+        if after[gone] < size:
+            before[after[gone]] = i
+        offer(i)
+        offer(before[i])
+    return [ranks[word[i : ends[i]]] for i in start if alive[i]]
+
+
 class Vocabulary:
     """Expressions over the ranks of one vocabulary and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         # Java's \\s knows Unicode white space only under this flag.
         self.pattern = "(?U)" + pattern
-        self.ranks = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, RANK_MAPS, "int")
+        self.ranks = ranks
+        self.whole = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, WORD_MAPS, "int")
+        pairs: list[dict[str, list[int]]] = [{"k": [], "v": []} for _ in range(PAIR_MAPS)]
+        for pair, rank in pair_ids(ranks).items():
+            pairs[pair % PAIR_MAPS]["k"].append(pair)
+            pairs[pair % PAIR_MAPS]["v"].append(rank)
+        self.pairs = F.from_json(F.lit(json.dumps(pairs, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
+        self.octets = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<int>")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             hexes[rank] = word.hex()
@@ -78,32 +137,44 @@ class Vocabulary:
 
     def folded(self, word: Column) -> Column:
         """The ids of one word."""
-        parts = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.concat(x, F.get(p, i + 1)))
-        ranked = lambda keys: F.transform(keys, lambda k: _looked_up(self.ranks, RANK_MAPS, k))
-        # A one-element array binds a value to a name within an expression.
+        # A one-element array binds a value to a name within an expression. The literals are bound
+        # so that each is in the plan, and is sent to every task, once.
         let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
-        def join(state: Column, at: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-            both = F.concat(F.get(parts, at), F.get(parts, at + 1))
-            before = F.slice(parts, 1, at)
-            after = F.slice(parts, at + 3, F.size(parts))
-
-            def rest(new: Column) -> Column:
-                fresh = ranked(F.filter(F.array(F.concat(F.get(parts, at - 1), new), F.concat(new, F.get(parts, at + 2))), lambda k: k.isNotNull()))
-                head = F.slice(ranks, 1, F.greatest(at - 1, F.lit(0)))
-                return F.struct(F.concat(before, F.array(new), after).alias("parts"), F.concat(head, fresh, F.slice(ranks, at + 3, F.size(parts))).alias("ranks"))
-
-            return let(both, rest)
-
-        def step(state: Column, _: Column) -> Column:
-            least = F.array_min(state["ranks"])
-            return F.when(least.isNull(), state).otherwise(let((F.array_position(state["ranks"], least) - 1).cast("int"), lambda at: join(state, at)))
-
-        start = let(parts, lambda p: F.struct(p.alias("parts"), ranked(pairs(p)).alias("ranks")))
-        merged = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), start, step, lambda state: state["parts"])
-        return ranked(merged)
+        def joined(pairs: Column, left: Column, right: Column) -> Column:
+            """The id of two neighbours joined; null if they are no token together, or one is missing."""
+            pair = left.cast("long") * PAIR + right
+            return let(F.get(pairs, (pair % PAIR_MAPS).cast("int")), lambda near: F.get(near["v"], (F.array_position(near["k"], pair) - 1).cast("int")))
+
+        def step(pairs: Column, state: Column) -> Column:
+            # Rank and id are one number, so the least rank is also what the pair joins to.
+            ids, ranks = state["ids"], state["ranks"]
+            least = F.array_min(ranks)
+
+            def join(best: Column) -> Column:
+                at, id_ = best["at"], best["id"]
+                two = F.array(joined(pairs, F.get(ids, at - 1), id_), joined(pairs, id_, F.get(ids, at + 2)))
+                return F.struct(
+                    F.concat(F.slice(ids, 1, at), F.array(id_), F.slice(ids, at + 3, MOST)).alias("ids"),
+                    F.concat(F.slice(ranks, 1, at - 1), two, F.slice(ranks, at + 3, MOST)).alias("ranks"),
+                )
+
+            best = F.struct(least.alias("id"), (F.array_position(ranks, least) - 1).cast("int").alias("at"))
+            return F.when(least.isNull(), state).otherwise(let(best, join))
+
+        def fold(latin: Column, pairs: Column) -> Column:
+            # A mark before the first id, so that every pair has a neighbour on its left; the last id has no pair.
+            ids = F.concat(F.array(F.lit(-1)), F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c))))
+            ranks = lambda x: F.transform(x, lambda a, i: joined(pairs, a, F.get(x, i + 1)))
+            start = let(ids, lambda x: F.struct(x.alias("ids"), ranks(x).alias("ranks")))
+            steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
+            return F.aggregate(steps, start, lambda state, _: step(pairs, state), lambda state: F.slice(state["ids"], 2, MOST))
+
+        def found(latin: Column) -> Column:
+            whole = _looked_up(self.whole, WORD_MAPS, latin)
+            return let(whole, lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(let(self.pairs, lambda pairs: fold(latin, pairs))))
+
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), found)
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of the ids, concatenated."""
@@ -154,7 +225,9 @@ def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "te
             break
         least, total = 1 << power, total + words
     chosen = counts.where(F.col("count") >= least)
-    return staged(chosen.repartition("word").select("word", vocabulary.folded(F.col("word")).alias("ids")), "frequent-words").toArrow()
+    # As many tasks as set: the rows are small, but folding them is the work.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(chosen.repartition(tasks, "word").select("word", vocabulary.folded(F.col("word")).alias("ids")), "frequent-words").toArrow()
 
 
 def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
@@ -185,25 +258,36 @@ def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out)), others
 
 
+def _long(words: pa.Array, ranks: dict[bytes, int], known: pa.Table) -> pa.Table:
+    """The known words and those of the batch that are too long to fold."""
+    flat = words.flatten()
+    rare = pc.unique(flat.filter(pc.greater(pc.binary_length(flat), FOLDED)))
+    if not len(rare):
+        return known
+    return pa.concat_tables([known, pa.table({"word": rare, "ids": [merged(w.encode(), ranks) for w in rare.to_pylist()]}, known.schema)])
+
+
 def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, text: str = "text", number: int = FREQUENT) -> DataFrame:
     """The kept columns and ``ids``, the array of token ids of each text."""
-    known = documents.sparkSession.sparkContext.broadcast(frequent_words(documents, vocabulary, text, number))
-    names = [c for c in (documents.columns if keep is None else keep) if c not in ("ids", "words_", "known_ids", "other_words")]
-    split = _split(documents, vocabulary, text, names)
+    known = documents.sparkSession.sparkContext.broadcast((frequent_words(documents, vocabulary, text, number), vocabulary.ranks))
+    names = [c for c in (documents.columns if keep is None else keep) if c != "ids"]
+    inner = [f"c{i}" for i in range(len(names))]
+    split = documents.select(*[documents[f"`{c}`"].alias(i) for c, i in zip(names, inner, strict=True)], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
     fields = [StructField("known_ids", ArrayType(IntegerType())), StructField("other_words", ArrayType(StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ranks = known.value
         for batch in batches:
             for part in _parts(batch):
-                marked = _marked(part.column("words_"), known.value)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *marked], [*names, "known_ids", "other_words"])
+                words = part.column("words_")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), *_marked(words, _long(words, ranks, table))], [*inner, "known_ids", "other_words"])
 
     marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name != "words_"), *fields]))
     folded = F.struct(F.col("known_ids").alias("ids"), F.transform("other_words", vocabulary.folded).alias("words"))
     # Bound to a name, so that the fold runs once per text and not once per id.
     place = lambda x: F.flatten(F.transform(x["ids"], lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(x["words"], -1 - i))))
     ids = F.when(F.size("other_words") == 0, F.col("known_ids")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
-    return marked.select(*[marked[f"`{c}`"] for c in names], ids.alias("ids"))
+    return marked.select(*inner, ids.alias("ids")).toDF(*names, "ids")
 
 
 def digest(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
