@@ -10,16 +10,23 @@ each part on its own, so that a surname alone gets what it got in a full name.
 
 Equal entities get equal surrogates in the whole corpus. Distinctness is checked in Spark:
 entities are collected per kind, distinct; where two share a surrogate, or a surrogate is
-itself an entity of the corpus, all but one take the next draw, until no clash is left. Most
+itself an entity of the corpus, all but one take the next draw, until no clash is left. A kind
+with few free forms gets longer ones after every few draws, so the draws end; addresses of
+four octets can't grow, but their first draw is a permutation, which all of them keep if draws
+do not settle. Only the local part of an e-mail address is drawn anew, its domain stays. Most
 entities keep their first draw, so only the later draws are sent to the tasks: as a
 broadcast table up to ``BROADCAST`` entries, beyond that joined per text.
 
-A mention of a surname that a text has introduced with a name is replaced as well. Null text
-stays null, rows are kept as they are but for ``text``.
+A mention of a surname that a text has introduced with a name is replaced as well. Names are
+found by a title or by one of the given names listed below, and by their capital letter; a name
+without either is not found. Null text stays null with no entities, rows, repeated ids
+included, are kept as they are but for ``text``; a column named ``n_entities`` gives way.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import hmac
 import re
@@ -35,9 +42,9 @@ from worklens.llm.staging import staged
 
 #: Entries with a later draw that are broadcast.
 BROADCAST = 100_000
-#: Rounds of drawing anew. In the second half a surrogate may be an entity of the corpus, as
-#: where a kind has no free forms, and only distinctness counts; clashes beyond are an error.
-ROUNDS = 30
+#: Rounds of drawing anew before a surrogate may be an entity of the corpus, as where a kind has
+#: no free forms, and only distinctness counts; rounds before addresses go back to their first draw.
+ROUNDS, SETTLE = 15, 30
 KINDS = ("email", "ip", "phone", "number", "given", "surname")
 
 # Fixed rules.
@@ -59,6 +66,7 @@ GIVEN = {
     "Mary": "f", "Patricia": "f", "Jennifer": "f", "Linda": "f", "Elizabeth": "f", "Susan": "f", "Sarah": "f", "Anna": "f",
     "Ursula": "f", "Sabine": "f", "Marie": "f", "Sophie": "f", "María": "f", "Carmen": "f", "Ольга": "f", "Анна": "f",
 }
+WORD = re.compile(r"\w+")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-Я][a-zà-öø-ÿа-я]+"
 NAME = re.compile(
     rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?P<first>{_CAP})(?: (?P<second>{_CAP}))?|(?P<given>{'|'.join(GIVEN)}) (?P<last>{_CAP}))\b"
@@ -74,13 +82,12 @@ def _script(word: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """Start, stop, kind and normal form of every entity; the first kind wins where two overlap."""
-    found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str, str]] = []  # by place, none overlaps another
 
     def add(start: int, stop: int, kind: str, form: str) -> None:
-        if all(stop <= a or b <= start for a, b in taken):
-            taken.append((start, stop))
-            found.append((start, stop, kind, form))
+        at = bisect.bisect_left(found, (start,))
+        if (at == 0 or found[at - 1][1] <= start) and (at == len(found) or stop <= found[at][0]):
+            found.insert(at, (start, stop, kind, form))
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -102,24 +109,27 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             add(*m.span(first), "given", f"{gender}:{m[first].lower()}")
         add(*m.span(last), "surname", m[last].lower())
         surnames[m[last]] = None
-    for name in surnames:
-        for m in re.finditer(rf"\b(?:{re.escape(name)}|{re.escape(name.upper())})\b", text):
-            add(m.start(), m.end(), "surname", name.lower())
-    return sorted(found)
+    if surnames:
+        mentions = {seen: name.lower() for name in surnames for seen in (name, name.upper())}
+        for m in WORD.finditer(text):
+            if m.group() in mentions:
+                add(m.start(), m.end(), "surname", mentions[m.group()])
+    return found
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
     """The replacement of a normal form, itself in normal form."""
 
-    def stream(label: str, size: int) -> list[int]:
+    def stream(label: str, size: int, draw: int = draw) -> list[int]:
         out, block = [], 0
         while len(out) < size:
             out += hmac.new(key, f"{label}|{draw}|{block}".encode(), hashlib.sha256).digest()
             block += 1
         return out[:size]
 
-    def letters(text: str, label: str) -> str:
-        drawn = iter(stream(label, 2 * len(text)))
+    def letters(text: str, label: str, draw: int = draw) -> str:
+        drawn = iter(stream(label, 2 * len(text), draw))
         out = []
         for c in text:
             value = next(drawn) * 256 + next(drawn)
@@ -131,18 +141,21 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
     if kind == "email":
         local, _, domain = form.partition("@")
         name, _, top = domain.rpartition(".")
-        return f"{letters(local, 'local|' + form)}{letters(longer, 'more|' + form)}@{letters(name, 'domain|' + domain)}.{top}"
+        return f"{letters(local, 'local|' + form)}{letters(longer, 'more|' + form)}@{letters(name, 'domain|' + domain, 0)}.{top}"
     if kind == "ip":
         out, prefix = [], ""
         for octet in form.split("."):
-            order = sorted(range(256), key=lambda v: hmac.new(key, f"ip|{prefix}|{draw}|{v}".encode(), hashlib.sha256).digest())
-            out.append(str(order[int(octet)]))
+            # A permutation of 256 values: six keyed rounds over two halves of four bits.
+            left, right = divmod(int(octet), 16)
+            for half in range(6):
+                left, right = right, left ^ stream(f"ip|{prefix}|{half}|{right}", 1)[0] % 16
+            out.append(str(16 * left + right))
             prefix += octet + "."
         return ".".join(out)
     if kind in ("phone", "number"):
         code = re.match(r"\+\d", form)
         head = code.group() if code else ""
-        return head + letters(form[len(head) :], f"{kind}|{form}")
+        return head + letters(form[len(head) :], f"{kind}|{form}") + letters("0" * len(longer), f"more|{form}")
     gender, _, word = form.rpartition(":")
     script, drawn = _script(word), stream(f"{kind}|{form}", 8)
     pieces, ends = SYLLABLES[script], ENDINGS[script, gender]
@@ -157,7 +170,7 @@ def dressed(form: str, seen: str, kind: str) -> str:
         return word.upper() if seen.isupper() else word.capitalize() if seen[:1].isupper() else word
     if kind in ("phone", "number"):
         digits = iter(c for c in form if c.isdigit())
-        return "".join(next(digits, "0") if c.isdigit() else c for c in seen)
+        return "".join(next(digits, "0") if c.isdigit() else c for c in seen) + "".join(digits)
     if kind == "email" and len(form) == len(seen):
         return "".join(f.upper() if s.isupper() else f for f, s in zip(form, seen, strict=True))
     return form
@@ -166,13 +179,16 @@ def dressed(form: str, seen: str, kind: str) -> str:
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, draw) with the surrogate of that draw."""
 
+    # Small rows, costly to make: adaptive execution would put them all into one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(3)]
             made = [surrogate(key, *row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], ["kind", "form", "draw", "made"])
 
-    return rows.select("kind", "form", "draw").mapInArrow(run, "kind string, form string, draw long, made string")
+    return rows.select("kind", "form", "draw").repartition(tasks, "kind", "form").mapInArrow(run, "kind string, form string, draw long, made string")
 
 
 def found_entities(documents: DataFrame) -> DataFrame:
@@ -190,19 +206,25 @@ def found_entities(documents: DataFrame) -> DataFrame:
 def later_draws(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, draw) of the entities that may not keep their first draw."""
     table = staged(_drawn(found.withColumn("draw", F.lit(0).cast("long")), key), "draws")
-    for step in range(ROUNDS):
+    step = 0
+    while True:
         owner = table.groupBy("kind", "made").agg(F.min("form").alias("owner"))
-        real = table.select("kind", F.col("form").alias("made"), F.lit(True).alias("real"))
-        judged = table.join(owner, ["kind", "made"]).join(real, ["kind", "made"], "left")
+        judged = table.join(owner, ["kind", "made"])
         clash = F.col("form") != F.col("owner")
-        if step < ROUNDS // 2:
+        if step < ROUNDS:
+            judged = judged.join(table.select("kind", F.col("form").alias("made"), F.lit(True).alias("real")), ["kind", "made"], "left")
             clash = clash | F.col("real").isNotNull()
-        judged = staged(judged.select("kind", "form", "made", "draw", clash.alias("clash")), "judged")
-        if judged.where("clash").isEmpty():
-            return judged.where("draw > 0").select("kind", "form", "draw")
-        again = _drawn(judged.where("clash").withColumn("draw", F.col("draw") + 1), key)
-        table = staged(judged.where("not clash").select("kind", "form", "draw", "made").unionByName(again), "draws")
-    raise ValueError("surrogates still clash: too few forms for the entities of a kind")
+        judged = judged.where(clash)
+        if step >= SETTLE:
+            judged = judged.where("kind <> 'ip'")
+        again = staged(_drawn(judged.select("kind", "form", (F.col("draw") + 1).alias("draw")), key), "again")
+        if again.isEmpty():
+            break
+        # Only the rows of a clash are drawn and checked anew; the others stay as they are.
+        table = staged(table.join(again.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again), "draws")
+        step += 1
+    settled = table if step < SETTLE else table.where("kind <> 'ip'")
+    return settled.where("draw > 0").select("kind", "form", "draw")
 
 
 DRAWS = ArrayType(StructType([StructField("kind", StringType()), StructField("form", StringType()), StructField("draw", LongType())]))
@@ -212,14 +234,16 @@ def pseudonymised(documents: DataFrame, key: str, broadcast: int = BROADCAST) ->
     """The documents with surrogates in ``text``, and ``n_entities``, the number of replaced mentions."""
     spark, secret = documents.sparkSession, key.encode()
     later = staged(later_draws(found_entities(documents), secret), "later-draws")
+    # Columns of any name: they have a number inside, but for the text.
+    names = [c for c in documents.columns if c != "n_entities"]
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    frame, own = documents.select(*[documents[f"`{c}`"].alias(i) for c, i in zip(names, inner, strict=True)]), None
+    kept = list(frame.schema.fields)
     if later.count() <= broadcast:
         table = spark.sparkContext.broadcast({(r["kind"], r["form"]): r["draw"] for r in later.collect()})
-        frame, own = documents, None
     else:
-        frame, own = _with_draws(documents, later), "later_draws"
+        frame, own = _with_draws(frame, later), "later_draws"
         table = spark.sparkContext.broadcast({})
-    kept = [f for f in frame.schema.fields if f.name not in ("n_entities", "later_draws")]
-    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +260,10 @@ def pseudonymised(documents: DataFrame, key: str, broadcast: int = BROADCAST) ->
                         at = stop
                     made.append(None if null else "".join(pieces) + text[at:])
                     counts.append(len(spans))
-                columns = [pa.array(made, pa.string()) if n == "text" else part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_entities"])
+                columns = [pa.array(made, pa.string()) if n == "text" else part.column(n) for n in inner]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*inner, "n_entities"])
 
-    return frame.mapInArrow(run, StructType([*kept, StructField("n_entities", LongType())]))
+    return frame.mapInArrow(run, StructType([*kept, StructField("n_entities", LongType())])).toDF(*names, "n_entities")
 
 
 def _with_draws(documents: DataFrame, later: DataFrame) -> DataFrame:
