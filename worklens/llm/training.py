@@ -61,12 +61,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus
     """(text, label) of at most ``size`` labelled documents that are not held out, by hash order.
 
     A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``modulus``.
-    The ids are chosen on the narrow label table; the texts of the bounded choice follow.
+    The ids are chosen on the narrow label table; the texts of the bounded choice follow. An id
+    counts once, whatever the number of its rows: of several texts the least one is taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~is_held_out(modulus, held_out))
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # Combined before the shuffle, so a repeated id costs a task one text at a time.
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def is_held_out(modulus: int, held_out: int):
