@@ -121,8 +121,8 @@ def events(spark):
 def test_ledger_in_state_equals_the_batch_fold(spark, tmp_path, mode_on):
     ledger_events, n = events(spark)
     path, out, state = (str(tmp_path / x) for x in ("events", "out", "state"))
-    for start in range(0, n, 6):  # a run, and so a restart, for every few events
-        ledger_events.where(f"seq >= {start} and seq < {start + 6}").write.mode("append").parquet(path)
+    for start in range(0, n, 14):  # a run, and so a restart, twice
+        ledger_events.where(f"seq >= {start} and seq < {start + 14}").write.mode("append").parquet(path)
         ledger.append_verdicts(spark, path, out, state, mode_on).awaitTermination()
     verdicts = spark.read.parquet(out)
     assert verdicts.count() == n

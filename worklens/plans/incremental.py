@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens import schemas
+from worklens.functions import sqltext
 from worklens.operators import counters, listings, panes, report, review, sketch, workload
 from worklens.plans import bridges, pipelines, render
 from worklens.plans.queries import (
@@ -203,5 +204,6 @@ def s6c_reset_window(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def t12_export_order(spark: SparkSession, sf: str) -> DataFrame:
     """Exported captures with their place in the file."""
-    rows = counters.export_rows(history(spark, sf)).withColumn("at", F.monotonically_increasing_id())
+    captures = history(spark, sf).withColumn("query_fingerprint", sqltext.fingerprint(F.col("query")))
+    rows = counters.export_rows(schemas.conform(captures, schemas.STAT_CAPTURE)).withColumn("at", F.monotonically_increasing_id())
     return listings.numbered(staged(rows, "export")).select("place", "captured_at", "queryid", "query_fingerprint")

@@ -107,11 +107,11 @@ part AS (SELECT proposal_id, olds, news, unnest(range(CAST(pow(2, len(olds)) AS
 tried AS (SELECT proposal_id, bit_count(mask) AS size, '.*' || array_to_string(list_transform(list_filter(range(len(olds)), lambda i: (mask >> i) & 1 = 1), lambda i: md5(olds[i + 1])), '.*') AS wanted,
   array_to_string(list_transform(news, lambda x: md5(x)), ' ') AS given FROM part),
 longest AS (SELECT proposal_id, max(size) AS kept FROM tried WHERE regexp_matches(given, wanted) GROUP BY 1),
-common AS (SELECT proposal_id, sum(least(a.n, b.n)) AS both FROM
+common AS (SELECT proposal_id, sum(least(a.n, b.n)) AS shared FROM
     (SELECT proposal_id, x, count(*) AS n FROM (SELECT proposal_id, unnest(olds) AS x FROM c) GROUP BY ALL) a
     JOIN (SELECT proposal_id, x, count(*) AS n FROM (SELECT proposal_id, unnest(news) AS x FROM c) GROUP BY ALL) b USING (proposal_id, x) GROUP BY 1)
-SELECT proposal_id, CAST(kept AS int) AS kept, CAST(coalesce(both, 0) - kept AS int) AS moved,
-  CAST(len(olds) - coalesce(both, 0) AS int) AS removed, CAST(len(news) - coalesce(both, 0) AS int) AS added
+SELECT proposal_id, CAST(kept AS int) AS kept, CAST(coalesce(shared, 0) - kept AS int) AS moved,
+  CAST(len(olds) - coalesce(shared, 0) AS int) AS removed, CAST(len(news) - coalesce(shared, 0) AS int) AS added
 FROM c JOIN longest USING (proposal_id) LEFT JOIN common USING (proposal_id)"""
 
 
