@@ -78,7 +78,19 @@ def statements(sql: Column) -> Column:
 
 
 def _top_level(statement: Column) -> Column:
-    """The text outside all parentheses: one pass with the depth as state."""
+    """The text outside all parentheses.
+
+    Where no parenthesis is left after those without others in them are cut out, that is all;
+    only nested or unbalanced ones need the depth.
+    """
+    simple = F.regexp_replace(statement, r"\([^()]*+\)", " ")
+    outside = let(simple, lambda text: F.when(text.rlike("[()]"), _outside(statement)).otherwise(text))
+    flat = F.trim(F.regexp_replace(outside, r"\s+", " "))
+    return F.regexp_replace(flat, _LEADING_CTE, "$1")
+
+
+def _outside(statement: Column) -> Column:
+    """The text outside parentheses: one pass with the depth as state."""
 
     def step(state: Column, unit: Column) -> Column:
         depth = state["depth"]
@@ -89,9 +101,7 @@ def _top_level(statement: Column) -> Column:
 
     units = F.regexp_extract_all(statement, F.lit(r"([()]|[^()]++)"), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
-    outside = F.aggregate(units, start, step, lambda state: state["text"])
-    flat = F.trim(F.regexp_replace(outside, r"\s+", " "))
-    return F.regexp_replace(flat, _LEADING_CTE, "$1")
+    return F.aggregate(units, start, step, lambda state: state["text"])
 
 
 def _alter_reasons(flat: Column) -> Column:

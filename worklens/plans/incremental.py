@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklens import schemas
 from worklens.functions import sqltext
-from worklens.operators import counters, listings, panes, report, review, sketch, workload
+from worklens.operators import counters, dayfilters, listings, panes, report, review, sketch, workload
 from worklens.plans import bridges, pipelines, render
 from worklens.plans.queries import (
     WEEK, comparable, eval_results, golden, history, now, proposed, query_log, register, review_events, rounded,
@@ -207,3 +207,14 @@ def t12_export_order(spark: SparkSession, sf: str) -> DataFrame:
     captures = history(spark, sf).withColumn("query_fingerprint", sqltext.fingerprint(F.col("query")))
     rows = counters.export_rows(schemas.conform(captures, schemas.STAT_CAPTURE)).withColumn("at", F.monotonically_increasing_id())
     return listings.numbered(staged(rows, "export")).select("place", "captured_at", "queryid", "query_fingerprint")
+
+
+@register
+def v1_uniqueness_by_day_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of some days sent again, checked against filters of all days; with the number of days read."""
+    keys = ["snapshot_timestamp", "query_fingerprint", "query_source"]
+    stored = staged(workload.daily_snapshots(query_log(spark, sf)).select(*keys).withColumn("day", F.to_date("snapshot_timestamp")), "stored")
+    filters = staged(dayfilters.day_filters(stored, "day", keys), "filters")
+    again = stored.where("day in (date'2024-01-05', date'2024-01-20')").unionByName(stored.withColumn("snapshot_timestamp", F.col("snapshot_timestamp") + F.expr("interval 90 days")))
+    found, days = dayfilters.new_violations(again, stored, filters, "day", keys)
+    return found.withColumn("days_read", F.lit(len(days)))

@@ -74,6 +74,10 @@ WHERE status = 'approved'""",
 SELECT (SELECT min(ts) FROM ({o.LOG})) AS window_start, {o.NOW} AS window_end, query_fingerprint, execution_count,
   {r('avg_execution_time_ms')} AS avg_execution_time_ms, {r('execution_count * avg_execution_time_ms', 3)} AS impact_score
 FROM ({o.pooled(_live(o), 'captured_at, previous_at', 1)})""",
+        "v1_uniqueness_by_day_filters": f"""
+WITH again AS (SELECT * FROM ({o.DAILY}) WHERE snapshot_timestamp IN (TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20'))
+SELECT snapshot_timestamp, query_fingerprint, query_source, 2::bigint AS copies,
+  CAST((SELECT count(DISTINCT snapshot_timestamp) FROM again) AS int) AS days_read FROM again""",
         "t12_export_order": f"""
 SELECT row_number() OVER (ORDER BY captured_at, queryid NULLS LAST, query_fingerprint) AS place, captured_at, queryid, query_fingerprint
 FROM (SELECT *, {o.fingerprint('query')} AS query_fingerprint FROM ({o.HISTORY}))""",
