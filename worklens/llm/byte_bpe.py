@@ -12,8 +12,9 @@ The fold runs over distinct words. Those of the whole corpus are counted; the mo
 ones, ``FREQUENT`` at most, are folded once each and broadcast, a table of bounded size. Texts
 are split by the vocabulary's pattern and looked up in that table inside Arrow batches;
 the distinct words of a text that it lacks are folded next to their text. So nothing but
-word counts is shuffled, and no text is moved. Decoding looks up the bytes of every id in
-a literal array and concatenates them.
+word counts is shuffled, and no text is moved. Decoding concatenates the bytes of every id:
+as an expression over a literal array (``Vocabulary.decoded``), or block by block where only
+a hash of them is wanted (``digest``).
 
 A fold copies its ids in each step, so its time grows with the square of a word's length.
 Words of more than ``FOLDED`` bytes, which are rare and can be a text of one letter, are merged
@@ -26,6 +27,7 @@ bytes. Columns of any name are kept as they are; one named ``ids`` gives way to
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import zlib
@@ -36,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from worklens.llm.staging import staged
 
@@ -231,9 +233,11 @@ def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "te
 
 
 def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """Per text the ids of known words, and its other words, which the ids count from -1 down.
+    """Per text its pieces, and its other words.
 
-    Works on the distinct words of the batch, then lays their ids out by array arithmetic.
+    A piece is a run of ids of known words, or one number that stands for another word; those
+    count from -1 down. Works on the distinct words of the batch, then lays their ids out by
+    array arithmetic.
     """
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(len(words)), sizes)
@@ -252,10 +256,13 @@ def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
     ends = np.cumsum(length)
     at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(start, length)
     out = np.append(flat, 0)[np.minimum(at, len(flat))].astype(np.int32)
-    out[(ends - length)[missing]] = -1 - number[back.ravel()]
-    edges = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+    alone = (ends - length)[missing]
+    out[alone] = -1 - number[back.ravel()]
+    edges = np.append(0, ends)[np.append(0, np.cumsum(sizes))]  # of the texts, among the ids
+    cuts = np.unique(np.concatenate([alone, alone + 1, edges]))
     others = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(pair[1])))
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out)), others
+    pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, edges), pa.int32()), pieces), others
 
 
 def _long(words: pa.Array, ranks: dict[bytes, int], known: pa.Table) -> pa.Table:
@@ -273,29 +280,50 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None
     names = [c for c in (documents.columns if keep is None else keep) if c != "ids"]
     inner = [f"c{i}" for i in range(len(names))]
     split = documents.select(*[documents[f"`{c}`"].alias(i) for c, i in zip(names, inner, strict=True)], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
-    fields = [StructField("known_ids", ArrayType(IntegerType())), StructField("other_words", ArrayType(StringType()))]
+    fields = [StructField("pieces", ArrayType(ArrayType(IntegerType()))), StructField("other_words", ArrayType(StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranks = known.value
         for batch in batches:
             for part in _parts(batch):
                 words = part.column("words_")
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), *_marked(words, _long(words, ranks, table))], [*inner, "known_ids", "other_words"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), *_marked(words, _long(words, ranks, table))], [*inner, "pieces", "other_words"])
 
     marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name != "words_"), *fields]))
-    folded = F.struct(F.col("known_ids").alias("ids"), F.transform("other_words", vocabulary.folded).alias("words"))
-    # Bound to a name, so that the fold runs once per text and not once per id.
-    place = lambda x: F.flatten(F.transform(x["ids"], lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(x["words"], -1 - i))))
-    ids = F.when(F.size("other_words") == 0, F.col("known_ids")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
+    folded = F.struct("pieces", F.transform("other_words", vocabulary.folded).alias("words"))
+    # Bound to a name, so that the fold runs once per text and not once per piece.
+    place = lambda x: F.flatten(F.transform(x["pieces"], lambda p: F.when(F.get(p, F.lit(0)) >= 0, p).otherwise(F.get(x["words"], -1 - F.get(p, F.lit(0))))))
+    ids = F.when(F.size("other_words") == 0, F.flatten("pieces")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
     return marked.select(*inner, ids.alias("ids")).toDF(*names, "ids")
 
 
+#: Ids that are hashed at a time.
+HASHED = 1 << 18
+
+
 def digest(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The contracted columns of the registered query."""
+    """The contracted columns of the registered query, hashed in Arrow batches from the ids."""
     found = encoded(documents, vocabulary, keep=["doc_id"])
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
-        F.sha2(vocabulary.decoded(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
+    for word, rank in vocabulary.ranks.items():
+        pieces[rank] = word
+    shared = documents.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, texts = shared.value, [str(i).encode() for i in range(len(shared.value))]
+        for batch in batches:
+            lists = batch.column("ids")
+            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            out: list[tuple[str, str]] = []
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                ids_hash, text_hash = hashlib.sha256(), hashlib.sha256()
+                for at in range(start, stop, HASHED):
+                    some = flat[at : min(stop, at + HASHED)].tolist()
+                    ids_hash.update((b"," if at > start else b"") + b",".join([texts[i] for i in some]))
+                    text_hash.update(b"".join([pieces[i] for i in some]))
+                out.append((ids_hash.hexdigest(), text_hash.hexdigest()))
+            hashes = [pa.array([o[k] for o in out], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kinds = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return found.mapInArrow(run, StructType([found.schema["doc_id"], *kinds]))
