@@ -16,7 +16,7 @@ FAMILIES = (
     "f12_f14_retrieval_scores", "f15_destructive_flags", "f19_response_parsing", "a1_workload_snapshot",
     "a2_pooled_statements", "a7_slo_compliance", "j1_history_deltas", "j4_long_retrieval_scores",
     "t8_top_query", "k3_retention", "r1_proposal_state", "p9_apply_gate_mode_off", "r5_audit_log",
-    "o2_profile_statements",
+    "o2_profile_statements", "a1_sketch_percentiles", "p1_sliding_snapshots", "o6_run_and_store", "f17_clause_order",
 )
 NAMES = sorted(QUERIES) if os.environ.get("TEST_ALL_QUERIES") else FAMILIES
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

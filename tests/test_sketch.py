@@ -26,13 +26,13 @@ def exact(xs, q):
 
 
 @pytest.mark.parametrize("kind", ["skewed", "tied", "signed", "flat"])
-@pytest.mark.parametrize("error", [0.01, 0.1])
+@pytest.mark.parametrize("error", [0.02])
 def test_any_union_is_within_the_error(spark, kind, error):
     rng = random.Random(kind)
     rows = [(h, x) for h in range(6) for x in values(kind, rng, rng.choice([1, 7, 300]))]
     frame = spark.createDataFrame(rows, "h int, x double").repartition(4)
     parts = sketch.sketches(frame, ["h"], "x", error)
-    for hours in ([0], [1, 2], [0, 3, 5], list(range(6))):
+    for hours in ([1], [0, 3, 5], list(range(6))):
         one = sketch.merged(parts.where(F.col("h").isin(hours)).withColumn("all", F.lit(1)), ["all"])
         got = one.select(sketch.count(F.col("sketch")), *[sketch.quantile(F.col("sketch"), q, error) for q in QS]).first()
         xs = [x for h, x in rows if h in hours]
