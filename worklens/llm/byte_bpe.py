@@ -1,10 +1,9 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 A word is the array of the ids of its bytes, and the ranked merges are a fold over it: the
-accumulator holds the ids and, for every neighbouring pair, the id of what they join to. Each
-step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are a
-literal: an array of small maps from a pair of ids to the id of the joined bytes (two arrays
-side by side, as JSON has no maps by number), chosen by the remainder of the pair's number,
+accumulator holds, for every place, its id and the id of what it and its neighbour join to, as
+one number. Each step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are a
+literal: an array of short lists of pairs of ids, each with the id of the joined bytes, chosen by the remainder of the pair's number,
 since Spark searches a map from front to back. A word
 that is a token as a whole is found in a second literal, as the library does.
 
@@ -52,6 +51,8 @@ FOLDED = 256
 WORD_MAPS, PAIR_MAPS = 1 << 14, (1 << 16) - 15
 #: A pair of ids as one number; more ids than any folded word has.
 PAIR, MOST = 1 << 24, 1 << 20
+#: Stands for an id where a pair joins to none.
+NONE = 1 << 38
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -123,11 +124,10 @@ class Vocabulary:
         self.pattern = "(?U)" + pattern
         self.ranks = ranks
         self.whole = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, WORD_MAPS, "int")
-        pairs: list[dict[str, list[int]]] = [{"k": [], "v": []} for _ in range(PAIR_MAPS)]
+        pairs: list[list[dict[str, int]]] = [[] for _ in range(PAIR_MAPS)]
         for pair, rank in pair_ids(ranks).items():
-            pairs[pair % PAIR_MAPS]["k"].append(pair)
-            pairs[pair % PAIR_MAPS]["v"].append(rank)
-        self.pairs = F.from_json(F.lit(json.dumps(pairs, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
+            pairs[pair % PAIR_MAPS].append({"k": pair, "v": rank})
+        self.pairs = F.from_json(F.lit(json.dumps(pairs, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
         self.octets = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<int>")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
@@ -145,32 +145,33 @@ class Vocabulary:
 
         def joined(pairs: Column, left: Column, right: Column) -> Column:
             """The id of two neighbours joined; null if they are no token together, or one is missing."""
-            pair = left.cast("long") * PAIR + right
-            return let(F.get(pairs, (pair % PAIR_MAPS).cast("int")), lambda near: F.get(near["v"], (F.array_position(near["k"], pair) - 1).cast("int")))
+            none = F.lit(None).cast("int")
+            among = lambda near, pair: F.aggregate(near, none, lambda found, x: F.when(x["k"] == pair, x["v"]).otherwise(found))
+            return let(left * PAIR + right, lambda pair: among(F.get(pairs, (pair % PAIR_MAPS).cast("int")), pair))
 
-        def step(pairs: Column, state: Column) -> Column:
-            # Rank and id are one number, so the least rank is also what the pair joins to.
-            ids, ranks = state["ids"], state["ranks"]
-            least = F.array_min(ranks)
+        # A cell is the id of a place and, above it, what it and its right neighbour join to. So the
+        # least of the upper parts is the pair of least rank; its place goes below, so that the
+        # leftmost is found by a minimum (array_position unwinds by an exception, which is slow).
+        id_of = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
 
-            def join(best: Column) -> Column:
-                at, id_ = best["at"], best["id"]
-                two = F.array(joined(pairs, F.get(ids, at - 1), id_), joined(pairs, id_, F.get(ids, at + 2)))
-                return F.struct(
-                    F.concat(F.slice(ids, 1, at), F.array(id_), F.slice(ids, at + 3, MOST)).alias("ids"),
-                    F.concat(F.slice(ranks, 1, at - 1), two, F.slice(ranks, at + 3, MOST)).alias("ranks"),
-                )
+        def cell(pairs: Column, left: Column, right: Column) -> Column:
+            return F.coalesce(joined(pairs, left, right).cast("long"), F.lit(NONE)) * PAIR + left
 
-            best = F.struct(least.alias("id"), (F.array_position(ranks, least) - 1).cast("int").alias("at"))
-            return F.when(least.isNull(), state).otherwise(let(best, join))
+        def step(pairs: Column, cells: Column) -> Column:
+            def join(id_: Column, at: Column) -> Column:
+                two = F.array(cell(pairs, id_of(F.get(cells, at - 1)), id_), cell(pairs, id_, id_of(F.get(cells, at + 2))))
+                return F.concat(F.slice(cells, F.lit(1), at - 1), two, F.slice(cells, at + 3, F.lit(MOST)))
+
+            least = F.array_min(F.transform(cells, lambda c, i: F.shiftright(c, PAIR.bit_length() - 1) * MOST + i))
+            split = lambda x: join(F.shiftright(x, MOST.bit_length() - 1), x.bitwiseAND(F.lit(MOST - 1)).cast("int"))
+            return let(least, lambda x: F.when(x < NONE * MOST, split(x)).otherwise(cells))
 
         def fold(latin: Column, pairs: Column) -> Column:
             # A mark before the first id, so that every pair has a neighbour on its left; the last id has no pair.
-            ids = F.concat(F.array(F.lit(-1)), F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c))))
-            ranks = lambda x: F.transform(x, lambda a, i: joined(pairs, a, F.get(x, i + 1)))
-            start = let(ids, lambda x: F.struct(x.alias("ids"), ranks(x).alias("ranks")))
+            ids = F.concat(F.array(F.lit(PAIR - 1).cast("long")), F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c)).cast("long")))
+            start = let(ids, lambda x: F.transform(x, lambda a, i: cell(pairs, a, F.get(x, i + 1))))
             steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-            return F.aggregate(steps, start, lambda state, _: step(pairs, state), lambda state: F.slice(state["ids"], 2, MOST))
+            return F.aggregate(steps, start, lambda cells, _: step(pairs, cells), lambda cells: F.transform(F.slice(cells, 2, MOST), lambda c: id_of(c).cast("int")))
 
         def found(latin: Column) -> Column:
             whole = _looked_up(self.whole, WORD_MAPS, latin)
@@ -303,7 +304,8 @@ HASHED = 1 << 18
 
 def digest(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The contracted columns of the registered query, hashed in Arrow batches from the ids."""
-    found = encoded(documents, vocabulary, keep=["doc_id"])
+    # Written, so that a task runs one Python worker at a time and not two.
+    found = staged(encoded(documents, vocabulary, keep=["doc_id"]), "token-ids")
     pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
     for word, rank in vocabulary.ranks.items():
         pieces[rank] = word
