@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from worklens.llm import collision_ann, pii_surrogates, quality_indexing, queries, toxicity_cnn, warc_revisits
+from worklens.llm import batches, collision_ann, pii_surrogates, quality_indexing, queries, toxicity_cnn, warc_revisits
 
 SF = "/root/testdata/sf0.01"
 ODD = [(90001, None), (90002, ""), (90003, "a " * 30000), (None, "text without id"), (90003, "a " * 30000)]
@@ -54,6 +54,27 @@ def test_scores_follow_from_the_text_alone(spark):
     assert sorted(r["score"] for r in plain.collect()) == sorted(r["score"] for r in moved.collect() if r)
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join(rng.choice(["The", "der", "word%%%", "été", "x" * 700, "a", "\n", "les", "des"], 2000)).encode()
+    for classes, fold, prefixes in ((quality_indexing._CLASSES, None, ()), (toxicity_cnn._CLASSES, batches.LOWER, (4, 6))):
+        whole = batches.Words([text], classes, fold).hashes(*prefixes)
+        for limit in (1, 300, 1000, len(text)):
+            parts = zip(*batches.hashes_by_part(text, classes, fold, *prefixes, limit=limit), strict=True)
+            assert all((w == np.concatenate(p)).all() for w, p in zip(whole, parts, strict=True))
+    vectors = rng.standard_normal((quality_indexing.BUCKETS, quality_indexing.LENGTH)).astype(np.float32)
+    network, texts = toxicity_cnn.Network(), [text, b"", b"one two", b" " * 900]
+    together = network.scores(texts)
+    assert np.allclose(together, [network.scores([t])[0] for t in texts], atol=1e-6)
+    pooled, context = quality_indexing.pooled(texts, vectors), quality_indexing.context_sums(texts)
+    for module in (toxicity_cnn, quality_indexing):
+        monkeypatch.setattr(module, "SLICE_BYTES", 500)
+        monkeypatch.setattr(module, "hashes_by_part", lambda *args: batches.hashes_by_part(*args, limit=500))
+    assert np.allclose(network.scores(texts), together, atol=1e-6)
+    assert np.allclose(quality_indexing.pooled(texts, vectors), pooled, atol=1e-3)
+    assert (quality_indexing.context_sums(texts) == context).all()
+
+
 def test_neighbours_reach_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     found = collision_ann.nearest(rows, rows.where("vec_id % 100 = 0")).collect()

@@ -93,6 +93,41 @@ class Words:
         return [mix((sums[end] - base) * scale) for end in ends]
 
 
+def hashes_by_part(text: bytes, classes: np.ndarray, fold: np.ndarray | None = None, *prefixes: int, limit: int = SLICE_BYTES) -> Iterator[list[np.ndarray]]:
+    """``Words.hashes`` of one text in several parts, in order, so that memory does not grow with the text.
+
+    A part ends where the class of bytes changes, so no word is cut; a word of more than
+    ``limit`` bytes is a part of its own, and its hash is added up.
+    """
+    data, at = np.frombuffer(text, np.uint8), 0
+    while at < len(data):
+        kind = classes[data[at : at + limit + 1]]
+        change = np.flatnonzero(kind[1:] != kind[:-1])
+        if len(kind) <= limit or len(change):
+            stop = len(data) if len(kind) <= limit else at + int(change[-1]) + 1
+            yield Words([text[at:stop]], classes, fold).hashes(*prefixes)
+        else:
+            stop = at + limit
+            while stop < len(data):
+                other = np.flatnonzero(classes[data[stop : stop + limit]] != kind[0])
+                stop = stop + int(other[0]) if len(other) else min(len(data), stop + limit)
+                if len(other):
+                    break
+            if kind[0]:
+                yield [_word_hash(data[at : min(stop, at + k)], fold, limit) for k in (stop - at, *prefixes)]
+        at = stop
+
+
+def _word_hash(word: np.ndarray, fold: np.ndarray | None, limit: int) -> np.ndarray:
+    """The hash of one word, as ``Words.hashes`` gives it."""
+    total = np.zeros(1, np.uint64)
+    for at in range(0, len(word), limit):
+        part = word[at : at + limit] if fold is None else fold[word[at : at + limit]]
+        here = ((part.astype(np.uint64) + np.uint64(1)) * powers(limit)[0][: len(part)]).sum(dtype=np.uint64)
+        total += here * np.array([pow(_BASE, at, 1 << 64)], np.uint64)
+    return mix(total)
+
+
 def per_text(rows: np.ndarray, first: np.ndarray, reduce) -> np.ndarray:
     """``reduce`` over the rows of each text, one row per text; ``first`` as in Words, no text empty."""
     return np.stack([reduce(rows[a:b], axis=0) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])

@@ -12,7 +12,7 @@ mean product of each with the next, and the logarithm of their number. The netwo
 is trained in numpy on at most ``SAMPLE`` labelled documents outside the held-out part;
 a share of them is set apart for the temperature, which calibrates the probability. A text
 without tokens, null included, has a zero vector and gets the score that follows from it.
-Without labels of both kinds every score is the share of good labels, or 0.5.
+A text of more than a slice is read in parts, with sums carried over them. Without labels of both kinds every score is the share of good labels, or 0.5.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField
 
-from worklens.llm.batches import Words, append, byte_table, mix, per_text, slices
+from worklens.llm.batches import SLICE_BYTES, Words, append, byte_table, hashes_by_part, mix, per_text, slices
 from worklens.llm.training import Adam, is_held_out, labelled_sample, logit, sigmoid, temperature
 
 #: Hashed tokens, vector length, nonzero entries of an index vector, neighbours on either side.
@@ -57,17 +57,29 @@ def _index_entries(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def context_sums(texts: list[bytes]) -> np.ndarray:
     """Summed index vectors of the neighbours of each bucket's occurrences."""
-    words, hashes = _tokens(texts)
     flat = np.zeros(BUCKETS * LENGTH)
+    words, hashes = _tokens([t if len(t) <= SLICE_BYTES else b"" for t in texts])
+    _add_context(flat, hashes, np.repeat(np.arange(len(texts)), words.counts()))
+    for text in texts:
+        if len(text) > SLICE_BYTES:
+            last = np.zeros(0, np.uint64)
+            for (part,) in hashes_by_part(text, _CLASSES):
+                both = np.concatenate([last, part])
+                _add_context(flat, both, np.zeros(len(both), int), len(last))
+                last = both[-REACH:]
+    return flat.reshape(BUCKETS, LENGTH)
+
+
+def _add_context(flat: np.ndarray, hashes: np.ndarray, doc: np.ndarray, seen: int = 0) -> None:
+    """Add the neighbours within ``doc``; pairs among the first ``seen`` tokens are counted already."""
     row = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64) * LENGTH
-    doc = np.repeat(np.arange(len(texts)), words.counts())
     entries = [(p.astype(np.int64), s) for p, s in _index_entries(hashes)]
     for apart in range(1, REACH + 1):
         same = np.flatnonzero(doc[apart:] == doc[:-apart])
+        same = same[same + apart >= seen]
         for here, there in ((same, same + apart), (same + apart, same)):
             for position, sign in entries:
                 flat += np.bincount(row[here] + position[there], sign[there], len(flat))
-    return flat.reshape(BUCKETS, LENGTH)
 
 
 def context_vectors(documents: DataFrame) -> np.ndarray:
@@ -107,9 +119,12 @@ WIDTH = 3 * LENGTH + 1
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Mean and deviation of the token vectors of each text, mean product with the next one, log of their number."""
-    words, hashes = _tokens(texts)
+    words, hashes = _tokens([t if len(t) <= SLICE_BYTES else b"" for t in texts])
     counts = words.counts()
     out = np.zeros((len(texts), WIDTH), np.float32)
+    for i, text in enumerate(texts):
+        if len(text) > SLICE_BYTES:
+            out[i] = _pooled_by_part(text, vectors)
     some = np.flatnonzero(counts)
     if len(some):
         rows = vectors[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
@@ -124,6 +139,21 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pooled_by_part(text: bytes, vectors: np.ndarray) -> np.ndarray:
+    """The features of one very long text, from sums that are carried over its parts."""
+    n, sums, last = 0, np.zeros((3, LENGTH)), np.zeros((0, LENGTH), np.float32)
+    for (part,) in hashes_by_part(text, _CLASSES):
+        rows = vectors[(part & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        both = np.concatenate([last, rows])
+        n += len(rows)
+        sums += [rows.sum(axis=0, dtype=float), (rows * rows).sum(axis=0, dtype=float), (both[1:] * both[:-1]).sum(axis=0, dtype=float)]
+        last = both[-1:]
+    if not n:
+        return np.zeros(WIDTH, np.float32)
+    mean, square, follow = sums / n
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), follow, [np.log1p(n)]]).astype(np.float32)
+
+
 class Network:
     """One hidden layer over standardised features."""
 

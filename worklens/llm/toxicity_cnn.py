@@ -13,6 +13,7 @@ the text itself, never from a column; the cut of a language is the logit that le
 fewest errors among its documents set apart, and the general cut where a language has
 fewer than ``ENOUGH`` of either label there. The score is the calibrated probability
 shifted so that 0.5 is the cut. Texts without words, null included, are scored as padding.
+A text of more than a slice is scored in parts, with maxima and votes carried over them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from worklens.llm.batches import LOWER, Words, append, byte_table, per_text
+from worklens.llm.batches import LOWER, SLICE_BYTES, Words, append, byte_table, hashes_by_part, per_text
 from worklens.llm.training import Adam, best_cut, is_held_out, labelled_sample, sigmoid, temperature
 
 #: Rows of an embedding table, length of a row, bytes of prefixes, filters per width, widths.
@@ -58,21 +59,23 @@ def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.append(0, np.cumsum(size))
     place = np.arange(len(hashes[0])) + PAD * np.repeat(np.arange(len(texts)), counts)
     rows = np.zeros((TABLES, int(first[-1])), np.int32)
-    for table, values in enumerate(hashes):
-        rows[table, place] = values % np.uint64(ROWS - 1) + np.uint64(1)
-    return rows, first, _languages(hashes[0], words.first)
+    rows[:, place] = _table_rows(hashes)
+    return rows, first, _votes(hashes[0], words.first).argmax(axis=0)
 
 
-def _languages(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The language with the most function words in each text; the first one without any."""
+def _table_rows(hashes: list[np.ndarray]) -> np.ndarray:
+    return (np.stack(hashes) % np.uint64(ROWS - 1) + np.uint64(1)).astype(np.int32)
+
+
+def _votes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Function words of each language in each text; the language with most is taken, the first one without any."""
     known = [np.array([_word_hash(w) for w in line.split()], np.uint64) for line in LANGUAGES.values()]
     maybe = np.zeros(1 << 16, bool)
     for group in known:
         maybe[group & np.uint64(0xFFFF)] = True
     at = np.flatnonzero(maybe[hashes & np.uint64(0xFFFF)])
     doc = np.searchsorted(first, at, "right") - 1
-    votes = [np.bincount(doc[np.isin(hashes[at], group)], minlength=len(first) - 1) for group in known]
-    return np.array(votes).argmax(axis=0)
+    return np.array([np.bincount(doc[np.isin(hashes[at], group)], minlength=len(first) - 1) for group in known])
 
 
 class Network:
@@ -96,8 +99,9 @@ class Network:
             for k in range(1, w):
                 value[:-k] += seen[k:] @ self.values[f"w{w}"][k]
             value += self.values[f"b{w}"]
-            # A text ends with PAD rows of padding; the last of them starts no window, so none reaches into the next text.
-            value[first[1:] - 1] = -np.inf
+            # A text ends with PAD rows of padding, or goes on in the next part; the last rows start no window that would reach beyond.
+            for k in range(1, max(w, 2)):
+                value[first[1:] - k] = -np.inf
             parts.append(per_text(value, first, np.maximum.reduce))
             if where:
                 places[w] = first[:-1, None] + per_text(value, first, np.argmax)
@@ -157,11 +161,32 @@ class Network:
     def _outputs(self, texts: list[bytes], block: int = 64) -> tuple[np.ndarray, np.ndarray]:
         out, language = [np.zeros(0)], [np.zeros(0, int)]
         for at in range(0, len(texts), block):
-            rows, first, guess = encoded(texts[at : at + block])
-            out.append(self.logits(rows, first))
+            some = texts[at : at + block]
+            rows, first, guess = encoded([t if len(t) <= SLICE_BYTES else b"" for t in some])
+            logits = self.logits(rows, first)
+            for i, text in enumerate(some):
+                if len(text) > SLICE_BYTES:
+                    logits[i], guess[i] = self._output_by_part(text)
+            out.append(logits)
             language.append(guess)
         return np.concatenate(out), np.concatenate(language)
 
+    def _output_by_part(self, text: bytes) -> tuple[float, int]:
+        """Logit and language of one very long text: maxima and votes are carried over its parts."""
+        top, votes = np.full((1, FILTERS * len(WIDTHS)), -np.inf, np.float32), np.zeros(len(LANGUAGES), int)
+        last = np.zeros((TABLES, 0), np.int32)
+        for hashes in hashes_by_part(text, _CLASSES, LOWER, *PREFIXES):
+            if not len(hashes[0]):
+                continue
+            rows = np.concatenate([last, _table_rows(hashes)], axis=1)
+            if rows.shape[1] > PAD:
+                top = np.maximum(top, self.pooled(rows, np.array([0, rows.shape[1]]))[0])
+            votes += _votes(hashes[0], np.array([0, len(hashes[0])]))[:, 0]
+            last = rows[:, -PAD:]
+        rows = np.concatenate([last, np.zeros((TABLES, PAD), np.int32)], axis=1)
+        top = np.maximum(top, self.pooled(rows, np.array([0, rows.shape[1]]))[0])
+        return float((np.maximum(top, 0) @ self.values["out"] + self.values["bias"])[0]), int(votes.argmax())
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out, language = self._outputs(texts)
         return sigmoid((out - self.cuts[language]) / self.divisor)
