@@ -132,3 +132,14 @@ def test_ledger_in_state_equals_the_batch_fold(spark, tmp_path, mode_on):
     refused = {(r["seq"], r["refusal"]) for r in verdicts.where("refusal is not null").collect()}
     assert refused == {(r["seq"], r["refusal"]) for r in review.verdicts(ledger_events, mode_on).where("refusal is not null").collect()}
     assert (10, "SQL does not parse") in refused
+
+
+def test_proposals_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "BUCKETS", 2)
+    ledger_events, n = events(spark)
+    path, out, state = (str(tmp_path / x) for x in ("events", "out", "state"))
+    ledger_events.write.parquet(path)
+    query = ledger.append_verdicts(spark, path, out, state)
+    query.awaitTermination()
+    assert 1 <= query.lastProgress.stateOperators[0].numRowsTotal <= 2 < ledger_events.select("proposal_id").distinct().count()
+    assert spark.read.parquet(out).count() == n
