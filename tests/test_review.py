@@ -167,3 +167,15 @@ def test_recommendation_without_snapshots_is_a_health_check(spark):
     queued = review.enqueue(recommend.heuristic(empty, F.lit(T0)))
     (s,) = review.proposal_state(queued).collect()
     assert s["source"] == "architect" and s["recommendation_id"] == rec["recommendation_id"]
+
+
+def test_one_fold_serves_audit_and_state(spark, monkeypatch):
+    from worklens.plans.queries import review_events
+
+    events, made = review_events(spark, "/root/testdata/sf0.001"), []
+    monkeypatch.setattr(review, "checked", lambda rows, whole=review.checked: made.append(1) or whole(rows))
+    fold = review.folded(events)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    got = rows(review.audit_log(events, fold=fold)), rows(review.proposal_state(events, fold=fold))
+    assert len(made) == 1  # proposals are checked once
+    assert got == (rows(review.audit_log(events)), rows(review.proposal_state(events)))

@@ -177,8 +177,9 @@ def r7_audit_of_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """All audit rows of the proposal that has most events, and its state by its id."""
     events = review_events(spark, sf)
     most = events.where("proposal_id <> 'gone'").groupBy("proposal_id").count().orderBy(F.desc("count"), "proposal_id").first()[0]
-    audit = review.audit_listing(review.audit_log(events), most, limit=None).select("proposal_id", "seq", "action")
-    state = review.proposal(review.proposal_state(events), most).select("proposal_id", F.lit(0).cast("bigint").alias("seq"), F.col("status").alias("action"))
+    fold = review.folded(events)  # once for both
+    audit = review.audit_listing(review.audit_log(events, fold=fold), most, limit=None).select("proposal_id", "seq", "action")
+    state = review.proposal(review.proposal_state(events, fold=fold), most).select("proposal_id", F.lit(0).cast("bigint").alias("seq"), F.col("status").alias("action"))
     return audit.unionByName(state)
 
 
