@@ -249,3 +249,36 @@ def test_sample_of_secrets_holds_different_windows(spark):
     line = "key = 0123456789abcdef0123456789abcdef!"
     frame = spark.createDataFrame([(i, line) for i in range(300)] + [(1000 + i, f"id {i:08d}Zq7Lw{i * 7919:012d}") for i in range(50)], "doc_id long, text string")
     assert secret_cnn.fit(frame).scores([]) is not None
+
+
+def test_bpe_of_texts_that_hold_the_mark_and_a_pattern_with_gaps(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    vocabulary = byte_bpe.Vocabulary(ranks, r"[a-z]+|\x1e")
+    texts = ["abc 12 ab", "abc\x1eab 9", "1 2", "", None, "\x1e" * 3, " abcab "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: [257, 256], 1: [257, 30, 256], 2: [], 3: [], 4: [], 5: [30] * 3, 6: [257, 256]}
+    for number in (0, 5):
+        assert {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encoded(frame, vocabulary, number=number).collect()} == want
+
+
+def test_bpe_ranks_are_one_flat_literal_of_short_plan(spark):
+    """Plans are turned to text on the driver, whose memory nested literals of all ranks filled."""
+    pairs = byte_bpe.pair_ids(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    slots, first, second = byte_bpe.placed(pairs)
+    assert len(slots) == first + second < 4 * len(pairs)
+    for pair, rank in pairs.items():
+        assert pair * byte_bpe.PAIR + rank in (slots[pair % first], slots[first + pair % second])
+    vocabulary = byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    frame = spark.range(3).select(vocabulary.folded(F.col("id").cast("string")).alias("ids"))
+    assert len(frame._jdf.queryExecution().executedPlan().toString()) < 3_500_000
+
+
+def test_bpe_digests_of_texts_over_several_blocks(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    vocabulary = byte_bpe.Vocabulary(ranks, r"[\s\S]")
+    texts = ["", "x", "ab" * 40_000, "", "y" * 300_001, None, "z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for row in byte_bpe.digest(frame, vocabulary).collect():
+        raw = (texts[row["doc_id"]] or "").encode()
+        assert row["n_tokens"] == len(raw) and row["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+        assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, raw)).encode()).hexdigest()

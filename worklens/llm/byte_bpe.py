@@ -3,13 +3,15 @@
 A word is the array of the ids of its bytes, and the ranked merges are a fold over it: the
 accumulator holds, for every place, its id and the id of what it and its neighbour join to, as
 one number. Each step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are a
-literal: an array of short lists of pairs of ids, each with the id of the joined bytes, chosen by the remainder of the pair's number,
-since Spark searches a map from front to back. A word
-that is a token as a whole is found in a second literal, as the library does.
+literal: one flat array of numbers, each a pair of ids with the id of the joined bytes, at one of two places that
+the remainders of the pair's number name (cuckoo hashing), since Spark searches a map from front to back. A word
+that is a token as a whole is that token, as in the library. Nearly always the fold ends there too; tokens that
+it does not reach are found when the vocabulary is read, and are a second literal.
 
 The fold runs over distinct words. Those of the whole corpus are counted; the most frequent
 ones, ``FREQUENT`` at most, are folded once each and broadcast, a table of bounded size. Texts
-are split by the vocabulary's pattern and looked up in that table inside Arrow batches;
+are split by the vocabulary's pattern (marks are put around its matches, so that a text stays one string
+until it is cut in Arrow) and looked up in that table inside Arrow batches;
 the distinct words of a text that it lacks are folded next to their text. So nothing but
 word counts is shuffled, and no text is moved. Decoding concatenates the bytes of every id:
 as an expression over a literal array (``Vocabulary.decoded``), or block by block where only
@@ -43,14 +45,16 @@ from worklens.llm.staging import staged
 
 #: Words folded ahead, and the longest of them in characters: bounds of what is broadcast.
 FREQUENT, LONGEST = 500_000, 64
-#: Words that are looked at together in a task.
-PART = 250_000
+#: Bytes of marked text that are looked at together in a task.
+PART = 1 << 21
+#: Stands before and after every word of a text; a text that has it is split by Spark.
+MARK = "\x1e"
 #: Longest word that is folded, in bytes.
 FOLDED = 256
-#: Maps in the literal of whole words, and in that of pairs.
-WORD_MAPS, PAIR_MAPS = 1 << 14, (1 << 16) - 15
-#: A pair of ids as one number; more ids than any folded word has.
-PAIR, MOST = 1 << 24, 1 << 20
+#: Maps in the literal of tokens that merges do not reach.
+WORD_MAPS = 1 << 8
+#: Ids are below this, so that three of them are one number; more ids than any folded word has.
+PAIR, MOST = 1 << 21, 1 << 20
 #: Stands for an id where a pair joins to none.
 NONE = 1 << 38
 
@@ -84,10 +88,47 @@ def pair_ids(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
+def _primes(least: int) -> Iterator[int]:
+    while True:
+        if all(least % k for k in range(2, int(least**0.5) + 1)):
+            yield least
+        least += 1
+
+
+def placed(pairs: dict[int, int]) -> tuple[list[int], int, int]:
+    """Pairs with their ids in one array, and the sizes of its two parts.
+
+    A pair stands in the first part at its remainder by that part's size, or in the second
+    likewise. Empty places hold -1.
+    """
+    size = max(7, len(pairs) * 4 // 3)
+    while True:
+        primes = _primes(size)
+        first, second = next(primes), next(primes)
+        slots = [-1] * (first + second)
+        if all(_put(slots, first, second, pair * PAIR + rank) for pair, rank in pairs.items()):
+            return slots, first, second
+        size *= 2
+
+
+def _put(slots: list[int], first: int, second: int, entry: int) -> bool:
+    """Put an entry at its first place, and what was there at its other place, and so on; false if that has no end."""
+    at = entry // PAIR % first
+    for _ in range(500):
+        slots[at], entry = entry, slots[at]
+        if entry < 0:
+            return True
+        at = first + entry // PAIR % second if at < first else entry // PAIR % first
+    return False
+
+
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word by a heap of ranked pairs; for words too long to fold."""
-    if word in ranks:
-        return [ranks[word]]
+    return [ranks[word]] if word in ranks else joined(word, ranks)
+
+
+def joined(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that merges alone give."""
     size = len(word)
     start, after, before = list(range(size)), list(range(1, size + 1)), list(range(-1, size - 1))
     ends = list(range(1, size + 1))
@@ -123,11 +164,14 @@ class Vocabulary:
         # Java's \\s knows Unicode white space only under this flag.
         self.pattern = "(?U)" + pattern
         self.ranks = ranks
-        self.whole = _literal({word.decode("latin-1"): rank for word, rank in ranks.items()}, WORD_MAPS, "int")
-        pairs: list[list[dict[str, int]]] = [[] for _ in range(PAIR_MAPS)]
-        for pair, rank in pair_ids(ranks).items():
-            pairs[pair % PAIR_MAPS].append({"k": pair, "v": rank})
-        self.pairs = F.from_json(F.lit(json.dumps(pairs, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
+        if max(ranks.values(), default=0) >= PAIR - 1:
+            raise ValueError(f"ids must be below {PAIR - 1}")
+        # Tokens of more than FOLDED bytes are never folded; they are met in ``merged`` only.
+        reached = lambda word, rank: all(bytes([b]) in ranks for b in word) and joined(word, ranks) == [rank]
+        apart = {word.decode("latin-1"): rank for word, rank in ranks.items() if len(word) <= FOLDED and not reached(word, rank)}
+        self.whole = _literal(apart, WORD_MAPS, "int") if apart else None
+        slots, self.first, self.second = placed(pair_ids(ranks))
+        self.pairs = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
         self.octets = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<int>")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
@@ -145,9 +189,10 @@ class Vocabulary:
 
         def joined(pairs: Column, left: Column, right: Column) -> Column:
             """The id of two neighbours joined; null if they are no token together, or one is missing."""
-            none = F.lit(None).cast("int")
-            among = lambda near, pair: F.aggregate(near, none, lambda found, x: F.when(x["k"] == pair, x["v"]).otherwise(found))
-            return let(left * PAIR + right, lambda pair: among(F.get(pairs, (pair % PAIR_MAPS).cast("int")), pair))
+            bits = PAIR.bit_length() - 1
+            at = lambda pair, place, other: let(F.get(pairs, place.cast("int")), lambda x: F.when(F.shiftright(x, bits) == pair, x.bitwiseAND(F.lit(PAIR - 1))).otherwise(other))
+            second = lambda pair: at(pair, pair % self.second + self.first, F.lit(None).cast("long"))
+            return let(left * PAIR + right, lambda pair: at(pair, pair % self.first, second(pair)))
 
         # A cell is the id of a place and, above it, what it and its right neighbour join to. So the
         # least of the upper parts is the pair of least rank; its place goes below, so that the
@@ -155,7 +200,7 @@ class Vocabulary:
         id_of = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
 
         def cell(pairs: Column, left: Column, right: Column) -> Column:
-            return F.coalesce(joined(pairs, left, right).cast("long"), F.lit(NONE)) * PAIR + left
+            return F.coalesce(joined(pairs, left, right), F.lit(NONE)) * PAIR + left
 
         def step(pairs: Column, cells: Column) -> Column:
             def join(id_: Column, at: Column) -> Column:
@@ -164,7 +209,9 @@ class Vocabulary:
 
             least = F.array_min(F.transform(cells, lambda c, i: F.shiftright(c, PAIR.bit_length() - 1) * MOST + i))
             split = lambda x: join(F.shiftright(x, MOST.bit_length() - 1), x.bitwiseAND(F.lit(MOST - 1)).cast("int"))
-            return let(least, lambda x: F.when(x < NONE * MOST, split(x)).otherwise(cells))
+            # Once nothing joins, the mark in front becomes -1, and later steps do nothing.
+            ended = F.concat(F.array(F.lit(-1).cast("long")), F.slice(cells, 2, MOST))
+            return F.when(F.get(cells, F.lit(0)) < 0, cells).otherwise(let(least, lambda x: F.when(x < NONE * MOST, split(x)).otherwise(ended)))
 
         def fold(latin: Column, pairs: Column) -> Column:
             # A mark before the first id, so that every pair has a neighbour on its left; the last id has no pair.
@@ -174,8 +221,10 @@ class Vocabulary:
             return F.aggregate(steps, start, lambda cells, _: step(pairs, cells), lambda cells: F.transform(F.slice(cells, 2, MOST), lambda c: id_of(c).cast("int")))
 
         def found(latin: Column) -> Column:
-            whole = _looked_up(self.whole, WORD_MAPS, latin)
-            return let(whole, lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(let(self.pairs, lambda pairs: fold(latin, pairs))))
+            by_merges = let(self.pairs, lambda pairs: fold(latin, pairs))
+            if self.whole is None:
+                return by_merges
+            return let(_looked_up(self.whole, WORD_MAPS, latin), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(by_merges))
 
         return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), found)
 
@@ -184,31 +233,52 @@ class Vocabulary:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.bytes, i)), ""))
 
 
-def _split(documents: DataFrame, vocabulary: Vocabulary, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns and ``words_``, the array of the words of each text."""
-    return documents.select(*[documents[f"`{c}`"] for c in keep], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
+def _split(documents: DataFrame, vocabulary: Vocabulary, text: str, keep: dict[str, str]) -> DataFrame:
+    """The kept columns under new names and each text with its words marked, or, where it holds the mark itself, their array."""
+    whole = F.coalesce(documents[f"`{text}`"], F.lit(""))
+    has = F.contains(whole, F.lit(MARK))
+    marked = F.when(~has, F.regexp_replace(whole, vocabulary.pattern, f"{MARK}$0{MARK}"))
+    kept = [documents[f"`{c}`"].alias(name) for c, name in keep.items()]
+    return documents.select(*kept, marked.alias("marked_"), F.when(has, vocabulary.words(whole)).alias("words_"))
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch with at most ``PART`` words together (or one row)."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words_")), 0).to_numpy(zero_copy_only=False))
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Consecutive rows of a batch with at most ``PART`` bytes of marked text together (or one row), and their words."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("marked_")), PART).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
-        yield batch.slice(at, stop - at)
+        part = batch.slice(at, stop - at)
+        yield part, _words(part.column("marked_"), part.column("words_"))
         at = stop
 
 
+def _words(marked: pa.Array, plain: pa.Array) -> pa.ListArray:
+    """The words of each text: every second piece between marks, or the given array."""
+    pieces = pc.split_pattern(pc.fill_null(marked, ""), MARK)
+    sizes = pc.list_value_length(pieces).to_numpy(zero_copy_only=False) // 2
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    edges = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    # A text has one piece more than twice its words.
+    values = pieces.flatten().take(pa.array(2 * np.arange(len(text)) + 1 + text))
+    words = pa.ListArray.from_arrays(pa.array(edges), values)
+    if plain.null_count == len(plain):
+        return words
+    given = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(plain), 0).to_numpy(zero_copy_only=False))).astype(np.int32)), plain.flatten())
+    row = np.arange(len(plain))
+    return pa.concat_arrays([words, given]).take(pa.array(np.where(plain.is_null().to_numpy(zero_copy_only=False), row, row + len(row))))
+
+
 def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """(word, count) over all texts; batches and tasks add up what they have read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                counted = pc.value_counts(part.column("words_").flatten())
+            for _, words in _parts(batch):
+                counted = pc.value_counts(words.flatten())
                 yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "count"])
 
-    return _split(documents, vocabulary, text, []).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return _split(documents, vocabulary, text, {}).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", number: int = FREQUENT) -> pa.Table:
@@ -280,17 +350,16 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None
     known = documents.sparkSession.sparkContext.broadcast((frequent_words(documents, vocabulary, text, number), vocabulary.ranks))
     names = [c for c in (documents.columns if keep is None else keep) if c != "ids"]
     inner = [f"c{i}" for i in range(len(names))]
-    split = documents.select(*[documents[f"`{c}`"].alias(i) for c, i in zip(names, inner, strict=True)], vocabulary.words(documents[f"`{text}`"]).alias("words_"))
+    split = _split(documents, vocabulary, text, dict(zip(names, inner, strict=True)))
     fields = [StructField("pieces", ArrayType(ArrayType(IntegerType()))), StructField("other_words", ArrayType(StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranks = known.value
         for batch in batches:
-            for part in _parts(batch):
-                words = part.column("words_")
+            for part, words in _parts(batch):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), *_marked(words, _long(words, ranks, table))], [*inner, "pieces", "other_words"])
 
-    marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name != "words_"), *fields]))
+    marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name not in ("marked_", "words_")), *fields]))
     folded = F.struct("pieces", F.transform("other_words", vocabulary.folded).alias("words"))
     # Bound to a name, so that the fold runs once per text and not once per piece.
     place = lambda x: F.flatten(F.transform(x["pieces"], lambda p: F.when(F.get(p, F.lit(0)) >= 0, p).otherwise(F.get(x["words"], -1 - F.get(p, F.lit(0))))))
@@ -309,23 +378,33 @@ def digest(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
     for word, rank in vocabulary.ranks.items():
         pieces[rank] = word
-    shared = documents.sparkSession.sparkContext.broadcast(pieces)
+    # Each id as decimal digits and a comma, and each id's bytes.
+    shared = documents.sparkSession.sparkContext.broadcast((pa.array([b"%d," % i for i in range(len(pieces))], pa.binary()), pa.array(pieces, pa.binary())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, texts = shared.value, [str(i).encode() for i in range(len(shared.value))]
         for batch in batches:
             lists = batch.column("ids")
-            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            out: list[tuple[str, str]] = []
-            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                ids_hash, text_hash = hashlib.sha256(), hashlib.sha256()
-                for at in range(start, stop, HASHED):
-                    some = flat[at : min(stop, at + HASHED)].tolist()
-                    ids_hash.update((b"," if at > start else b"") + b",".join([texts[i] for i in some]))
-                    text_hash.update(b"".join([pieces[i] for i in some]))
-                out.append((ids_hash.hexdigest(), text_hash.hexdigest()))
-            hashes = [pa.array([o[k] for o in out], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            edges, flat = lists.offsets.to_numpy(), lists.values
+            hashes = [[hashlib.sha256() for _ in range(len(lists))] for _ in (0, 1)]
+            row = 0
+            for at in range(int(edges[0]), int(edges[-1]), HASHED):
+                stop = min(int(edges[-1]), at + HASHED)
+                # Taken bytes lie side by side, so those of a text are one slice of them.
+                taken = [values.take(flat.slice(at, stop - at)) for values in shared.value]
+                bounds = [np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1] for t in taken]
+                data = [memoryview(t.buffers()[2]) if t.buffers()[2] else memoryview(b"") for t in taken]
+                while row < len(lists) and edges[row] < stop:
+                    a, b = max(at, int(edges[row])) - at, min(stop, int(edges[row + 1])) - at
+                    last = edges[row + 1] <= stop
+                    if b > a:
+                        # No comma after the last id of a text.
+                        hashes[0][row].update(data[0][int(bounds[0][a]) : int(bounds[0][b]) - int(last)])
+                        hashes[1][row].update(data[1][int(bounds[1][a]) : int(bounds[1][b])])
+                    if not last:
+                        break
+                    row += 1
+            sums = [pa.array([h.hexdigest() for h in some], pa.string()) for some in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kinds = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     return found.mapInArrow(run, StructType([found.schema["doc_id"], *kinds]))
