@@ -39,3 +39,20 @@ def test_log_is_read_twice_whatever_the_number_of_windows(spark):
     assert scans(2) == scans(200) <= 3
     with pytest.raises(ValueError):
         panes.sliding_snapshots(query_log(spark, SF), 60, 0)
+
+
+def test_times_are_dealt_only_to_the_windows_that_want_them(spark):
+    """Every window of 24 panes used to get a copy of every time."""
+    rows = [(datetime(2024, 1, 1 + i // 600, i // 25 % 24, i % 60), f"s{i % 2}", 1.0 + (i * 7919 % 3001) ** 1.5) for i in range(1800)]
+    log = spark.createDataFrame(rows, "at timestamp_ntz, fp string, ms double")
+    counts = log.select(F.date_trunc("hour", F.col("at").cast("timestamp")).cast("timestamp_ntz").alias("pane"), F.encode("fp", "utf-8").alias("_fp"), F.col("ms").alias("execution_time_ms")).groupBy("pane", "_fp", "execution_time_ms").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r["window_end"], bytes(r["_fp"]).decode()): tuple(r[n] for n in panes.QUANTILES) for r in panes._window_ranks(counts, 60, 24, 1).collect()}
+    want = {}
+    for at, fp, ms in rows:
+        hour = at.replace(minute=0)
+        for k in range(1, 25):
+            want.setdefault((hour + timedelta(hours=k), fp), []).append(ms)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        values.sort()
+        assert got[key] == tuple(values[int(len(values) * q)] for q in panes.QUANTILES.values())

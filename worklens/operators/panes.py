@@ -3,18 +3,24 @@
 A pane is a stretch of time that every window holds wholly or not at all. Rows are reduced to
 one partial aggregate per pane and fingerprint, and to counts of equal execution times. A
 window adds up the panes it covers, so a day that slides by the hour costs 24 partial rows per
-fingerprint, not 24 times its rows; percentiles stay exact, since they are ranks over counts.
+fingerprint, not 24 times its rows.
+
+Percentiles stay exact, since they are ranks over counts, in two steps. Windows add up counts
+per slot of times, a bounded number for each pane, and find the slots that hold the wanted
+ranks. Only the times in those slots are then dealt to the windows that want them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklens.operators.ranks import nearest_ranks
+from worklens.operators.ranks import slot
 from worklens.operators.workload import COLUMNS, QUANTILES, RESOURCES, impact_score, with_fingerprint
 
 KEYS = ["window_start", "window_end"]
+#: Finer slots are more rows in the first step and fewer in the second.
+SLOTS_PER_OCTAVE = 8
 
 
 def _covering(pane: Column, minutes: int, panes: int) -> Column:
@@ -23,6 +29,33 @@ def _covering(pane: Column, minutes: int, panes: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(panes)), lambda i: pane + step * i)
 
 
+def _window_ranks(counts: DataFrame, minutes: int, panes: int, min_rows: int) -> DataFrame:
+    """Percentiles per window and fingerprint, from counts ``n`` per pane, fingerprint and time."""
+    value = F.col("execution_time_ms")
+    cells = counts.withColumn("_slot", slot(value, SLOTS_PER_OCTAVE))
+    group = Window.partitionBy("window_end", "_fp")
+    upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index = {name: F.floor(F.col("_total") * F.lit(float(q))) for name, q in QUANTILES.items()}
+    wanted = F.lit(False)
+    for place in index.values():
+        wanted = wanted | ((place >= F.col("_below")) & (place < F.col("_below") + F.col("_size")))
+    slots = (
+        cells.groupBy("pane", "_fp", "_slot").agg(F.sum("n").alias("n"))
+        .withColumn("window_end", F.explode(_covering(F.col("pane"), minutes, panes)))
+        .groupBy("window_end", "_fp", "_slot").agg(F.sum("n").alias("_size"))
+        .withColumn("_below", F.sum("_size").over(upto) - F.col("_size"))
+        .withColumn("_total", F.sum("_size").over(group))
+        .filter((F.col("_total") >= min_rows) & wanted)
+        .withColumn("pane", F.explode(_covering(F.col("window_end"), -minutes, panes)))
+        .drop("_size")
+    )
+    # A time that several panes have comes in several rows, which the running count allows.
+    inside = Window.partitionBy("window_end", "_fp", "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.join(slots, ["pane", "_fp", "_slot"]).withColumn("_last", F.col("_below") + F.sum("n").over(inside))
+    found = [F.min(F.when(F.col("_last") > place, value)).alias(name) for name, place in index.items()]
+    return placed.groupBy("window_end", "_fp").agg(*found)
+
+
 def sliding_snapshots(log: DataFrame, pane_minutes: int = 60, panes: int = 24, min_query_count: int = 5, **flags: bool) -> DataFrame:
     """Snapshots of all windows of ``panes`` panes, one ending with each pane, stamped with their end.
 
@@ -60,9 +93,10 @@ def sliding_snapshots(log: DataFrame, pane_minutes: int = 60, panes: int = 24, m
         )
         .filter(F.col("execution_count") >= min_query_count)
     )
-    counts = rows.filter(ms.isNotNull()).groupBy("pane", "_fp", "execution_time_ms").agg(F.count(F.lit(1)).alias("n"))
-    values = counts.withColumn("window_end", ends).select("window_end", "_fp", "execution_time_ms", "n")
-    ranks = nearest_ranks(values, ["window_end", "_fp"], "execution_time_ms", QUANTILES, min_query_count, weight="n")
+    # Keys that are never null, so that both readers of the counts share one shuffle (worklens.operators.ranks).
+    known = rows.filter(ms.isNotNull() & F.col("ts").isNotNull()).withColumn("pane", F.coalesce("pane", F.lit("1970-01-01").cast("timestamp_ntz")))
+    counts = known.groupBy("pane", "_fp", "execution_time_ms").agg(F.count(F.lit(1)).alias("n"))
+    ranks = _window_ranks(counts, pane_minutes, panes, min_query_count)
     return (
         totals.join(ranks, ["window_end", "_fp"])
         .withColumns(

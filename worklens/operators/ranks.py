@@ -20,8 +20,8 @@ SLOTS_PER_OCTAVE = 1024
 _SMALLEST = 1e-6
 
 
-def _slot(value: Column) -> Column:
-    size = F.floor(F.log2(F.abs(value) / F.lit(_SMALLEST) + 1) * SLOTS_PER_OCTAVE)
+def slot(value: Column, per_octave: int = SLOTS_PER_OCTAVE) -> Column:
+    size = F.floor(F.log2(F.abs(value) / F.lit(_SMALLEST) + 1) * per_octave)
     # Never NULL, so that the join on slots adds no filter to one of its sides and both
     # sides can read the same shuffle of the cells.
     return F.coalesce(F.when(value < 0, -size).otherwise(size), F.lit(0))
@@ -43,7 +43,7 @@ def nearest_ranks(
         rows.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-        .withColumn("_slot", _slot(F.col(value)))
+        .withColumn("_slot", slot(F.col(value)))
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
