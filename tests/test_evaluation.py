@@ -88,3 +88,15 @@ def test_response_parsing(spark):
 def test_unique_key_ignores_null_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 1), (None, 1)], "k string, n int")
     assert [(r["k"], r["copies"]) for r in listings.unique_key_violations(df, ["k", "n"]).collect()] == [("a", 2)]
+
+
+def test_long_scores_join_no_sides_and_nulls_match_nothing(spark):
+    """Both sides used to be held and sorted in one task to be joined."""
+    got = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, None, 3), (None, 5, 1), (2, 4, None), (2, 4, 9), (3, 1, 1), (3, 1, 2)], "q long, item long, rank int")
+    want = spark.createDataFrame([(1, 8), (1, 8), (1, None), (None, 5), (2, 4), (4, 1), (3, 1)], "q long, item long")
+    out = evaluation.scored_long(got, want, "q", k=3)
+    rows = {r["q"]: tuple(r)[1:] for r in out.collect()}
+    assert rows == {
+        1: (0.5, 1 / 3, 1 / 3), None: (0.0, 0.0, 0.0), 2: (1 / 9, 0.0, 0.0), 3: (1.0, 0.5, 1.0), 4: (0.0, 0.0, 0.0),
+    }
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

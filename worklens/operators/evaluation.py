@@ -40,16 +40,22 @@ def scored_long(retrieved: DataFrame, relevant: DataFrame, key: str, k: int = K)
     """The same measures for golden data in long form, for sets too wide for arrays.
 
     ``retrieved`` has (key, item, rank) with rank from 1; ``relevant`` has (key, item).
-    Both sides are combined before they meet and matched on (key, item), so one query
-    with very many items is spread over all tasks.
+    The rows of both sides are counted together by (key, item), so one query with very many
+    items is spread over all tasks, and no side is sorted or held beside the other. A null
+    key or item matches nothing: there the sides are counted apart.
     """
-    wanted = relevant.groupBy(key, "item").agg(F.count(F.lit(1)).alias("_copies"))
-    per_item = retrieved.groupBy(key, "item").agg(
-        F.min("rank").alias("_first"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("rank") <= k).alias("_n_top"),
+    number = F.lit(1).cast("bigint")
+    got = retrieved.select(key, "item", "rank", F.lit(None).cast("bigint").alias("_copy"))
+    want = relevant.select(key, "item", F.lit(None).alias("rank"), number.alias("_copy"))
+    side = F.when(F.col(key).isNull() | F.col("item").isNull(), F.col("_copy").isNull())
+    both = (
+        got.unionByName(want).groupBy(key, "item", side.alias("_side"))
+        .agg(
+            F.sum("_copy").alias("_copies"),
+            F.min("rank").alias("_first"),
+            F.count_if(F.col("_copy").isNull() & (F.col("rank") <= k)).alias("_n_top"),
+        )
     )
-    both = per_item.join(wanted, [key, "item"], "full_outer")
     hit = F.col("_copies").isNotNull() & F.col("_first").isNotNull()
     per_key = both.groupBy(key).agg(
         F.min(F.when(hit, F.col("_first"))).alias("_best"),
