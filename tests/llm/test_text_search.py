@@ -282,3 +282,15 @@ def test_bpe_digests_of_texts_over_several_blocks(spark):
         raw = (texts[row["doc_id"]] or "").encode()
         assert row["n_tokens"] == len(raw) and row["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, raw)).encode()).hexdigest()
+
+
+def test_stretches_do_not_depend_on_chunks_that_fit_a_cache(monkeypatch):
+    assert column_bwt_dedup._CHUNK * 8 <= 1 << 20
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab c") for _ in range(n)).encode() for n in (0, 49, 50, 3000, 90_000, 700)]
+    found = []
+    for chunk in (column_bwt_dedup._CHUNK, 1 << 20, 97):
+        monkeypatch.setattr(column_bwt_dedup, "_CHUNK", chunk)
+        s = column_bwt_dedup.Stretches(texts)
+        found.append([a.tolist() for a in (s.text, s.anchor, s.content, s.first, s.last)])
+    assert found[0] == found[1] == found[2]

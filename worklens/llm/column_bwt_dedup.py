@@ -48,8 +48,8 @@ LENGTH, GRAM = 50, 24
 HOT_SHARE, HOT_LEAST = 0.005, 64.0
 #: Strings indexed at a time (whole anchors; a larger one is alone).
 STRINGS = 1 << 10
-#: Windows looked at together.
-_CHUNK = 1 << 20
+#: Windows looked at together; their arrays fit a core's cache.
+_CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 21) - 1)
 
 
