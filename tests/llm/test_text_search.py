@@ -294,3 +294,17 @@ def test_stretches_do_not_depend_on_chunks_that_fit_a_cache(monkeypatch):
         s = column_bwt_dedup.Stretches(texts)
         found.append([a.tolist() for a in (s.text, s.anchor, s.content, s.first, s.last)])
     assert found[0] == found[1] == found[2]
+
+
+def test_stretches_of_many_texts_are_found_block_by_block(monkeypatch):
+    """Arrays over a whole slice of texts leave the cache and are made anew each time."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abc ", k=draw.randint(0, 900))).encode() for _ in range(600)]
+    sizes, block = [], column_bwt_dedup._Block
+    monkeypatch.setattr(column_bwt_dedup, "_Block", lambda raw, edges: sizes.append(len(raw)) or block(raw, edges))
+    found = column_bwt_dedup.Stretches(texts)
+    assert sum(sizes) == len(found.raw) and len(sizes) > 1 and max(sizes) <= column_bwt_dedup._CHUNK
+    alone = column_bwt_dedup.Stretches(texts[570:571])
+    own = found.text == 570
+    assert found.content[own].tolist() == alone.content.tolist()
+    assert (found.first[own] - found.edges[570]).tolist() == alone.first.tolist()

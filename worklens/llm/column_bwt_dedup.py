@@ -48,44 +48,67 @@ LENGTH, GRAM = 50, 24
 HOT_SHARE, HOT_LEAST = 0.005, 64.0
 #: Strings indexed at a time (whole anchors; a larger one is alone).
 STRINGS = 1 << 10
-#: Windows looked at together; their arrays fit a core's cache.
+#: Bytes of texts, and windows of a longer text, looked at together; their arrays fit a core's cache.
 _CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 21) - 1)
 
 
 class Stretches:
-    """Stretches of some texts: anchor and content hash, text number, first and last window (byte offsets within the text)."""
+    """Stretches of some texts: anchor and content hash, text number, first and last window (byte offsets within the joined texts)."""
 
     def __init__(self, texts: list[bytes], cut: np.ndarray | None = None) -> None:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.edges = np.append(0, np.cumsum(sizes))
-        up, down = powers(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=sums[1:])
-        self._sums, self._down = sums, down
-        over = np.zeros(len(self.raw) + 1, np.int32)
-        np.add.at(over, np.maximum(self.edges[1:] - LENGTH + 1, self.edges[:-1]), 1)
-        np.add.at(over, self.edges[1:], -1)
-        self._whole = np.cumsum(over[:-1]) == 0
-        found = [self._of(a, min(a + _CHUNK, len(self.raw) - LENGTH + 1)) for a in range(0, max(0, len(self.raw) - LENGTH + 1), _CHUNK)]
+        self.edges = np.append(0, np.cumsum(np.array([len(t) for t in texts], np.int64)))
+        found, at = [], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(self.edges, self.edges[at] + _CHUNK, "right")) - 1)
+            base = self.edges[at]
+            text, first, last, anchor, content = _Block(self.raw[base : self.edges[stop]], self.edges[at : stop + 1] - base).stretches(cut)
+            found.append((text + at, first + base, last + base, anchor, content))
+            at = stop
+        none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        self.text, self.first, self.last, self.anchor, self.content = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+
+
+class _Block:
+    """Some whole texts side by side, few enough for a core's cache (one text alone may be larger)."""
+
+    def __init__(self, raw: np.ndarray, edges: np.ndarray) -> None:
+        self.edges, self.size = edges, len(raw)
+        up, self._down = powers(self.size + 1)
+        self._sums = np.zeros(self.size + 1, np.uint64)
+        for a in range(0, self.size, _CHUNK):
+            b = min(a + _CHUNK, self.size)
+            terms = raw[a:b].astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= up[a:b]
+            terms[:1] += self._sums[a : a + 1]
+            np.cumsum(terms, out=self._sums[a + 1 : b + 1])
+        # Windows that reach over the end of a text are none.
+        over = edges[1:, None] - np.arange(1, LENGTH)
+        self._whole = np.ones(self.size, bool)
+        self._whole[over[over >= edges[:-1, None]]] = False
+
+    def stretches(self, cut: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Text, first and last window, anchor and content hash of each stretch."""
+        found = [self._of(a, min(a + _CHUNK, self.size - LENGTH + 1)) for a in range(0, max(0, self.size - LENGTH + 1), _CHUNK)]
         text, first, last, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
-        # A stretch over a chunk border comes in two parts with one anchor place. Joined, stretches depend on their text only.
-        fresh = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
-        text, first, last, place = text[fresh], first[fresh], last[np.append(fresh[1:], len(place))[: len(fresh)] - 1], place[fresh]
+        if len(found) > 1:
+            # A stretch over a chunk border comes in two parts with one anchor place. Joined, stretches depend on their text only.
+            fresh = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+            text, first, last, place = text[fresh], first[fresh], last[np.append(fresh[1:], len(place))[: len(fresh)] - 1], place[fresh]
         anchor = self.hashed(place, place + GRAM)
         if cut is not None and len(cut) and len(anchor):
-            hot = cut[np.minimum(np.searchsorted(cut, anchor), len(cut) - 1)] == anchor
-            number = np.where(hot, last - first + 1, 1)
-            within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-            hot = np.repeat(hot, number)
-            text, first, last, anchor = (np.repeat(x, number) for x in (text, first, last, anchor))
-            first = np.where(hot, first + within, first)
-            last = np.where(hot, first, last)
-            anchor = np.where(hot, self.hashed(first, last + LENGTH), anchor)
-        self.text, self.anchor = text, anchor
-        self.content = mix(self.hashed(first, last + LENGTH) ^ (anchor * np.uint64(3)))
-        self.first, self.last = first, last
+            hot = _found(anchor, cut) >= 0
+            if hot.any():
+                number = np.where(hot, last - first + 1, 1)
+                within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                hot = np.repeat(hot, number)
+                text, first, last, anchor = (np.repeat(x, number) for x in (text, first, last, anchor))
+                first = np.where(hot, first + within, first)
+                last = np.where(hot, first, last)
+                anchor = np.where(hot, self.hashed(first, last + LENGTH), anchor)
+        return text, first, last, anchor, mix(self.hashed(first, last + LENGTH) ^ (anchor * np.uint64(3)))
 
     def hashed(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self._sums[stop] - self._sums[start]) * self._down[start])
@@ -93,7 +116,8 @@ class Stretches:
     def _of(self, start: int, stop: int) -> tuple[np.ndarray, ...]:
         """Stretches of the windows that begin in [start, stop)."""
         end = stop + LENGTH - GRAM
-        least = (self._sums[start + GRAM : end + GRAM] - self._sums[start:end]) * self._down[start:end]
+        least = self._sums[start + GRAM : end + GRAM] - self._sums[start:end]
+        least *= self._down[start:end]
         least ^= least >> np.uint64(32)
         least *= np.uint64(0x9E3779B97F4A7C15)
         least &= ~_PLACE
@@ -101,17 +125,14 @@ class Stretches:
         span, want = 1, LENGTH - GRAM + 1
         while 2 * span <= want:
             least, span = np.minimum(least[:-span], least[span:]), 2 * span
-        least = np.minimum(least[: stop - start], least[want - span : want - span + stop - start])
-        # Windows that reach over the end of a text are none. Their places are gaps, so stretches end there too.
-        windows = np.flatnonzero(self._whole[start:stop])
-        place = least[windows] & _PLACE
-        fresh = np.ones(len(windows), bool)
-        fresh[1:] = place[1:] != place[:-1]
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(windows))[: len(first)] - 1
-        begin = windows[first] + start
-        text = np.searchsorted(self.edges, begin, "right") - 1
-        return text, begin, windows[last] + start, place[first].astype(np.int64) + start
+        place = (np.minimum(least[: stop - start], least[want - span : want - span + stop - start]) & _PLACE).astype(np.int32)
+        whole, change = self._whole[start:stop], place[1:] != place[:-1]
+        begins, ends = whole.copy(), whole.copy()
+        begins[1:] &= change | ~whole[:-1]
+        ends[:-1] &= change | ~whole[1:]
+        begin = np.flatnonzero(begins)
+        text = np.searchsorted(self.edges, begin + start, "right") - 1
+        return text, begin + start, np.flatnonzero(ends) + start, place[begin].astype(np.int64) + start
 
 
 class Collection:
@@ -194,7 +215,11 @@ def _hot(documents: DataFrame, least: float, values) -> DataFrame:
             for part, texts in slices(batch, "text"):
                 found, ids = values(texts), part.column("doc_id").to_numpy(zero_copy_only=False)
                 key, text = found
-                order = np.lexsort((ids[text], key))
+                # Most keys stand once in a slice; only the others are sorted with their documents.
+                order = np.argsort(key)
+                alike = key[order[1:]] == key[order[:-1]]
+                order = order[np.append(alike, False) | np.append(False, alike)] if len(order) else order
+                order = order[np.lexsort((ids[text[order]], key[order]))]
                 key, text = key[order], text[order]
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
@@ -227,10 +252,10 @@ def _listed(documents: DataFrame, cut, hot) -> DataFrame:
                 settled = _settled(found, ids, hot.value)
                 marked = np.unique(found.text[settled])
                 open_ = np.flatnonzero(~settled)
-                order = open_[np.lexsort((found.content[open_], found.text[open_]))]
+                order = open_[np.argsort(_keys(found.content[open_].view(np.int64), found.text[open_]))]
                 fresh = np.ones(len(order), bool)
                 fresh[1:] = (found.content[order[1:]] != found.content[order[:-1]]) | (found.text[order[1:]] != found.text[order[:-1]])
-                order = order[fresh]
+                order = np.sort(order[fresh])
                 anchor = np.concatenate([found.anchor[order], mix(ids[marked].astype(np.uint64))]).view(np.int64)
                 content = np.concatenate([found.content[order], np.zeros(len(marked), np.uint64)]).view(np.int64)
                 doc = np.concatenate([ids[found.text[order]], ids[marked]])
