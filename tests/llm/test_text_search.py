@@ -308,3 +308,19 @@ def test_stretches_of_many_texts_are_found_block_by_block(monkeypatch):
     own = found.text == 570
     assert found.content[own].tolist() == alone.content.tolist()
     assert (found.first[own] - found.edges[570]).tolist() == alone.first.tolist()
+
+
+def test_secrets_are_learned_from_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(secret_cnn, "EPOCHS", 2)
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choices("0123456789ABCDEFGHJK", k=n)).encode()
+    rows = [(secret_cnn.windows(b"key = " + w, 6, 6 + len(w))[0], i % 2 == 0) for i, w in enumerate(word(20) for _ in range(9000))]
+    seen = []
+    calibrate = secret_cnn.Network.calibrate
+    monkeypatch.setattr(secret_cnn.Network, "calibrate", lambda self, steps, labels, counts: seen.append(int(counts.sum())) or calibrate(self, steps, labels, counts))
+    table = spark.createDataFrame(rows, "seen binary, finding boolean")
+    first = secret_cnn.learned(table)
+    # Every shard sets a quarter of its candidates and of the generated ones apart.
+    assert abs(seen[0] - 0.25 * (9000 + 3 * 2 * secret_cnn.GENERATED)) <= 3
+    again = secret_cnn.learned(table.repartition(7))
+    assert first.cut == again.cut and all((first.values[k] == again.values[k]).all() for k in first.values)

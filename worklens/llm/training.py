@@ -34,13 +34,13 @@ class Adam:
             value -= size * mean / (np.sqrt(square) + 1e-8) + self.rate * decay * value
 
 
-def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits with the least logistic loss."""
+def temperature(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The divisor of the logits with the least logistic loss; each counts once, or as often as ``counts`` says."""
     if not len(logits) or labels.min() == labels.max():
         return 1.0
     grid = np.exp(np.linspace(np.log(0.2), np.log(10), 80))
     sign = np.where(labels > 0, 1.0, -1.0)
-    loss = [np.logaddexp(0, -sign * logits / t).mean() for t in grid]
+    loss = [np.average(np.logaddexp(0, -sign * logits / t), weights=counts) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
@@ -49,8 +49,13 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     if not len(logits) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(logits)
-    x, y = logits[order], labels[order] > 0
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((~y)[::-1])[::-1], [0]])
+    y = labels[order] > 0
+    return counted_cut(logits[order], y, ~y)
+
+
+def counted_cut(x: np.ndarray, hits: np.ndarray, misses: np.ndarray) -> float:
+    """The same from ascending logits, with the number of either label at each."""
+    wrong = np.concatenate([[0], np.cumsum(hits)]) + np.concatenate([np.cumsum(misses[::-1])[::-1], [0]])
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
     gaps = np.concatenate([[0], x[1:] - x[:-1], [0]])
     least = np.flatnonzero(wrong == wrong.min())
