@@ -324,3 +324,18 @@ def test_secrets_are_learned_from_all_candidates(spark, monkeypatch):
     assert abs(seen[0] - 0.25 * (9000 + 3 * 2 * secret_cnn.GENERATED)) <= 3
     again = secret_cnn.learned(table.repartition(7))
     assert first.cut == again.cut and all((first.values[k] == again.values[k]).all() for k in first.values)
+
+
+def test_bpe_tables_stand_in_no_plan_and_no_row(spark):
+    """The driver keeps the text of plans, and a row that held a table would be megabytes long."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a few words", "en", "web"), (2, None, "en", "web")], "doc_id long, text string, lang string, source string")
+    found = corpus_pipeline.encode(spark, docs, "")
+    assert [(r["doc_id"], r["round_trip"]) for r in sorted(found.collect())] == [(1, True), (2, True)]
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    alone = byte_bpe.encoded(docs, byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN))
+    assert len(alone._jdf.queryExecution().toString()) < 200_000
+    for frame in (alone, found):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Subquery" in plan and not any("table_" in line for line in plan.split("Subqueries")[0].splitlines() if "Project [" in line)

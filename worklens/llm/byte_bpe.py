@@ -2,8 +2,8 @@
 
 A word is the array of the ids of its bytes, and the ranked merges are a fold over it: the
 accumulator holds, for every place, its id and the id of what it and its neighbour join to, as
-one number. Each step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are a
-literal: one flat array of numbers, each a pair of ids with the id of the joined bytes, at one of two places that
+one number. Each step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are the
+result of a scalar subquery (as a literal they would stand in the text of every plan): one flat array of numbers, each a pair of ids with the id of the joined bytes, at one of two places that
 the remainders of the pair's number name (cuckoo hashing), since Spark searches a map from front to back. A word
 that is a token as a whole is that token, as in the library. Nearly always the fold ends there too; tokens that
 it does not reach are found when the vocabulary is read, and are a second literal.
@@ -32,12 +32,12 @@ import hashlib
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -55,8 +55,6 @@ FOLDED = 256
 WORD_MAPS = 1 << 8
 #: Ids are below this, so that three of them are one number; more ids than any folded word has.
 PAIR, MOST = 1 << 21, 1 << 20
-#: Stands for an id where a pair joins to none.
-NONE = 1 << 38
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +75,21 @@ def _looked_up(literal: Column, maps: int, key: Column) -> Column:
     return F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % maps).cast("int")), key)
 
 
+def with_table(frame: DataFrame, values: list, kind: pa.DataType) -> DataFrame:
+    """The frame with an array as column ``table_``, for use once in the select that follows.
+
+    Spark evaluates the subquery once and puts its result in place of the column, so rows do not hold
+    it. A literal would stand in the text of every plan, which the driver keeps.
+    """
+    table = frame.sparkSession.createDataFrame(pa.table({"table_": pa.array([values], pa.list_(kind))}))
+    return frame.select("*", table.scalar().alias("table_"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value bound to a name within an expression, by an array of one element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pair_ids(ranks: dict[bytes, int]) -> dict[int, int]:
     """Number of each pair of tokens that join to a token, with the id of that token."""
     out = {}
@@ -101,10 +114,10 @@ def placed(pairs: dict[int, int]) -> tuple[list[int], int, int]:
     A pair stands in the first part at its remainder by that part's size, or in the second
     likewise. Empty places hold -1.
     """
-    size = max(7, len(pairs) * 4 // 3)
+    # The first part is mostly empty. What ends at an empty first place is in no other: nothing ever leaves a place empty.
+    size = max(7, len(pairs))
     while True:
-        primes = _primes(size)
-        first, second = next(primes), next(primes)
+        first, second = next(_primes(size * 5 // 2)), next(_primes(size * 5 // 4))
         slots = [-1] * (first + second)
         if all(_put(slots, first, second, pair * PAIR + rank) for pair, rank in pairs.items()):
             return slots, first, second
@@ -171,66 +184,68 @@ class Vocabulary:
         apart = {word.decode("latin-1"): rank for word, rank in ranks.items() if len(word) <= FOLDED and not reached(word, rank)}
         self.whole = _literal(apart, WORD_MAPS, "int") if apart else None
         slots, self.first, self.second = placed(pair_ids(ranks))
-        self.pairs = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
+        self.slots = slots
         self.octets = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<int>")
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             hexes[rank] = word.hex()
-        self.bytes = F.split(F.lit(",".join(hexes)), ",")
+        self.hexes = hexes
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def folded(self, word: Column) -> Column:
-        """The ids of one word."""
-        # A one-element array binds a value to a name within an expression. The literals are bound
-        # so that each is in the plan, and is sent to every task, once.
-        let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-
-        def joined(pairs: Column, left: Column, right: Column) -> Column:
-            """The id of two neighbours joined; null if they are no token together, or one is missing."""
-            bits = PAIR.bit_length() - 1
-            at = lambda pair, place, other: let(F.get(pairs, place.cast("int")), lambda x: F.when(F.shiftright(x, bits) == pair, x.bitwiseAND(F.lit(PAIR - 1))).otherwise(other))
-            second = lambda pair: at(pair, pair % self.second + self.first, F.lit(None).cast("long"))
-            return let(left * PAIR + right, lambda pair: at(pair, pair % self.first, second(pair)))
-
-        # A cell is the id of a place and, above it, what it and its right neighbour join to. So the
-        # least of the upper parts is the pair of least rank; its place goes below, so that the
-        # leftmost is found by a minimum (array_position unwinds by an exception, which is slow).
-        id_of = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
+    def folded(self, word: Column, pairs: Column | None = None) -> Column:
+        """The ids of one word; ``pairs`` is ``slots`` as a column, else a literal."""
+        if pairs is None:
+            literal = F.from_json(F.lit(json.dumps(self.slots, separators=(",", ":"))), "array<bigint>")
+            return _let(literal, lambda pairs: self.folded(word, pairs))
 
-        def cell(pairs: Column, left: Column, right: Column) -> Column:
-            return F.coalesce(joined(pairs, left, right), F.lit(NONE)) * PAIR + left
+        def found(latin: Column) -> Column:
+            by_merges = self._merged(latin, pairs)
+            if self.whole is None:
+                return by_merges
+            return _let(_looked_up(self.whole, WORD_MAPS, latin), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(by_merges))
+
+        return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), found)
 
-        def step(pairs: Column, cells: Column) -> Column:
-            def join(id_: Column, at: Column) -> Column:
-                two = F.array(cell(pairs, id_of(F.get(cells, at - 1)), id_), cell(pairs, id_, id_of(F.get(cells, at + 2))))
-                return F.concat(F.slice(cells, F.lit(1), at - 1), two, F.slice(cells, at + 3, F.lit(MOST)))
+    def _merged(self, latin: Column, pairs: Column) -> Column:
+        """The ids that merges give for bytes, as a fold over the steps."""
+        # A cell is the id of a place and, above room for that place, what it and its right neighbour
+        # join to. With the places added, the least cell is the leftmost pair of least rank
+        # (array_position unwinds by an exception, which is slow).
+        above, bits = PAIR.bit_length() + MOST.bit_length() - 2, PAIR.bit_length() - 1
+        id_of = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
 
-            least = F.array_min(F.transform(cells, lambda c, i: F.shiftright(c, PAIR.bit_length() - 1) * MOST + i))
-            split = lambda x: join(F.shiftright(x, MOST.bit_length() - 1), x.bitwiseAND(F.lit(MOST - 1)).cast("int"))
+        def cell(pair: Column) -> Column:
+            """The cell of the left one of two neighbours."""
+            rank = lambda x, other: F.when(F.shiftright(x, bits) == pair, x.bitwiseAND(F.lit(PAIR - 1))).otherwise(other)
+            slot = lambda place: F.get(pairs, place.cast("int"))
+            second = _let(slot(pair % self.second + self.first), lambda x: rank(x, F.lit(PAIR).cast("long")))
+            joined = _let(slot(pair % self.first), lambda x: rank(x, F.when(x < 0, F.lit(PAIR).cast("long")).otherwise(second)))
+            return F.shiftleft(joined, above) + F.shiftright(pair, bits)
+
+        def join(cells: Column, id_: Column, at: Column) -> Column:
+            two = F.array(id_of(F.get(cells, at - 1)) * PAIR + id_, id_ * PAIR + F.coalesce(id_of(F.get(cells, at + 2)), F.lit(PAIR - 1)))
+            return F.flatten(F.array(F.slice(cells, F.lit(1), at - 1), F.transform(two, cell), F.slice(cells, at + 3, F.lit(MOST))))
+
+        def step(cells: Column) -> Column:
+            least = F.array_min(F.transform(cells, lambda c, i: c + F.shiftleft(i.cast("long"), bits)))
+            split = lambda x: join(cells, F.shiftright(x, above), F.shiftright(x, bits).bitwiseAND(F.lit(MOST - 1)).cast("int"))
             # Once nothing joins, the mark in front becomes -1, and later steps do nothing.
             ended = F.concat(F.array(F.lit(-1).cast("long")), F.slice(cells, 2, MOST))
-            return F.when(F.get(cells, F.lit(0)) < 0, cells).otherwise(let(least, lambda x: F.when(x < NONE * MOST, split(x)).otherwise(ended)))
-
-        def fold(latin: Column, pairs: Column) -> Column:
-            # A mark before the first id, so that every pair has a neighbour on its left; the last id has no pair.
-            ids = F.concat(F.array(F.lit(PAIR - 1).cast("long")), F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c)).cast("long")))
-            start = let(ids, lambda x: F.transform(x, lambda a, i: cell(pairs, a, F.get(x, i + 1))))
-            steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-            return F.aggregate(steps, start, lambda cells, _: step(pairs, cells), lambda cells: F.transform(F.slice(cells, 2, MOST), lambda c: id_of(c).cast("int")))
-
-        def found(latin: Column) -> Column:
-            by_merges = let(self.pairs, lambda pairs: fold(latin, pairs))
-            if self.whole is None:
-                return by_merges
-            return let(_looked_up(self.whole, WORD_MAPS, latin), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(by_merges))
+            return F.when(F.get(cells, F.lit(0)) < 0, cells).otherwise(_let(least, lambda x: F.when(x < PAIR << above, split(x)).otherwise(ended)))
 
-        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), found)
+        # A mark before the first id and after the last, which no pair has, so that every place has a neighbour on either side.
+        mark = F.lit(PAIR - 1).cast("long")
+        octets = F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c)).cast("long"))
+        start = _let(F.concat(F.array(mark), octets), lambda x: F.transform(x, lambda a, i: cell(a * PAIR + F.coalesce(F.get(x, i + 1), mark))))
+        steps = F.sequence(F.lit(2), F.greatest(F.length(latin), F.lit(2)))
+        return F.aggregate(steps, start, lambda cells, _: step(cells), lambda cells: F.transform(F.slice(cells, 2, MOST), lambda c: id_of(c).cast("int")))
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of the ids, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.bytes, i)), ""))
+    def decoded(self, ids: Column, hexes: Column | None = None) -> Column:
+        """The bytes of the ids, concatenated; ``hexes`` is that attribute as a column, else a literal."""
+        hexes = F.split(F.lit(",".join(self.hexes)), ",") if hexes is None else hexes
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), ""))
 
 
 def _split(documents: DataFrame, vocabulary: Vocabulary, text: str, keep: dict[str, str]) -> DataFrame:
@@ -300,7 +315,7 @@ def frequent_words(documents: DataFrame, vocabulary: Vocabulary, text: str = "te
     chosen = counts.where(F.col("count") >= least)
     # As many tasks as set: the rows are small, but folding them is the work.
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(chosen.repartition(tasks, "word").select("word", vocabulary.folded(F.col("word")).alias("ids")), "frequent-words").toArrow()
+    return staged(with_table(chosen.repartition(tasks, "word").select("word"), vocabulary.slots, pa.int64()).select("word", _let(F.col("table_"), lambda pairs: vocabulary.folded(F.col("word"), pairs)).alias("ids")), "frequent-words").toArrow()
 
 
 def _marked(words: pa.Array, known: pa.Table) -> tuple[pa.Array, pa.Array]:
@@ -360,11 +375,11 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, keep: list[str] | None
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), *_marked(words, _long(words, ranks, table))], [*inner, "pieces", "other_words"])
 
     marked = split.mapInArrow(run, StructType([*(f for f in split.schema.fields if f.name not in ("marked_", "words_")), *fields]))
-    folded = F.struct("pieces", F.transform("other_words", vocabulary.folded).alias("words"))
+    folded = F.struct("pieces", _let(F.col("table_"), lambda pairs: F.transform("other_words", lambda word: vocabulary.folded(word, pairs))).alias("words"))
     # Bound to a name, so that the fold runs once per text and not once per piece.
     place = lambda x: F.flatten(F.transform(x["pieces"], lambda p: F.when(F.get(p, F.lit(0)) >= 0, p).otherwise(F.get(x["words"], -1 - F.get(p, F.lit(0))))))
     ids = F.when(F.size("other_words") == 0, F.flatten("pieces")).otherwise(F.get(F.transform(F.array(folded), place), F.lit(0)))
-    return marked.select(*inner, ids.alias("ids")).toDF(*names, "ids")
+    return with_table(marked, vocabulary.slots, pa.int64()).select(*inner, ids.alias("ids")).toDF(*names, "ids")
 
 
 #: Ids that are hashed at a time.
