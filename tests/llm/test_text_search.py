@@ -139,6 +139,28 @@ def test_collection_order_and_prefixes():
         assert [0 if s == strings[o] else strings[o][-len(s) - 1] + 1 if s else strings[o][-1] + 1 for s, o in zip(suffixes, index.owner, strict=True)] == index.symbols.tolist()
 
 
+@pytest.mark.parametrize("letters, bits", [(b"ab\xfe", 8), (b"\x00a\xff", 16)])
+def test_collection_holds_narrow_numbers(letters, bits):
+    random.seed(8)
+    strings = list({bytes(random.choice(letters) for _ in range(random.randint(1, 12))) for _ in range(40)})
+    docs = np.array([random.randint(1, 5) for _ in strings])
+    index = column_bwt_dedup.Collection(strings, 4)
+    assert index.symbols.dtype.itemsize * 8 == bits and index.shared.dtype == np.int8
+    grams = [(o, len(s) - k, s[k : k + 4]) for o, s in enumerate(strings) for k in range(len(s) - 3)]
+    least = {g: min(docs[o] for o, _, other in grams if other == g) for _, _, g in grams}
+    want = sorted((o, size) for o, size, g in grams if least[g] < docs[o])
+    assert sorted(zip(*(x.tolist() for x in index.repeated(docs, 4)), strict=True)) == want and want
+
+
+def test_stretches_are_sorted_once(spark):
+    frame = spark.createDataFrame([(1, "x" * 60)], "doc_id long, text string")
+    none = np.zeros(0, np.uint64)
+    shared = spark.sparkContext.broadcast(none), spark.sparkContext.broadcast((none, np.zeros(0, np.int64)))
+    plan = column_bwt_dedup._listed(frame, *shared)._jdf.queryExecution().executedPlan().toString()
+    windows = plan[: plan.rindex("Exchange hashpartitioning(anchor")]
+    assert windows.count("Window [") == 2 and windows.count("Sort [") == 1
+
+
 def base_spans(text):
     text = text or ""
     found = [("assign", m) for m in secret_cnn.ASSIGN.finditer(text) if len(m.group(2)) >= 12]

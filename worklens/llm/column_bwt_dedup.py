@@ -149,53 +149,57 @@ class Collection:
     def __init__(self, strings: list[bytes], depth: int = LENGTH) -> None:
         count, sizes = len(strings), np.array([len(s) for s in strings])
         width = int(sizes.max())
-        table = np.frombuffer(b"".join(s.rjust(width, b"\0") for s in strings), np.uint8).reshape(-1, width).astype(np.uint16) + 1
-        before = lambda ids, size: np.where(sizes[ids] > size, table[ids, max(width - size - 1, 0)], 0)
-        self.owner = np.arange(count, dtype=np.int32)
-        self.size = np.zeros(count, np.int32)
-        self.shared = np.zeros(count, np.int16)
-        self.symbols = before(self.owner, 0).astype(np.uint16)
-        place = np.arange(count)  # of the last suffix of each string
+        table = np.frombuffer(b"".join(s.rjust(width, b"\0") for s in strings), np.uint8).reshape(-1, width).T
+        # The rounds read and write these arrays as a whole, so their numbers are as narrow as the values allow.
+        columns = np.ascontiguousarray(table, np.uint8 if table.max(initial=0) < 255 else np.uint16) + 1
+        before = lambda ids, size: np.where(sizes[ids] > size, columns[max(width - size - 1, 0), ids], 0).astype(columns.dtype)
         live = np.arange(count)
+        self.symbols = before(live, 0)
+        # Which suffix stands at a place, as size times the number of strings plus owner; and one value past the last common prefix.
+        self._suffix = live.astype(np.min_scalar_type((width + 1) * count))
+        self._shared = np.zeros(count + 1, np.min_scalar_type(-depth - 1))
+        place = np.arange(count)  # of the last suffix of each live string, in ascending order
         for size in range(1, width + 1):
-            live = live[sizes[live] >= size]
+            going = sizes[live] >= size
+            live, place = live[going], place[going]
             order = np.argsort(self.symbols, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            last = np.zeros(len(order), bool)
+            last[place] = True
+            # Ranks of the last suffixes, and their strings in that order, which is that of the new suffixes too.
+            r = np.flatnonzero(last[order])
+            live = live[np.argsort(self.symbols[place], kind="stable")]
             ended = int(np.count_nonzero(self.symbols == 0))
-            at = np.sort(place[live])
-            live = self.owner[at]
-            r = rank[at]
-            above = self._extended(order, r - 1, r, depth)
-            below = self._extended(order, r, r + 1, depth)
-            to = count + r - ended
-            self._insert(to, live, size, before(live, size), above)
+            above, below = self._extended(order, r, depth)
+            place = count + r - ended
+            self._insert(place, size * count + live, before(live, size), above)
             # A follower that begins alike gets its prefix with the new suffix; new followers have theirs.
             follows = np.flatnonzero(below >= 0)
-            self.shared[to[follows] + 1] = below[follows]
-            place[live] = to
-
-    def _extended(self, order: np.ndarray, first: np.ndarray, second: np.ndarray, depth: int) -> np.ndarray:
-        """Common prefix of the suffixes that extend those at sorted ranks ``first`` and ``second``; -1 where they begin differently."""
-        out = np.full(len(first), -1, np.int64)
-        ok = np.flatnonzero((first >= 0) & (second < len(order)))
-        a, b = order[first[ok]], order[second[ok]]
-        alike = (self.symbols[a] == self.symbols[b]) & (self.symbols[a] > 0)
-        ok, a, b = ok[alike], a[alike], b[alike]
-        if len(ok):
-            bounds = np.stack([a + 1, b + 1], axis=1).ravel()
-            padded = np.append(self.shared, 0)
-            out[ok] = np.minimum(np.minimum.reduceat(padded, bounds)[::2] + 1, depth)
-        return out
-
-    def _insert(self, to: np.ndarray, ids: np.ndarray, size: int, symbols: np.ndarray, shared: np.ndarray) -> None:
+            self._shared[place[follows] + 1] = below[follows]
+        self.shared = self._shared[:-1]
+        self.size, self.owner = (x.astype(np.int32) for x in np.divmod(self._suffix, count))
+
+    def _extended(self, order: np.ndarray, ranks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Common prefixes of the suffixes that extend those at these sorted ranks with their neighbours above and below; -1 where they begin differently."""
+        at = order[ranks]
+        first, second = order[np.maximum(ranks - 1, 0)], order[np.minimum(ranks + 1, len(order) - 1)]
+        symbols = self.symbols[at]
+        above = (ranks > 0) & (self.symbols[first] == symbols)
+        below = (ranks + 1 < len(order)) & (self.symbols[second] == symbols)
+        bounds = np.stack([np.where(above, first, at) + 1, at + 1, np.where(below, second, at) + 1], axis=1)
+        # From the last to the first, so that what lies between two triples is not looked at.
+        least = np.minimum.reduceat(self._shared, bounds[::-1].ravel()).reshape(-1, 3)[::-1].astype(np.int64)
+        least = np.minimum(least + 1, depth)
+        return np.where(above, least[:, 0], -1), np.where(below, least[:, 1], -1)
+
+    def _insert(self, to: np.ndarray, suffixes: np.ndarray, symbols: np.ndarray, shared: np.ndarray) -> None:
         total = len(self.symbols) + len(to)
-        old = np.ones(total, bool)
+        old = np.ones(total + 1, bool)
         old[to] = False
-        for name, fresh in (("symbols", symbols), ("owner", ids), ("size", size), ("shared", np.maximum(shared, 0))):
+        for name, fresh in (("symbols", symbols), ("_suffix", suffixes), ("_shared", np.maximum(shared, 0))):
             values = getattr(self, name)
-            grown = np.empty(total, values.dtype)
-            grown[to], grown[old] = fresh, values
+            size = total + (name == "_shared")
+            grown = np.empty(size, values.dtype)
+            grown[to], grown[old[:size]] = fresh, values
             setattr(self, name, grown)
 
     def repeated(self, docs: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -262,15 +266,16 @@ def _listed(documents: DataFrame, cut, hot) -> DataFrame:
                 mark = np.concatenate([np.zeros(len(order), bool), np.ones(len(marked), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(doc), pa.array(mark)], ["anchor", "content", "doc", "mark"])
 
-    rows = documents.mapInArrow(run, "anchor long, content long, doc long, mark boolean").repartition("anchor")
+    # One sort serves both windows; without it Spark sorts by anchor first and again for the second.
+    rows = documents.mapInArrow(run, "anchor long, content long, doc long, mark boolean").repartition("anchor").sortWithinPartitions("anchor", "content")
     group, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     plain = lambda c: F.when(~F.col("mark"), F.col(c))
     rows = rows.select(
         "*",
-        F.min(plain("doc")).over(same).alias("smallest"),
         (F.min(plain("doc")).over(group) < F.max(plain("doc")).over(group)).alias("several"),
         (F.min(plain("content")).over(group) < F.max(plain("content")).over(group)).alias("differ"),
-    )
+    ).where("mark or several")  # the anchors of one document alone, which are most, end here
+    rows = rows.select("*", F.min(plain("doc")).over(same).alias("smallest"))
     gone = ~F.col("mark") & (F.col("doc") > F.col("smallest"))
     open_ = ~F.col("mark") & F.col("several") & F.col("differ") & (F.col("doc") == F.col("smallest"))
     kept = rows.select("doc", "content", "mark", gone.alias("gone"), open_.alias("open")).where("mark or gone or open")
