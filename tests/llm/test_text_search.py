@@ -361,3 +361,16 @@ def test_bpe_tables_stand_in_no_plan_and_no_row(spark):
     for frame in (alone, found):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Subquery" in plan and not any("table_" in line for line in plan.split("Subqueries")[0].splitlines() if "Project [" in line)
+
+
+def test_a_fold_begins_with_the_cells_of_byte_pairs(spark):
+    ranks = {bytes([b]): b - 97 for b in range(97, 102)} | {b"ab": 5, b"bc": 6, b"abc": 7, b"ee": 8}
+    vocabulary = byte_bpe.Vocabulary(ranks, r"\S+")
+    alone = byte_bpe.PAIR << byte_bpe.ABOVE
+    cell = lambda a, b: vocabulary.slots[vocabulary.start + 257 * a + b] + alone
+    for a, b in [(97, 98), (98, 99), (101, 101), (97, 97), (97, 256), (97, 102)]:
+        assert cell(a, b) == (ranks.get(bytes([a, b]) if b < 256 else b"", byte_bpe.PAIR) << byte_bpe.ABOVE) + ranks[bytes([a])]
+    assert vocabulary.slots[vocabulary.start + 257 * 102] is None and len(vocabulary.slots) == vocabulary.start + 256 * 257
+    words = ["a", "ab", "abc", "abcbc", "eee", "eeee", "cabeedbcab"]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select("word", vocabulary.folded(F.col("word")).alias("ids")).collect()
+    assert {r["word"]: r["ids"] for r in got} == {w: byte_bpe.joined(w.encode(), ranks) for w in words}

@@ -4,7 +4,8 @@ A word is the array of the ids of its bytes, and the ranked merges are a fold ov
 accumulator holds, for every place, its id and the id of what it and its neighbour join to, as
 one number. Each step joins the leftmost pair of least rank and looks up the two new pairs only. Ranks are the
 result of a scalar subquery (as a literal they would stand in the text of every plan): one flat array of numbers, each a pair of ids with the id of the joined bytes, at one of two places that
-the remainders of the pair's number name (cuckoo hashing), since Spark searches a map from front to back. A word
+the remainders of the pair's number name (cuckoo hashing), since Spark searches a map from front to back. Behind
+them stand the first cells of all pairs of bytes, which need no search. A word
 that is a token as a whole is that token, as in the library. Nearly always the fold ends there too; tokens that
 it does not reach are found when the vocabulary is read, and are a second literal.
 
@@ -55,6 +56,8 @@ FOLDED = 256
 WORD_MAPS = 1 << 8
 #: Ids are below this, so that three of them are one number; more ids than any folded word has.
 PAIR, MOST = 1 << 21, 1 << 20
+#: Bits of a cell below the id of what its place joins to, and those of its own id.
+ABOVE, BITS = PAIR.bit_length() + MOST.bit_length() - 2, PAIR.bit_length() - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,6 +173,16 @@ def joined(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in start if alive[i]]
 
 
+def first_cells(ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int | None]:
+    """The cell of each byte before each byte, and before the end of a word (256); none for bytes that are no token.
+
+    They are less by the cell of id 0 that joins to nothing, so that most are short numbers where they stand in a plan.
+    """
+    octets = [*(ranks.get(bytes([b])) for b in range(256)), None]
+    joined = lambda a, b: PAIR if b is None else pairs.get(a * PAIR + b, PAIR)
+    return [None if a is None else ((joined(a, b) - PAIR) << ABOVE) + a for a in octets[:-1] for b in octets]
+
+
 class Vocabulary:
     """Expressions over the ranks of one vocabulary and pattern."""
 
@@ -183,9 +196,10 @@ class Vocabulary:
         reached = lambda word, rank: all(bytes([b]) in ranks for b in word) and joined(word, ranks) == [rank]
         apart = {word.decode("latin-1"): rank for word, rank in ranks.items() if len(word) <= FOLDED and not reached(word, rank)}
         self.whole = _literal(apart, WORD_MAPS, "int") if apart else None
-        slots, self.first, self.second = placed(pair_ids(ranks))
-        self.slots = slots
-        self.octets = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<int>")
+        pairs = pair_ids(ranks)
+        slots, self.first, self.second = placed(pairs)
+        # Behind the pairs, the cells that a fold begins with, by the bytes of a place and its right neighbour.
+        self.start, self.slots = len(slots), slots + first_cells(ranks, pairs)
         hexes = [""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             hexes[rank] = word.hex()
@@ -213,7 +227,7 @@ class Vocabulary:
         # A cell is the id of a place and, above room for that place, what it and its right neighbour
         # join to. With the places added, the least cell is the leftmost pair of least rank
         # (array_position unwinds by an exception, which is slow).
-        above, bits = PAIR.bit_length() + MOST.bit_length() - 2, PAIR.bit_length() - 1
+        above, bits = ABOVE, BITS
         id_of = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
 
         def cell(pair: Column) -> Column:
@@ -236,9 +250,10 @@ class Vocabulary:
             return F.when(F.get(cells, F.lit(0)) < 0, cells).otherwise(_let(least, lambda x: F.when(x < PAIR << above, split(x)).otherwise(ended)))
 
         # A mark before the first id and after the last, which no pair has, so that every place has a neighbour on either side.
-        mark = F.lit(PAIR - 1).cast("long")
-        octets = F.transform(F.split(latin, ""), lambda c: F.get(self.octets, F.ascii(c)).cast("long"))
-        start = _let(F.concat(F.array(mark), octets), lambda x: F.transform(x, lambda a, i: cell(a * PAIR + F.coalesce(F.get(x, i + 1), mark))))
+        alone = F.lit(PAIR << above).cast("long")
+        # Two bytes name their cell, so that no pair is looked for before the first step.
+        begun = lambda a, b: F.get(pairs, a * 257 + F.coalesce(b, F.lit(256)) + self.start) + alone
+        start = _let(F.transform(F.split(latin, ""), F.ascii), lambda x: F.concat(F.array(alone + (PAIR - 1)), F.transform(x, lambda a, i: begun(a, F.get(x, i + 1)))))
         steps = F.sequence(F.lit(2), F.greatest(F.length(latin), F.lit(2)))
         return F.aggregate(steps, start, lambda cells, _: step(cells), lambda cells: F.transform(F.slice(cells, 2, MOST), lambda c: id_of(c).cast("int")))
 
