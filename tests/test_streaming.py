@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worklens import schemas
 from worklens.operators import review
-from worklens.streaming import hourly, ledger
+from worklens.streaming import hourly, json_tail, ledger
 from worklens.streaming.json_tail import append_new_entries
 
 NOW = "timestamp_ntz'2030-01-01 00:00:00'"
@@ -76,6 +76,16 @@ def test_closed_hours_equal_the_batch_in_any_order_of_files(spark, tmp_path):
     assert len(results) == 2 and results[0] == results[1]
 
 
+def test_only_refused_lines_are_kept_with_what_was_parsed(spark, tmp_path, monkeypatch):
+    parsed, write = [], json_tail.staged
+    monkeypatch.setattr(json_tail, "staged", lambda frame, name: parsed.append(write(frame, name)) or parsed[-1])
+    content = files(datetime(2024, 1, 1, 6))
+    paths = replay(spark, tmp_path, ["f0.json"], content, "1 hour")
+    rows = parsed[0].collect()
+    assert len(rows) == 32 and all((r["raw"] is None) == (r["reject_reason"] is None) for r in rows)
+    assert {r["raw"] for r in spark.read.parquet(paths["rejects"]).collect()} == {"{bad", '{"query": "SELECT 1", "duration_ms": 1}'}
+
+
 def test_rows_behind_the_watermark_are_counted_apart(spark, tmp_path):
     content = files(datetime(2024, 1, 1, 6))
     paths = replay(spark, tmp_path, ["f2.json", "f0.json"], content, "0 minutes")

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from worklens import fixed
 from worklens.operators.workload import with_fingerprint
 from worklens.session import staged
-from worklens.sources.json_log import accepted, parse_json_rows
+from worklens.sources.json_log import REJECT, accepted, parse_json_rows
 from worklens.sources.json_log import rejects as rejected
 
 
@@ -61,8 +61,9 @@ def append_new_entries(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("line", F.monotonically_increasing_id())
-        # Written once: lines are parsed once for all tables.
-        parsed = staged(parse_json_rows(numbered, now, source, on_bad_ts="reject" if late else "now"), "stream-batch")
+        # Written once: lines are parsed once for all tables. Of the lines themselves only the refused ones are read again.
+        told = parse_json_rows(numbered, now, source, on_bad_ts="reject" if late else "now")
+        parsed = staged(told.withColumn("raw", F.when(F.col(REJECT).isNotNull(), F.col("raw"))), "stream-batch")
         rows = with_fingerprint(accepted(parsed))
         if late:
             closed = hour(F.col("ts")) + F.expr("interval 1 hour") <= watermark(spark, marks, batch_id, delay)
